@@ -76,7 +76,7 @@ def count_statistics(chunk: Chunk) -> dict[str, np.ndarray]:
     }
 
 
-def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def text_statistics(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """docs, or only the columns in keep, with the bigint columns of COUNTS (replacing columns so named).
 
     Words are runs other than space and tab to carriage return; lines are split at \\n. word_chars: code points in
@@ -84,7 +84,7 @@ def text_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame
     n_repeat_words: words in 8-word windows that the text holds twice or more. A null text counts as empty (one empty
     line, all other counts 0); repeated rows are counted each for itself.
     """
-    return with_text_columns(docs, lambda: count_statistics, dict.fromkeys(COUNTS, "bigint"), keep)
+    return with_text_columns(docs, lambda: count_statistics, dict.fromkeys(COUNTS, "bigint"), keep, text)
 
 
 def features() -> dict[str, Column]:
@@ -218,8 +218,9 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of docs that base limits and rules keep, with the columns of docs."""
-    return text_statistics(docs.select("*", F.struct(*docs.columns).alias("_all")), ["_all"]).where(verdict(rules)).select("_all.*") if set(docs.columns) & set(COUNTS) else text_statistics(docs).where(verdict(rules)).select(*docs.columns)
+    """The rows of docs that base limits and rules keep, with the columns of docs, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return text_statistics(plain, text=f"c{docs.columns.index('text')}").where(verdict(rules)).select(plain.columns).toDF(*docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

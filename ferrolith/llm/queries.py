@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from ferrolith.llm.byte_cnn import op7_quality_classifier
+from ferrolith.llm.licenses import op5_license_scan
 from ferrolith.llm.quality_rules import op9_quality_rules
 
 QUERIES = {
+    "op5_license_scan": op5_license_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
 }
 
