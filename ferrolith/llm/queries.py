@@ -6,6 +6,7 @@ from ferrolith.llm.byte_cnn import op7_quality_classifier
 from ferrolith.llm.licenses import op5_license_scan
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ferrolith.llm.mixing import OP8_SQL, op8_source_mixing
+from ferrolith.llm.near_duplicates import op6_near_duplicates
 from ferrolith.llm.quality_rules import op9_quality_rules
 from ferrolith.llm.token_files import op3_token_files
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_files": op3_token_files,
     "op5_license_scan": op5_license_scan,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
