@@ -16,12 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrolith.llm.bytetext import Chunk, chunks, span_hashes
 from ferrolith.llm.stages import new_path
 
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 19
 END_ID = 1
-CACHED_WORDS = 700_000
+KNOWN_WORDS = 2_000_000
 
 SEGMENT_SCHEMA = "shard int, seq int, ids_before bigint, bits int, n_ids bigint, doc_ids array<bigint>, doc_starts array<bigint>, block_offsets array<bigint>, payload binary"
 
@@ -67,58 +68,84 @@ def unpack(payload: bytes, block_offsets, n_ids: int, bits: int, start: int = 0,
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct word once.
+    """Encodes texts with the tokenizers library, each distinct word once while it is remembered.
 
     The tokenizer must treat ASCII white space as a boundary that nothing crosses and that gives no ids, as one that
-    splits words and drops spaces does; a text's ids are then those of its words, in order.
+    splits words and drops spaces does; a text's ids are then those of its words, in order. Words are found and joined
+    again in numpy by their 64-bit hashes; only new ones reach the library, many at a time.
     """
 
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
+    def __init__(self, path: str, limit: int = KNOWN_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
-
-        # words are encoded many at a time, parted by a word of one NUL if that has an id of its own
+        # new words are parted by a word of one NUL, if that has an id of its own
         nul = self._ids(["\0"])[0]
         probe = self._ids(["a. \0 b", "a.", "b"])
         self.nul = nul[0] if len(nul) == 1 and probe[0] == probe[1] + nul + probe[2] else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        alone = [w for w in words if self.nul is None or b"\0" in w]
-        together = list(words.difference(alone))
-        groups = [together[i : i + 256] for i in range(0, len(together), 256)]
-        for group, found in zip(groups, self._ids([b" \0 ".join(g).decode("utf-8", "replace") for g in groups])):
-            ids = np.array(found, "<u4")
-            bounds = [-1, *np.flatnonzero(ids == self.nul).tolist(), len(ids)]
-            if len(bounds) != len(group) + 1:
-                alone += group
-                continue
-            for word, lo, hi in zip(group, bounds, bounds[1:]):
-                self.known[word] = ids[lo + 1 : hi].tobytes()
-        for word, found in zip(alone, self._ids([w.decode("utf-8", "replace") for w in alone])):
-            self.known[word] = np.array(found, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The little-endian 32-bit ids of each text (null: empty)."""
-        split = [(t or b"").split() for t in texts]
-        known = self.known
-        if missing := {w for words in split for w in words if w not in known}:
-            self._learn(missing)
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:  # the cache was cleared
-                self._learn(set(words))
-                out.append(b"".join([known[w] for w in words]))
-        return out
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
+        flat, sizes = [], []
+        for lo in range(0, len(words), 256):
+            group = words[lo : lo + 256]
+            joined = b" \0 ".join(group)
+            if self.nul is not None and joined.count(b"\0") == len(group) - 1:
+                ids = np.array(self._ids([joined.decode("utf-8", "replace")])[0], "<u4")
+                bounds = np.concatenate([[-1], np.flatnonzero(ids == self.nul), [len(ids)]])
+                if len(bounds) == len(group) + 1:
+                    flat.append(ids[ids != self.nul])
+                    sizes.append(np.diff(bounds) - 1)
+                    continue
+            found = self._ids([w.decode("utf-8", "replace") for w in group])
+            flat.append(np.array([i for x in found for i in x], "<u4"))
+            sizes.append(np.array([len(x) for x in found], np.int64))
+        return np.concatenate([np.zeros(0, "<u4"), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _remember(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if len(self.hashes) + len(hashes) > self.limit:
+            self._forget()
+        flat, sizes = self.encode_words(words)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(flat), "<u4")])
+        self.flat[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+
+    def encode(self, chunk: Chunk, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the documents of a chunk, end_id after each, and how many each has."""
+        begin, stop, doc = chunk.words()
+        distinct, first, which = np.unique(span_hashes(chunk.data, begin, stop), return_index=True, return_inverse=True)
+        for _ in range(2):  # again if all was forgotten meanwhile
+            at = np.searchsorted(self.hashes, distinct)
+            known = np.zeros(len(distinct), bool)
+            known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == distinct[at < len(self.hashes)]
+            if known.all():
+                break
+            new = first[~known]
+            body = chunk.data.tobytes()
+            self._remember(distinct[~known], [body[a:b] for a, b in zip(begin[new].tolist(), stop[new].tolist())])
+        at = np.searchsorted(self.hashes, distinct)
+        sizes = self.sizes[at][which]
+        lengths = chunk.per_doc(doc, sizes) + 1
+        total = int(sizes.sum())
+        source = np.repeat(self.starts[at][which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+        out = np.full(total + chunk.n, end_id, "<u4")
+        inner = np.ones(total + chunk.n, bool)
+        inner[np.cumsum(lengths) - 1] = False
+        out[inner] = self.flat[source]
+        return out, lengths
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -189,30 +216,29 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     def run(batches):
         coder = encoder(tokenizer)
         bits = bits_for(max(coder.vocabulary, end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list[int] = []
-        held = 0
+        sizes: list[int] = []
 
         def segment():
-            nonlocal ids, names, held, seq, before
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])[:-1]
+            nonlocal ids, names, sizes, seq, before
+            flat = np.concatenate(ids)
+            starts = np.cumsum(sizes) - sizes
             payload, offsets = pack(flat, bits)
             row = {"shard": shard, "seq": seq, "ids_before": before, "bits": bits, "n_ids": len(flat), "doc_ids": names, "doc_starts": starts.tolist(), "block_offsets": offsets.tolist(), "payload": payload}
-            seq, before, ids, names, held = seq + 1, before + len(flat), [], [], 0
+            seq, before, ids, names, sizes = seq + 1, before + len(flat), [], [], []
             return pa.RecordBatch.from_pylist([row], schema=_SEGMENT_ARROW)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(doc_ids), 256):
-                for doc_id, found in zip(doc_ids[lo : lo + 256], coder.encode(texts.slice(lo, 256).cast(pa.binary()).to_pylist())):
-                    ids.append(found + end)
-                    names.append(doc_id)
-                    held += len(found) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield segment()
+            doc_ids = batch.column(0).to_pylist()
+            for chunk in chunks(batch.column(1).cast(pa.binary())):
+                found, lengths = coder.encode(chunk, end_id)
+                ids.append(found)
+                names += doc_ids[chunk.lo : chunk.hi]
+                sizes += lengths.tolist()
+                if sum(map(len, ids)) >= SEGMENT_IDS:
+                    yield segment()
         if names:
             yield segment()
 
