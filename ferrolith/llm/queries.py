@@ -10,10 +10,12 @@ from ferrolith.llm.mixing import OP8_SQL, op8_source_mixing
 from ferrolith.llm.near_duplicates import op6_near_duplicates
 from ferrolith.llm.neighbours import op10_nearest_neighbours
 from ferrolith.llm.quality_rules import op9_quality_rules
+from ferrolith.llm.segmentations import op2_sentencepiece_sampling
 from ferrolith.llm.token_files import op3_token_files
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_token_files": op3_token_files,
     "op4_lm_scores": op4_lm_scores,
     "op5_license_scan": op5_license_scan,
