@@ -63,11 +63,13 @@ class Network:
     def scores(self, chunk: Chunk) -> np.ndarray:
         """The probability of label 1 for each document of a chunk."""
         size = np.diff(chunk.offsets)
-        n_halves = np.maximum(1, (size + WIDTH - 1 + HALF - 1) // HALF)
+        # WIDTH zeros before each document keep windows of the one before from reading its bytes
+        n_halves = (WIDTH + size + HALF - 1) // HALF
         first = np.concatenate([[0], np.cumsum(n_halves)])
         padded = np.zeros(first[-1] * HALF + WIDTH, np.uint8)
         for k in range(chunk.n):
-            padded[first[k] * HALF : first[k] * HALF + size[k]] = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]]
+            at = first[k] * HALF + WIDTH
+            padded[at : at + size[k]] = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]]
         halves = self.halves(padded)
         # a chunk starts at each half that another half of its document follows, and at a document's only half
         lone = np.repeat(n_halves == 1, n_halves)
@@ -103,7 +105,7 @@ def training_pieces(chunk: Chunk) -> dict[str, list[bytes]]:
     return {"pieces": out}
 
 
-def train(pieces: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> Network:
+def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> Network:
     """Adam on the documents' logistic loss. pieces: the chunks of each document, one row each; y: 0 or 1."""
     if not len(y) or y.min() == y.max():
         return constant(float(y.mean()) if len(y) else 0.5)
@@ -115,7 +117,7 @@ def train(pieces: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int
     net.tables[:, 0] = 0
     names = ["tables", "bias", "w1", "b1", "w2", "b2"]
     moment, square, step = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
-    a_chunk = 2 * HALF // STRIDE
+    epochs = -(-steps // -(-len(y) // batch))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
