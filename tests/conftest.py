@@ -45,7 +45,7 @@ def against_duckdb(found, sql, sf_dir):
             return "[" + ",".join(map(plain, v)) + "]"
         if isinstance(v, dict):
             return "{" + ",".join(f"{k}:{plain(x)}" for k, x in v.items()) + "}"
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         return str(int(v)) if not isinstance(v, (str, bool)) and isinstance(v, (int, float)) and v == int(v) else str(v)
 
