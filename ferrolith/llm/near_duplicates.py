@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ferrolith.llm.bytetext import Chunk, mix, span_hashes, windows
 from ferrolith.llm.columns import with_text_columns
-from ferrolith.llm.components import components
+from ferrolith.llm.components import components, forest
 from ferrolith.llm.stages import written
 
 WORDS = 5
@@ -154,6 +154,12 @@ def _semi_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids (one bigint column, written); rows without doc_id stay."""
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, written."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
@@ -165,40 +171,117 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return written(linked.select("a", "b").distinct(), "near-links")
 
 
-def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose sizes and signatures allow a link.
-
-    Only buckets that several components share are looked at. A bucket of more than BLOCK members is cut into blocks
-    and each pair of blocks is a task of its own, so that none holds more than two blocks.
-    """
+def _forest_frame(a: list, b: list) -> pd.DataFrame:
+    """The links as a forest: as many rows as there are nodes at most."""
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+    node, root = forest(a, b) if len(a) else (a, b)
+    return pd.DataFrame({"a": root, "b": node})
+
+
+def _alike(signatures: np.ndarray, sizes: np.ndarray, groups: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """Rows (i, j) of left x right, of different groups, whose sizes and signatures allow a link; each pair once."""
+    out_i, out_j = [], []
+    step = max(1, (1 << 17) // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        i, j = (x.reshape(-1) for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
+        fit = (groups[i] != groups[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+        fit &= (i < j) if left is right else True
+        i, j = i[fit], j[fit]
+        for at in range(0, len(i), 1 << 15):
+            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            near = (signatures[x] == signatures[y]).mean(axis=1) >= LEAST_SHARE
+            out_i.append(x[near])
+            out_j.append(y[near])
+    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
+
+
+def common_elements(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of the sets i and j, exactly: as bit rows over the elements that two sets hold."""
+    used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+    size = np.array([len(sets[k]) for k in used])
+    _, code, times = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(used)), size)[shared[code]]
+    place = column[code[shared[code]]]
+    bits = np.zeros((len(used), (int(shared.sum()) + 7) // 8), np.uint8)
+    np.bitwise_or.at(bits, (row, place >> 3), np.uint8(1) << (place & 7).astype(np.uint8))
+    i, j = where[: len(i)], where[len(i) :]
+    step = max(1, (1 << 24) // max(1, bits.shape[1]))
+    return np.concatenate([np.bitwise_count(bits[i[at : at + step]] & bits[j[at : at + step]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), step)])
+
+
+def _dealt(members: DataFrame, group: str, rows_a_task: int) -> DataFrame:
+    """members dealt to tasks: those of a group together, a group of more than BLOCK cut into blocks, each two of which
+    meet; columns own, i, j tell a row's block and the two that meet, task which meetings are worked on together."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    out = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tasks = max(1, -(-members.count() // rows_a_task))
+    return out.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "task": F.pmod(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")), F.lit(tasks))}).drop("other", "_n")
+
+
+def _meetings(frame: pd.DataFrame, group: str):
+    """The row numbers of the two blocks of each meeting (the same array twice within a block)."""
+    own, i, j = (frame[c].to_numpy() for c in ("own", "i", "j"))
+    order = np.lexsort((j, i, frame[group].to_numpy()))
+    key = np.stack([frame[group].to_numpy()[order], i[order], j[order]])
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    for rows in np.split(order, cuts):
+        if len(rows) > 1:
+            left = rows[own[rows] == i[rows]]
+            yield left, left if i[rows[0]] == j[rows[0]] else rows[own[rows] == j[rows]]
+
+
+def _signatures(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(-1, SLOTS)
+
+
+def _clusters(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join up, over whatever path, all classes that share a bucket but not a component and whose
+    sizes and signatures allow a link. Each task returns a forest, so that rows stay below 32 a class."""
     labelled = shared.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = labelled.join(mixed, "band").select("band", "node", "component", blocks.alias("blocks")).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("other", other).select("band", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(classes.select("node", "n_shingles", "signature"), "node")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    members = written(labelled.join(mixed, "band").join(classes.select("node", "n_shingles", "signature"), "node"), "near-mixed")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        signature, size, component, node = _signatures(frame), frame["n_shingles"].to_numpy(), frame["component"].to_numpy(), frame["node"].to_numpy()
+        a, b = [], []
+        for left, right in _meetings(frame, "band"):
+            i, j = _alike(signature, size, component, left, right, percent)
+            a.append(node[i])
+            b.append(node[j])
+        return _forest_frame(a, b)
+
+    return _dealt(members, "band", 20_000).groupBy("task").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def _links_across(docs: DataFrame, shared: DataFrame, labels: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links between different components, from all pairs of classes that share a bucket: the classes that may be
+    linked are gathered into clusters by their signatures, and each cluster's pairs are checked on full sets where the
+    sets are, block by block. Only a forest of the links found leaves a task."""
+    joined = written(_clusters(shared, labels, classes, percent), "near-clusters")
+    if joined.isEmpty():
+        return None
+    cluster = written(components(joined).select("node", F.col("component").alias("cluster")), "near-cluster-nodes")
+    sets = set_elements(_semi_by_id(docs, cluster.select(F.col("node").alias("doc_id"))), words).withColumnRenamed("doc_id", "node")
+    members = cluster.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = written(members.join(classes.select("node", "n_shingles", "signature"), "node").join(sets, "node"), "near-members")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        found = []
-        left = frame[frame["own"] == i].reset_index(drop=True)
-        right = frame[frame["own"] == j].reset_index(drop=True)
-        if len(left) and len(right):
-            s = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(-1, SLOTS)
-            n, c, ids = right["n_shingles"].to_numpy(), right["component"].to_numpy(), right["node"].to_numpy()
-            for node, component, size, signature in zip(left["node"], left["component"], left["n_shingles"], left["signature"]):
-                fit = (c != component) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
-                if i == j:
-                    fit &= ids > node
-                at = np.flatnonzero(fit)
-                if len(at):
-                    at = at[(s[at] == np.frombuffer(signature, np.uint8)).mean(axis=1) >= LEAST_SHARE]
-                    found += [(min(node, ids[k]), max(node, ids[k])) for k in at]
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    return dealt.groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+        signature, size, component, node = _signatures(frame), frame["n_shingles"].to_numpy(), frame["component"].to_numpy(), frame["node"].to_numpy()
+        sets = frame["elements"].to_list()
+        a, b = [], []
+        for left, right in _meetings(frame, "cluster"):
+            i, j = _alike(signature, size, component, left, right, percent)
+            if len(i):
+                common = common_elements(sets, i, j)
+                linked = 100 * common >= percent * (np.array([len(sets[k]) for k in i]) + np.array([len(sets[k]) for k in j]) - common)
+                a.append(node[i[linked]])
+                b.append(node[j[linked]])
+        return _forest_frame(a, b)
+
+    return _dealt(members, "cluster", 2_000).groupBy("task").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -223,9 +306,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = written(_checked(pairs, classes, percent), "near-pairs")
     links = verified(first, docs, words, percent)
     labels = written(components(links), "near-labels")
-    more = written(_across(shared, labels, classes, percent).join(first, ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(verified(more, docs, words, percent)))
+    more = _links_across(docs, shared, labels, classes, words, percent)
+    if more is not None:
+        labels = components(links.unionByName(more))
     known = classes.select(*digest, "node").join(labels, "node", "left").select(*[F.col(c).alias(f"_{c}") for c in digest], F.coalesce("component", "node").alias("component"))
     same = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") == F.col("_n_shingles")) & F.col("doc_id").isNotNull()
     found = sketches.drop("signature", "bands").join(known, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
