@@ -15,6 +15,8 @@ from ferrolith.llm.stages import written
 HASH_BITS = 60
 STEP_BITS = 12
 MOST_COPIES = 3
+#: Sources (rows of under 100 bytes) up to which their thresholds are broadcast; beyond, they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 #: The weights of the sources in order of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -84,7 +86,9 @@ def mix(docs: DataFrame, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, m
     sizes: a written table (source, hash, size) of the same rows. Rows of size 0 are taken as their hash says; a null
     source is a source of its own; repeated ids share a hash and are taken together; an empty table stays empty.
     """
-    found = thresholds(sizes, source_targets(sizes, weights, most)).withColumnRenamed("source", "_source")
+    found = written(thresholds(sizes, source_targets(sizes, weights, most)).withColumnRenamed("source", "_source"), "mix-thresholds")
+    if found.count() <= BROADCAST_SOURCES:
+        found = F.broadcast(found)
     joined = docs.join(found, F.col("source").eqNullSafe(F.col("_source")))
     return joined.withColumn("copies", F.col("copies") + (F.col("hash") < F.col("threshold")).cast("bigint")).drop("_source", "threshold")
 
