@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ferrolith.plans import entities, graphs, texts
+
+QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL
