@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolith.sources.shared import settled
+
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
     """One row an artifact_id: the first one with a place (line_start), else the first; by column ord."""
@@ -73,9 +75,13 @@ def k_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     Each step joins only the new frontier."""
     step = edges.select("src", "dst").distinct()
     seen = frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("bigint").alias("distance"))
+    step, seen = settled(step), settled(seen)
+    frontier = seen
     for k in range(1, hops + 1):
         found = frontier.join(step, frontier["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(k).cast("bigint"))
+        frontier = settled(found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(k).cast("bigint")))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -83,32 +89,28 @@ def k_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(start, node): everything that a start reaches. Rounds go on until none finds anything new; each cuts its lineage
     by a checkpoint in the shared folder."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    step = edges.select("src", "dst").distinct().checkpoint()
-    frontier = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
-    seen = frontier
+    step = settled(edges.select("src", "dst").distinct())
+    frontier = seen = settled(starts.select("start", F.col("start").alias("node")).distinct())
     for _ in range(most_rounds):
         found = frontier.join(step, frontier["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen, ["start", "node"], "left_anti").checkpoint()
+        frontier = settled(found.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = settled(seen.unionByName(frontier))
     raise RuntimeError(f"reachable: not settled after {most_rounds} rounds")
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
     """(path): all paths of 1 to longest edges from the starts (column start) that visit no node twice."""
-    step = edges.select("src", "dst").distinct()
+    step = settled(edges.select("src", "dst").distinct())
     paths = starts.select(F.array("start").alias("path"))
     out = None
     for _ in range(longest):
         grown = paths.join(step, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        paths = grown.select(F.concat("path", F.array("dst")).alias("path"))
+        paths = settled(grown.select(F.concat("path", F.array("dst")).alias("path")))  # else each length would repeat all shorter ones
         out = paths if out is None else out.unionByName(paths)
+        if paths.isEmpty():
+            break
     return out
 
 
