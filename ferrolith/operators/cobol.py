@@ -42,8 +42,9 @@ def parse_replacing(text: str) -> list[tuple[str, str]]:
 
 def replaced(text: Column, replacing: Column) -> Column:
     """text with the pairs of a REPLACING phrase put in."""
-    pairs = F.arrays_zip(F.regexp_extract_all(replacing, F.lit(r"(?is)==(.*?)==\s+BY\s+==.*?=="), 1).alias("old"), F.regexp_extract_all(replacing, F.lit(r"(?is)==.*?==\s+BY\s+==(.*?)=="), 1).alias("new"))
-    return F.aggregate(pairs, text, lambda a, p: F.replace(a, p["0"], p["1"]))
+    old, new = (F.regexp_extract_all(replacing, F.lit(r"(?is)==(.*?)==\s+BY\s+==(.*?)=="), k) for k in (1, 2))
+    pairs = F.zip_with(old, new, lambda o, n: F.struct(o.alias("o"), n.alias("n")))
+    return F.aggregate(pairs, text, lambda a, p: F.replace(a, p["o"], p["n"]))
 
 
 def expand_copies(source: DataFrame, books: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def exec_blocks(source: DataFrame) -> DataFrame:
     upper = F.upper("code")
     marked = ln.islands(code, upper.rlike(r"\bEXEC\s+(SQL|CICS|DLI)\b"), ["file_id"], "line_no").where("island > 0")
     ends = F.sum(upper.contains("END-EXEC").cast("int")).over(Window.partitionBy("file_id", "island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    inside = marked.where(F.coalesce(ends, F.lit(0)) == 0)
+    inside = marked.withColumn("_ended", F.coalesce(ends, F.lit(0))).where("_ended = 0")
     rows = F.array_sort(F.collect_list(F.struct("line_no", "code")))
     blocks = inside.groupBy("file_id", F.col("island").alias("number")).agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.array_join(F.transform(rows, lambda r: F.trim(r["code"])), " ").alias("text"))
     kind = F.upper(F.regexp_extract("text", r"(?i)EXEC\s+(SQL|CICS|DLI)", 1))

@@ -68,7 +68,7 @@ def utility(content: Column) -> Column:
 
 def card_preview(content: Column, lines: int = 3, most: int = 200) -> Column:
     """The first lines that aren't blank, joined by a blank, cut."""
-    full = F.filter(F.transform(F.split(content, "\n", -1), F.trim), lambda x: x != "")
+    full = F.filter(F.transform(F.split(content, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.array_join(F.slice(full, 1, lines), " "), 1, most)
 
 

@@ -40,13 +40,15 @@ QUERY_TYPES = ["FIELD_SOURCE", "PERFORM_TARGET", "COPYBOOK_PROPAGATION"]
 
 def query_files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the query files dropped into a folder, each with problem (null if it is valid)."""
-    rows = spark.readStream.schema(QUERY_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    files = spark.readStream.option("wholetext", True).text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    parsed = F.from_json("value", QUERY_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = files.select(parsed.alias("q"), "file").select("q.*", "file")
     problem = (
         F.when(F.col("_corrupt").isNotNull(), "not JSON").when(F.col("schema_version").isNull() | (F.col("schema_version") != "1.0"), "schema_version")
         .when(F.col("query_id").isNull() | (F.trim("query_id") == ""), "query_id").when(F.col("query_type").isNull() | ~F.col("query_type").isin(QUERY_TYPES), "query_type")
         .when(F.col("target").isNull() | (F.trim("target") == ""), "target")
     )
-    return rows.drop("_corrupt").withColumn("problem", problem).withColumn("file", F.col("_metadata.file_name"))
+    return rows.withColumn("problem", problem).drop("_corrupt")
 
 
 def answer_queries(queries: DataFrame, resolver: Callable[[DataFrame], DataFrame], answers: str, failed: str, checkpoint: str):
