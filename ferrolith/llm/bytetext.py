@@ -6,6 +6,7 @@ no Python object is made per word. Hashes are 64-bit; equal byte strings have eq
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,6 +121,15 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         lo = hi
 
 
+def release() -> None:
+    """Gives the memory that a task has freed back to the system, where the C library can: workers are kept between
+    tasks, and what one has used before would count against the next."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def windows(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word, and hash, of each window of width words within one document."""
     count = len(hashes) - width + 1

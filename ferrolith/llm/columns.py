@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ferrolith.llm.bytetext import Chunk, chunks
+from ferrolith.llm.bytetext import Chunk, chunks, release
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -37,6 +37,8 @@ def with_text_columns(
             parts = [work(c) for c in chunks(held)]
             new = [_joined([p[n] for p in parts], ARROW[t]) for n, t in columns.items()]
             yield pa.RecordBatch.from_arrays([batch.column(sent_names.index(n)) for n in kept_names] + new, names=[*kept_names, *columns])
+            del held, parts, new, batch
+        release()
 
     sent_names, kept_names = sent.columns, [f.name for f in schema.fields if f.name not in columns]
     return sent.mapInArrow(run, schema)
