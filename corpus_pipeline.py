@@ -39,7 +39,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of every document, with their ids."""
-    return segmentations.sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return segmentations.sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), chunk_bytes=1 << 19)
 
 
 STAGES = [
