@@ -77,3 +77,40 @@ def merge_chunks(rows: DataFrame, section_keys: dict[str, list[str]], doc: str =
         mine = keep_first(rows.where(F.col("section") == section), [doc, *key], [order, "ord"])
         out[section] = mine.withColumn("number", F.row_number().over(Window.partitionBy(doc).orderBy(order, "ord")))
     return out
+
+
+def merge_purposes(rows: DataFrame, doc: str = "doc_id", order: str = "chunk") -> DataFrame:
+    """(doc, summary, business_context, program_type, citations) of rows with these columns and has_header: the purpose
+    of the first chunk that holds a header and has one, else of the first that has one, citing what all cite."""
+    none = F.array().cast("array<bigint>")
+    given = rows.where(F.col("summary").isNotNull() | F.col("business_context").isNotNull() | F.col("program_type").isNotNull())
+    first = F.min_by(F.struct("summary", "business_context", "program_type"), F.struct(F.when(F.col("has_header"), 0).otherwise(1).alias("h"), F.col(order).alias("o")))
+    cited = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col("citations").cast("array<bigint>"), none)))))
+    merged = given.groupBy(doc).agg(first.alias("p"), cited.alias("citations")).select(doc, "p.*", "citations")
+    return rows.select(doc).distinct().join(merged, doc, "left").withColumn("citations", F.coalesce("citations", none))
+
+
+def merge_cited(rows: DataFrame, key: list[str], doc: str = "doc_id", order: str = "chunk") -> DataFrame:
+    """Inputs or outputs of chunks: the first entry of each key with the citations of all its entries in order; entries
+    without citations keep none."""
+    of = [doc, *key]
+    cited = rows.where("citation is not null").groupBy(*of).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("citation")))).alias("_all"))
+    first = keep_first(rows, of, [order, "ord"])
+    held = cited.select(*[F.col(c).alias(f"_{c}") for c in of], "_all")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of]
+    joined = first.join(held, same, "left")
+    return joined.select(*[F.when(F.col("citation").isNotNull(), F.col("_all")).alias("citation") if c == "citation" else F.col(c) for c in rows.columns])
+
+
+def merge_rules(rows: DataFrame, doc: str = "doc_id", order: str = "chunk") -> DataFrame:
+    """Business rules of chunks: the first of each description, without case and outer blanks; numbered BR001 on."""
+    keyed = rows.withColumn("_key", F.lower(F.trim(F.coalesce("description", F.lit("")))))
+    first = keep_first(keyed, [doc, "_key"], [order, "ord"]).drop("_key")
+    n = F.row_number().over(Window.partitionBy(doc).orderBy(order, "ord"))
+    return first.withColumn("rule_id", F.concat(F.lit("BR"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
+
+
+def merge_questions(rows: DataFrame) -> DataFrame:
+    """Questions of chunks, all of them, each with the lines of its chunk."""
+    span = F.concat(F.lit("[lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("] "))
+    return rows.withColumn("question", F.concat(F.coalesce(span, F.lit("")), "question"))

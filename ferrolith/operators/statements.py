@@ -268,5 +268,5 @@ def flatten_json(texts: DataFrame, column: str = "json") -> DataFrame:
 
 def scan_trees(spark: SparkSession, root: str, glob: str = "*.ast") -> DataFrame:
     """Nodes (FLAT) of all tree files below root that match glob."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return flatten_json(files, "value")
