@@ -40,7 +40,7 @@ QUERY_TYPES = ["FIELD_SOURCE", "PERFORM_TARGET", "COPYBOOK_PROPAGATION"]
 
 def query_files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the query files dropped into a folder, each with problem (null if it is valid)."""
-    files = spark.readStream.option("wholetext", True).text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.readStream.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     parsed = F.from_json("value", QUERY_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = files.select(parsed.alias("q"), "file").select("q.*", "file")
     problem = (

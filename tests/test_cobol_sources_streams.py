@@ -115,7 +115,7 @@ def test_ticket_stream(spark, tmp_path):
 def test_query_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     good = {"schema_version": "1.0", "query_id": "q1", "query_type": "FIELD_SOURCE", "target": "WS-PAY"}
-    (tmp_path / "in/a.json").write_text(json.dumps(good))
+    (tmp_path / "in/a.json").write_text(json.dumps(good, indent=1))  # a file of several lines is one query
     (tmp_path / "in/b.json").write_text(json.dumps(good | {"query_type": "OTHER"}))
     (tmp_path / "in/c.json").write_text("{not json")
     run = lambda: ticket_stream.answer_queries(ticket_stream.query_files(spark, f"{tmp_path}/in"), ticket_stream.pending, f"{tmp_path}/ok", f"{tmp_path}/bad", f"{tmp_path}/cp").awaitTermination()
