@@ -21,7 +21,7 @@ BANDS = 32
 #: Of a pair's signatures, the share of equal slots below which it is no candidate: about six standard deviations
 #: below 0.8, so that a true pair is lost with a probability under 1e-7, as by the bands.
 LEAST_SHARE = 0.6
-#: Members of a bucket that are compared in one task at once; larger buckets are cut into blocks of this size.
+#: Members of a bucket that are compared at once; larger buckets are cut into blocks of this size, two of which meet.
 BLOCK = 2000
 #: Rows of one bigint (16 MB in memory) up to which a table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -212,13 +212,29 @@ def common_elements(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.
 
 
 def _dealt(members: DataFrame, group: str, rows_a_task: int) -> DataFrame:
-    """members dealt to tasks: those of a group together, a group of more than BLOCK cut into blocks, each two of which
-    meet; columns own, i, j tell a row's block and the two that meet, task which meetings are worked on together."""
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    out = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tasks = max(1, -(-members.count() // rows_a_task))
-    return out.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "task": F.pmod(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")), F.lit(tasks))}).drop("other", "_n")
+    """members (node, component) dealt to tasks, so that all pairs of a group that differ in their component meet once.
+
+    A component of more than BLOCK rows in a group is cut into blocks of its own, which meet only blocks of others; the
+    smaller ones share blocks, which also meet each other and themselves. Columns own, i, j tell a row's block and the
+    two that meet, task what is worked on at once: one meeting (two blocks) of a large group, or some small groups.
+    """
+    parts = members.groupBy(group, "component").agg(F.count(F.lit(1)).alias("_c"))
+    large = F.when(F.col("_c") > BLOCK, F.struct("component", F.ceil(F.col("_c") / BLOCK).cast("int").alias("blocks")))
+    small = F.coalesce(F.sum(F.when(F.col("_c") <= BLOCK, F.col("_c"))), F.lit(0))
+    groups = parts.groupBy(group).agg(F.count(F.lit(1)).alias("_k"), F.sum("_c").alias("_n"), F.ceil(small / BLOCK).cast("int").alias("_shared"), F.array_sort(F.collect_list(large)).alias("_large"))
+    # the component that each block belongs to, null for a shared one
+    owners = F.concat(F.array_repeat(F.lit(None).cast("bigint"), F.col("_shared")), F.flatten(F.transform("_large", lambda x: F.array_repeat(x["component"], x["blocks"]))))
+    groups = groups.where("_k > 1").select(group, "_n", "_shared", owners.alias("_owners"))
+    groups = written(groups.withColumn("_alone", (F.size("_owners") > 1) | (F.col("_n") > rows_a_task // 10)), "near-groups")
+    bundled = groups.where("not _alone").agg(F.sum("_n")).first()[0] or 0
+    first = F.array_position("_owners", F.col("component")).cast("int")
+    mine = F.when(first > 0, F.size(F.filter("_owners", lambda x: x == F.col("component")))).otherwise(F.col("_shared"))
+    own = F.greatest(first - 1, F.lit(0)) + F.pmod(F.xxhash64("node"), mine).cast("int")
+    met = F.filter(F.sequence(F.lit(0), F.size("_owners") - 1), lambda k: F.coalesce(F.get("_owners", k) != F.col("component"), F.lit(True)))
+    out = members.join(groups, group).withColumn("own", own).withColumn("other", F.explode(met))
+    out = out.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    task = F.when(F.col("_alone"), F.xxhash64(group, "i", "j")).otherwise(F.pmod(F.xxhash64(group), F.lit(max(1, -(-bundled // rows_a_task)))))
+    return out.withColumn("task", task).drop("other", "_n", "_shared", "_owners", "_alone")
 
 
 def _meetings(frame: pd.DataFrame, group: str):

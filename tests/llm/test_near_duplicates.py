@@ -60,6 +60,23 @@ def test_equals_brute_force(spark, monkeypatch, seed, block):
     assert sorted(map(tuple, found)) == sorted(brute(ids, texts, 4, 80))
 
 
+@pytest.mark.parametrize("sizes", [(6000, 1), (6000, 30, 20), (500, 450, 1, 1), (1,) * 400, (60, 1)])
+def test_tasks_of_a_large_group_hold_two_blocks_and_all_pairs_meet_once(spark, monkeypatch, sizes):
+    monkeypatch.setattr(nd, "BLOCK", 100)
+    rows = [(7, 1000 * c * len(sizes) + k, c) for c, n in enumerate(sizes) for k in range(n)]
+    dealt = nd._dealt(spark.createDataFrame(rows, "band bigint, node bigint, component bigint"), "band", 20).toPandas()
+    assert dealt.groupby("task").size().max() < 300
+    assert sizes[0] < 6000 or len(dealt) < 2 * len(rows)
+    component, met = dealt["component"].to_numpy(), 0
+    for _, frame in dealt.groupby("task"):
+        frame = frame.reset_index(drop=True)
+        c = frame["component"].to_numpy()
+        for left, right in nd._meetings(frame, "band"):
+            apart = int((c[left][:, None] != c[right][None, :]).sum())
+            met += apart // 2 if left is right else apart
+    assert met == (len(rows) ** 2 - sum(n * n for n in sizes)) // 2 and set(component) == set(range(len(sizes)))
+
+
 def test_ids_that_repeat_or_are_null(spark):
     texts = ["a b c d e f"] * 4 + ["p q r s t"] * 2
     ids = [5, 5, None, 3, None, 9]
