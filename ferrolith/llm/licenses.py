@@ -4,6 +4,7 @@ the and / or / with expressions that follow the tags."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,8 +54,8 @@ _NORMAL[65:91] += 32
 _NORMAL[~_WORD[_NORMAL]] = 0x20
 
 _TOKEN = re.compile(rb"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:_-]*)")
+_TAG_END = re.compile(rb"[ \t:]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
-EXPRESSION_BYTES = 1000  # of the line after a tag; a longer expression is not a licence's
 
 
 def permissiveness(name: str) -> float:
@@ -64,42 +65,49 @@ def permissiveness(name: str) -> float:
     return PERMISSIVENESS[max(keys, key=len)] if keys else UNKNOWN
 
 
-def to_postfix(tokens: list[str]) -> list[str] | None:
-    """Shunting-yard: with binds tighter than and, and than or; all associate to the left. None if it doesn't parse."""
+def complete_prefix(tokens: Iterable[str]) -> tuple[list[str], int]:
+    """Shunting-yard: the postfix of the longest prefix that parses, and how many tokens it has. with binds tighter than
+    and, and than or; all associate to the left. Tokens are taken up to the first that fits nothing."""
     out: list[str] = []
     stack: list[str] = []
     operand = True  # one is due
-    for token in tokens:
+    depth = size = 0
+    whole: tuple[int, list[str]] = (0, [])  # of the longest: the length of out and what is still on the stack
+    for n, token in enumerate(tokens, 1):
         word = token.lower()
         if token == "(":
             if not operand:
-                return None
+                break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
+            if operand or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            depth -= 1
         elif word in _BINDS:
             if operand:
-                return None
+                break
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[word]:
                 out.append(stack.pop())
             stack.append(word)
             operand = True
         else:
             if not operand:
-                return None
+                break
             out.append(token)
             operand = False
-    while stack:
-        if stack[-1] == "(":
-            return None
-        out.append(stack.pop())
-    return None if operand else out
+        if not operand and not depth:  # at most three operators are on the stack here
+            size, whole = n, (len(out), stack[::-1])
+    return out[: whole[0]] + whole[1], size
+
+
+def to_postfix(tokens: list[str]) -> list[str] | None:
+    """The postfix of all tokens, None if they don't parse."""
+    postfix, size = complete_prefix(tokens)
+    return postfix if size and size == len(tokens) else None
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
@@ -114,21 +122,23 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
         if token == "with":
             stack.append((left, min(1.0, value + EXCEPTION_GAIN)))
         else:
-            stack.append((left | right, max(value, r) if token == "or" else min(value, r)))
+            left, right = (left, right) if len(left) >= len(right) else (right, left)
+            left |= right
+            stack.append((left, max(value, r) if token == "or" else min(value, r)))
     return stack[0]
 
 
-def expression(line: bytes) -> tuple[set[str], float] | None:
-    """The longest expression at the start of a line that parses."""
-    tokens, at, found = [], 0, None
-    while len(tokens) < 64 and (m := _TOKEN.match(line, at)):
-        tokens.append(m[1].decode("ascii"))
+def _tokens(text: bytes, at: int, stop: int) -> Iterator[str]:
+    """The tokens from a place on; what is none, such as a line's end, ends them."""
+    while m := _TOKEN.match(text, at, stop):
+        yield m[1].decode("ascii")
         at = m.end()
-    for n in range(len(tokens), 0, -1):
-        if (postfix := to_postfix(tokens[:n])) is not None:
-            found = evaluate(postfix)
-            break
-    return found
+
+
+def expression(text: bytes, at: int = 0, stop: int | None = None) -> tuple[set[str], float] | None:
+    """The longest expression at a place in a text, within the line, that parses."""
+    postfix, size = complete_prefix(_tokens(text, at, len(text) if stop is None else stop))
+    return evaluate(postfix) if size else None
 
 
 def scanner():
@@ -155,6 +165,7 @@ def scanner():
         labels: list[set[str]] = [set() for _ in range(n)]
         values: list[list[float]] = [[] for _ in range(n)]
         bounds = chunk.offsets
+        raw = None  # the bytes of all texts, for expressions
         for end, (size, is_base, label) in automaton.iter(text):
             lo, hi = int(at[end - size + 1]), int(at[end]) + 1
             d = int(np.searchsorted(bounds, lo, side="right")) - 1
@@ -162,8 +173,8 @@ def scanner():
             if hi > stop or (lo > bounds[d] and normal[lo - 1] != 0x20) or (hi < stop and normal[hi] != 0x20):
                 continue
             if label is None:
-                line = chunk.data[hi : min(stop, hi + EXPRESSION_BYTES)].tobytes().split(b"\n")[0].lstrip(b" \t:")
-                if found := expression(line):
+                raw = chunk.data.tobytes() if raw is None else raw
+                if found := expression(raw, _TAG_END.match(raw, hi, stop).end(), stop):
                     labels[d] |= found[0]
                     values[d].append(found[1])
                 continue

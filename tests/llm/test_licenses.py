@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -59,3 +60,28 @@ def test_identifier_tags_add_labels(spark):
     texts = ["// SPDX-License-Identifier: MIT OR (GPL-2.0 WITH Classpath-exception-2.0)\nint x;", "spdx license identifier", "Redistribution and use in source and binary forms"]
     rows = sorted(li.scan(documents(spark, texts)).collect())
     assert [r.labels for r in rows] == ["gpl-2.0,mit", "", "bsd"] and [r.score for r in rows] == [1.0, 0.0, 1.0]
+
+
+def test_long_expressions_are_read_to_the_end_of_the_line(spark):
+    names = ["Name%03d-Licence-1.0" % i for i in range(100)]
+    line = "SPDX-License-Identifier: " + " AND ".join([*names, "AGPL-3.0-only"])
+    rows = sorted(li.scan(documents(spark, [line + "\nAND Next-1.0", line + " AND (", "(" * 500 + "MIT" + ")" * 500, "SPDX-License-Identifier:" + "(" * 500 + "MIT" + ")" * 500])).collect())
+    want = ",".join(sorted(n.lower() for n in [*names, "AGPL-3.0-only"]))
+    assert [r.labels for r in rows] == [want, want, "", "mit"] and [r.score for r in rows] == [0.1, 0.1, 0.0, 1.0]
+
+
+def test_one_pass_finds_the_longest_prefix_that_parses():
+    rng = random.Random(4)
+    for _ in range(3000):
+        tokens = [rng.choice(["(", ")", "and", "OR", "with", "MIT", "gpl-2.0", "x"]) if rng.random() < 0.5 else rng.choice([["MIT", "and"], ["(", "x", "or"], ["y", ")"]][rng.randrange(3)]) for _ in range(rng.randrange(12))]
+        postfix, size = li.complete_prefix(tokens)
+        parses = [n for n in range(1, len(tokens) + 1) if grammar(tokens[:n])]
+        assert size == max(parses, default=0) and (not size or li.to_postfix(tokens[:size]) == postfix)
+
+
+def grammar(tokens):
+    """Whether all tokens are one expression, by rewriting."""
+    kinds = "".join({"(": "(", ")": ")"}.get(t, "o" if t.lower() in ("and", "or", "with") else "n") for t in tokens)
+    while (less := kinds.replace("non", "n").replace("(n)", "n")) != kinds:
+        kinds = less
+    return kinds == "n"
