@@ -1,4 +1,4 @@
-"""Name resolution: a cascade of equi joins from references to artifacts, and fuzzy candidates for the rest.
+"""Name resolution: a cascade of equi joins from references to artifacts, then fuzzy matches of the rest.
 
 artifacts: artifact_id, type, name, aliases (array, may be null). refs: ref_id, raw_text, expected_type (may be null).
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,9 @@ class AliasRule:
     confidence: float
 
 
+#: Fixed value: the likeness from which a name answers to another.
+FUZZY = 0.8
+
 #: The default rules, in rank order.
 DEFAULT_RULES = [
     AliasRule("table", ("upper", "remove_hyphens"), 0.85),
@@ -51,11 +54,12 @@ def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("ref_id").agg(F.min_by(F.struct("artifact_id", "method", "confidence"), F.struct("rank", "artifact_id")).alias("hit"))
 
 
-def resolve(refs: DataFrame, artifacts: DataFrame, rules: list[AliasRule] = DEFAULT_RULES) -> DataFrame:
-    """refs with artifact_id, method (exact, alias, transformation) and confidence; null where nothing answers.
+def resolve(refs: DataFrame, artifacts: DataFrame, rules: list[AliasRule] = DEFAULT_RULES, fuzzy: float = FUZZY) -> DataFrame:
+    """refs with artifact_id, method (exact, alias, transformation, fuzzy) and confidence; null where nothing answers.
 
-    All steps are one equi join by lower-case key: a reference is written once under its own name and once under each
-    transformed name, with its rank in the cascade, and the first that hits wins.
+    All steps but the last are one equi join by lower-case key: a reference is written once under its own name and once
+    under each transformed name, with its rank in the cascade, and the first that hits wins. What is left is answered by
+    the artifact of its type whose name (no alias) is most alike, with a likeness >= fuzzy, the confidence.
     """
     own = refs.select("ref_id", "expected_type", F.lit(0).alias("rank"), F.lower("raw_text").alias("key"), F.lit(1.0).alias("base"))
     tried = own
@@ -65,13 +69,28 @@ def resolve(refs: DataFrame, artifacts: DataFrame, rules: list[AliasRule] = DEFA
     hits = tried.join(name_keys(artifacts), "key").where(F.col("expected_type").isNull() | (F.col("expected_type") == F.col("type")))
     method = F.when(F.col("rank") > 0, "transformation").otherwise(F.col("by"))
     ranked = hits.select("ref_id", "artifact_id", (F.col("rank") + (F.col("by") == "alias").cast("int")).alias("rank"), method.alias("method"), F.col("base").alias("confidence"))
-    return refs.join(_first(ranked), "ref_id", "left").select(*refs.columns, "hit.artifact_id", "hit.method", "hit.confidence")
+    found = refs.join(_first(ranked), "ref_id", "left").select(*refs.columns, "hit.artifact_id", "hit.method", "hit.confidence")
+    rest = found.where("artifact_id is null and raw_text is not null").select(F.col("raw_text").alias("name"), F.col("expected_type").alias("_type")).distinct()
+    named = artifacts.select(F.lower("name").alias("target"), "artifact_id", "type").where("target <> ''")
+    alike = rest.join(likenesses(rest.select("name"), named.select("target"), fuzzy), "name").join(named, "target").where("_type is null or _type = type")
+    best = alike.groupBy(F.col("name").alias("_name"), "_type").agg(F.min_by(F.struct("artifact_id", "score"), F.struct(-F.col("score"), "artifact_id")).alias("_hit"))
+    same = F.col("artifact_id").isNull() & (F.col("raw_text") == F.col("_name")) & F.col("expected_type").eqNullSafe(F.col("_type"))
+    return found.join(best, same, "left").select(
+        *refs.columns,
+        F.coalesce("artifact_id", "_hit.artifact_id").alias("artifact_id"),
+        F.coalesce("method", F.when(F.col("_hit").isNotNull(), "fuzzy")).alias("method"),
+        F.coalesce("confidence", "_hit.score").alias("confidence"),
+    )
+
+
+def _words(name: str) -> set[str]:
+    return set(name.lower().replace("-", " ").replace("_", " ").split())
 
 
 def token_set_ratio(a: str, b: str) -> float:
     """Likeness, 0 to 1, of two names as sets of words: shared words count once, the rest by longest common
     subsequence."""
-    x, y = set(a.lower().replace("-", " ").replace("_", " ").split()), set(b.lower().replace("-", " ").replace("_", " ").split())
+    x, y = _words(a), _words(b)
     both = " ".join(sorted(x & y))
     left, right = (" ".join(filter(None, [both, " ".join(sorted(s))])) for s in (x - y, y - x))
     if both and (not x - y or not y - x):
@@ -97,23 +116,53 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known[p] for p in zip(a, b)], dtype=float)
 
 
-def trigrams(name: Column) -> Column:
-    """Distinct runs of three characters of a padded lower-case name, to find candidates by."""
-    padded = F.concat(F.lit("  "), F.lower(name), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+def _gram_size(least: float) -> int:
+    """The longest runs of which names without a common word must share one to be that much alike."""
+    return 3 if least >= 0.8 else 2 if least >= 2 / 3 else 1
+
+
+def name_grams(name: str, q: int) -> list[str]:
+    """Keys to find likenesses by: each word, and each run of q characters of the sorted words, padded, with its number
+    among equal runs."""
+    words = sorted(_words(name))
+    if not words:
+        return []
+    padded, seen, out = "\x02" * (q - 1) + " ".join(words) + "\x03" * (q - 1), {}, ["w" + w for w in words]
+    for k in range(len(padded) - q + 1):
+        gram = padded[k : k + q]
+        seen[gram] = seen.get(gram, 0) + 1
+        out.append(f"g{gram}{seen[gram]}")
+    return out
+
+
+def likenesses(names: DataFrame, targets: DataFrame, least: float) -> DataFrame:
+    """(name, target, score) of all pairs of distinct names and targets (one column each) with likeness >= least > 0.
+
+    Pairs that share a word meet by it. Of others the likeness is that of the sorted words, 2 L / S (L the common
+    subsequence, S both lengths): a character that is not in L breaks q runs where it is and q - 1 where it is not, so
+    that at least (2 q - 1) L - (q - 1) (S - 1) runs are shared, and pairs that share fewer are not scored.
+    """
+    q = _gram_size(least)
+    grams = F.pandas_udf(lambda s: s.map(lambda name: name_grams(name, q)), T.ArrayType(T.StringType()))
+
+    def side(df: DataFrame, name: str, n: str) -> DataFrame:
+        keyed = df.where(F.col(name).isNotNull()).distinct().withColumn("_keys", grams(name))
+        return keyed.select(name, (F.size(F.filter("_keys", lambda k: k.startswith("g"))) - (q - 1)).alias(n), F.explode("_keys").alias("g"))
+
+    met = side(names, "name", "m").join(side(targets, "target", "n"), "g")
+    near = met.groupBy("name", "target", "m", "n").agg(F.count_if(F.col("g").startswith("w")).alias("_words"), F.count(F.lit(1)).alias("_met"))
+    size = F.col("m") + F.col("n")
+    bound = F.lit((2 * q - 1) * (least - 1e-6) / 2) * size - (q - 1) * (size - 1) - F.lit(1e-6)
+    scored = near.where((F.col("_words") > 0) | (F.col("_met") >= bound))
+    return scored.select("name", "target", F.round(_likeness("name", "target"), 6).alias("score")).where(F.col("score") >= least)
 
 
-def fuzzy_candidates(names: DataFrame, targets: DataFrame, least: float, most: int, shared: int = 2) -> DataFrame:
+def fuzzy_candidates(names: DataFrame, targets: DataFrame, least: float, most: int) -> DataFrame:
     """For each (id, name) up to most targets (target_id, target) with likeness >= least, best first.
 
-    Candidates share at least `shared` trigrams and have lengths that allow the likeness; distinct names are scored
-    once. Columns: id, target_id, score, place.
+    Distinct names are scored once. Columns: id, target_id, score, place.
     """
-    left = names.select("name").distinct().select("name", F.explode(trigrams(F.col("name"))).alias("g"))
-    right = targets.select("target").distinct().select("target", F.explode(trigrams(F.col("target"))).alias("g"))
-    near = left.join(right, "g").groupBy("name", "target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared)
-    scored = near.withColumn("score", F.round(_likeness("name", "target"), 6)).where(F.col("score") >= least)
-    found = names.join(scored, "name").join(targets, "target")
+    found = names.join(likenesses(names.select("name"), targets.select("target"), least), "name").join(targets, "target")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "target_id"))
     return found.select("id", "target_id", "score", place.alias("place")).where(F.col("place") <= most)
 

@@ -38,12 +38,12 @@ h AS (SELECT r.*, (SELECT arg_min({'id': artifact_id, 'rk': rk}, {'rk': rk, 'id'
 
 @registry.add(f"""WITH {RESOLVED} SELECT ref_id, raw_text, expected_type, hit.id AS artifact_id, CASE hit.rk WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' END AS method, CASE WHEN hit IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM h""")
 def exact_resolve(spark, d):
-    return resolve.resolve(_refs(spark, d), _artifacts(spark, d), [])
+    return resolve.resolve(_refs(spark, d), _artifacts(spark, d))
 
 
 @registry.add(f"WITH {RESOLVED} SELECT coalesce(CASE hit.rk WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' END, 'unresolved') AS method, count(*) AS n FROM h GROUP BY 1")
 def resolution_stats(spark, d):
-    found = resolve.resolve(_refs(spark, d), _artifacts(spark, d), [])
+    found = resolve.resolve(_refs(spark, d), _artifacts(spark, d))
     return found.groupBy(F.coalesce("method", F.lit("unresolved")).alias("method")).agg(F.count(F.lit(1)).alias("n"))
 
 
