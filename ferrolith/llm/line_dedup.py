@@ -1,26 +1,29 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of (key, n_docs) sorted by key, the key being the 128-bit hash of a normalised line. Each
-batch of documents adds a run at level 0 with the number of its documents that hold each key; when a level holds
-`fanout` runs they are merged into one run of the next level, summing counts, so that a store of any age has few runs.
-New lines are anti-joined, and frequent lines semi-joined, against the runs by key.
+A run is a table of (key, n_docs, fresh), the key being the 128-bit hash of a normalised line, bucketed and sorted by
+key. Batches of documents come one after another: a batch's keys are merge-anti-joined with the runs, which tells the
+lines that no batch had before (fresh) from known ones, and both enter as a new run at level 0 with the number of the
+batch's documents that hold them. When a level holds `fanout` runs they are merged into one run of the next level, so
+that a store of any age has few runs. All runs have the same buckets: merging and joining them shuffles nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrolith.llm.stages import new_path
+from ferrolith.llm.stages import new_path, written
 
 #: The white space that is stripped at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_DOCS = 10
-BATCHES = 4
-
-RUN_SCHEMA = "key binary, n_docs bigint"
+BATCHES = 6
+#: Keys (16 bytes, under 100 MB in memory) up to which the frequent ones are broadcast; beyond, they are joined by
+#: shuffle, where adaptive execution splits a partition that a very common line makes large.
+BROADCAST_KEYS = 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -30,64 +33,76 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """A store of runs below one folder, at paths <folder>/<level>-<number>."""
+    """A store of runs below one folder of the shared storage, each a bucketed table of the session's catalogue.
+
+    buckets: files of a run, and tasks of a merge; the session's number of shuffle partitions if not given.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4):
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4, buckets: int | None = None):
         self.spark, self.folder, self.fanout = spark, folder or new_path(spark, "line-runs"), fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self._made = 0
 
-    def _path(self, level: int) -> str:
+    def _write(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self._made += 1
-        return f"{self.folder}/{level}-{self._made}"
-
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = self._path(level)
-        counts.sortWithinPartitions("key").write.parquet(path)
-        self.levels[level].append(path)
-
-    def add(self, keys: DataFrame) -> None:
-        """Adds a run from a batch's keys: one row (key) for each document and key it holds."""
-        self._write(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")), 0)
+        name = f"{self.name}_{level}_{self._made}"
+        run.write.format("parquet").option("path", f"{self.folder}/{level}-{self._made}").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        self.levels[level].append(name)
+
+    def _run(self, name: str) -> DataFrame:
+        # the filter, which all rows pass, makes the scan's output rows: a union of columnar bucketed scans counts as
+        # bucketed too (Spark 4.1), but does not keep the buckets together
+        return self.spark.table(name).where("n_docs > 0")
+
+    def runs(self) -> list[DataFrame]:
+        return [self._run(name) for level in self.levels for name in level]
+
+    def _all(self, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, map(self._run, names))
+
+    def add(self, counts: DataFrame) -> None:
+        """Adds a batch: one row (key, n_docs) for each key it holds."""
+        dealt = counts.select("key", "n_docs").repartition(self.buckets, "key")
+        if not self._made:
+            self._write(dealt.withColumn("fresh", F.lit(True)), 0)
+        else:
+            fresh = self.unseen(dealt)
+            known = dealt.join(fresh.select("key"), "key", "left_anti")
+            self._write(fresh.withColumn("fresh", F.lit(True)).unionByName(known.withColumn("fresh", F.lit(False))), 0)
         self.compact()
 
     def add_batches(self, keys: DataFrame, batches: int) -> None:
-        """Adds the runs of many batches (column batch, from 0) in one job, and compacts."""
-        path = self._path(0)
-        counts = keys.groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n_docs"))
-        counts.sortWithinPartitions("batch", "key").write.partitionBy("batch").parquet(path)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        """Adds batches (column batch, from 0, of rows batch, key: one for each document and key) one after another."""
+        counts = written(keys.groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n_docs")), "line-batches")
         for b in range(batches):
-            if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}")):
-                self.levels[0].append(f"{path}/batch={b}")
-        self.compact()
+            self.add(counts.where(F.col("batch") == b))
 
     def compact(self) -> None:
         """Merges each full level into one run of the next."""
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                merged = self.read(self.levels[level]).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+                merged = self._all(self.levels[level]).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("fresh").alias("fresh"))
                 self._write(merged, level + 1)
                 self.levels[level] = []
             level += 1
 
     def counts(self) -> DataFrame:
         """(key, n_docs) over all runs."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        runs = self.read(paths)
-        return runs if len(paths) == 1 else runs.groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+        names = [name for level in self.levels for name in level]
+        if not names:
+            return self.spark.createDataFrame([], "key binary, n_docs bigint")
+        return self._all(names).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of lines (column key) whose key no run holds: a merge anti-join with each level's runs."""
-        return reduce(lambda left, paths: left.join(self.read(paths).select("key"), "key", "left_anti"), [p for p in self.levels if p], lines)
+        """The rows of lines (column key) whose key no run holds: a merge anti-join with each run, whose buckets stay."""
+        for run in self.runs():
+            lines = lines.join(run.select("key").hint("merge"), "key", "left_anti")
+        return lines
 
 
 def row_key(*columns: Column) -> Column:
@@ -101,28 +116,49 @@ def _lines(text: Column) -> Column:
 
 def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the lines whose key is in frequent (column key): text, and n_lines and n_dropped, which replace
-    columns so named. Only keys and positions are shuffled to the runs; texts move once, to meet their positions."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_row")]
-    keyed = docs.select(*names, row_key(F.col(doc_id), F.col(text)).alias("_row"))
-    lines = keyed.select("_row", F.posexplode(F.transform(_lines(F.col(text)), line_key)).alias("pos", "key")).where("key is not null")
-    hits = lines.join(frequent.select("key"), "key", "left_semi").groupBy("_row").agg(F.collect_set("pos").alias("_drop"))
-    joined = keyed.join(hits, "_row", "left").withColumn("_lines", _lines(F.col(text)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in names], F.size("_lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint").alias("n_dropped"))
-
-
-def document_keys(docs: DataFrame, text: str = "text", batches: int = 1) -> DataFrame:
-    """(batch, key): one row for each document and each distinct key it holds. Batches are dealt by the text."""
-    keys = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), line_key), lambda k: k.isNotNull()))
-    return docs.select(F.pmod(F.xxhash64(text), F.lit(batches)).alias("batch"), F.explode(keys).alias("key"))
+    columns so named; other columns stay, whatever their names. Only positions are shuffled, and texts once, to meet
+    their positions; keys too where frequent is too large to broadcast."""
+    names = docs.columns
+    kept_names = [c for c in names if c not in ("n_lines", "n_dropped")]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: f"c{names.index(c)}" for c in kept_names}
+    keyed = plain.select(*at.values(), row_key(F.col(at[doc_id]), F.col(at[text])).alias("row"))
+    lines = keyed.select("row", F.posexplode(F.transform(_lines(F.col(at[text])), line_key)).alias("pos", "key")).where("key is not null")
+    frequent = written(frequent.select("key"), "line-frequent")
+    if frequent.count() <= BROADCAST_KEYS:
+        frequent = F.broadcast(frequent)
+    hits = lines.join(frequent, "key", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("drop"))
+    joined = keyed.join(hits, "row", "left")
+    whole = F.coalesce(F.col(at[text]), F.lit(""))
+
+    def without(ls: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drop"))
+        return F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n")
+
+    # the lines are bound to a variable of a function, as an expression would be split anew for each line
+    cut = F.transform(F.array(_lines(F.col(at[text]))), without)[0]
+    kept = F.when(F.col("drop").isNull(), whole).otherwise(cut)
+    n_lines = F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1
+    out = joined.select(*[kept if c == text else F.col(at[c]) for c in kept_names], n_lines.cast("bigint"), F.coalesce(F.size("drop"), F.lit(0)).cast("bigint"))
+    return out.toDF(*kept_names, "n_lines", "n_dropped")
+
+
+def document_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batches: int = 1) -> DataFrame:
+    """(batch, key): one row for each document and each distinct key it holds. Rows of one doc_id are one document; a
+    row without doc_id is one of its own, and rows without doc_id of the same text are one. Batches are dealt by
+    document."""
+    keys = F.transform(_lines(F.col(text)), line_key)
+    own = F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(F.col(text), F.lit("no id")))
+    held = docs.select(F.pmod(own, F.lit(batches)).cast("int").alias("batch"), F.col(doc_id).alias("doc"), F.when(F.col(doc_id).isNull(), F.xxhash64(text)).alias("other"), F.explode(keys).alias("key"))
+    return held.where("key is not null").distinct().select("batch", "key")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
-    """docs without the lines that at least min_docs documents (rows) hold, n_lines (before) and n_dropped.
+    """docs without the lines that at least min_docs documents hold, n_lines (before) and n_dropped.
 
     A null text counts as empty: one empty line, which has no key and stays. A line of white space has no key either.
-    Repeated rows count as documents each. Other lines stay in order, joined by \\n. runs: a store that already holds
+    Rows of one doc_id are one document when documents are counted, but each is cut and returned for itself (see
+    document_keys for rows without one). Other lines stay in order, joined by \\n. runs: a store that already holds
     earlier batches, whose counts then count too.
     """
     runs = runs or LineRuns(docs.sparkSession)
@@ -133,9 +169,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
 def dedup_new_lines(batch: DataFrame, runs: LineRuns) -> DataFrame:
     """A batch without the lines that earlier batches held, and its own keys added to the runs (keep-first dedup of a
     stream of batches; within the batch, repeats stay). The result is bound to the runs as they were before."""
-    held = runs.counts().select("key")
-    out = drop_lines(batch, held)
-    runs.add(document_keys(batch).select("key"))
+    counts = written(document_keys(batch).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")), "line-batch")
+    known = counts.select("key").join(runs.unseen(counts).select("key"), "key", "left_anti")
+    out = drop_lines(batch, known)
+    runs.add(counts)
     return out
 
 
@@ -145,18 +182,20 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, text, coalesce('v' || CAST(doc_id AS VARCHAR), 'n' || md5(text)) AS doc FROM documents
+), lines AS (
+  SELECT r, doc_id, doc, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
+  FROM (SELECT r, doc_id, doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM rows)
 ), keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, doc, pos, line,
     regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS key
   FROM lines
 ), frequent AS (
-  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key
-GROUP BY doc_id
+GROUP BY r, doc_id
 """

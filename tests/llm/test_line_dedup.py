@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.llm import line_dedup as ld
 from tests.conftest import against_duckdb
-from tests.llm.cases import AWKWARD, documents, with_clashes
+from tests.llm.cases import AWKWARD, documents, saved, with_clashes
 
 
 def key(line):
@@ -30,29 +30,59 @@ TEXTS = AWKWARD + ["Footer \nown line", " footer\nown line two\nfooter", "FOOTER
 
 @pytest.mark.parametrize("least", [2, 4, 10])
 def test_equals_brute_force(spark, least):
-    docs = with_clashes(documents(spark, TEXTS), "n_lines", "n_dropped", "key", "pos")
-    found = ld.dedup_lines(docs, least, batches=3).collect()
+    clashes = ("n_lines", "n_dropped", "key", "pos", "_drop", "_lines", "_row", "drop", "lines", "row", "batch", "doc")
+    docs = with_clashes(documents(spark, TEXTS), *clashes)
+    out = ld.dedup_lines(docs, least, batches=5)
+    assert out.columns == [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    found = out.collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found) == [(i, *x) for i, x in enumerate(brute(TEXTS, least))]
+    assert all(r[c] == "clash" for r in found for c in clashes[2:])
 
 
 def test_repeated_and_null_ids(spark):
-    docs = documents(spark, ["x\ny", "x\ny", "x\nz", "x"], ids=[1, 1, 1, None])
-    found = ld.dedup_lines(docs, 4).collect()
-    assert sorted(r.text for r in found) == ["", "y", "y", "z"] and len(found) == 4
+    docs = documents(spark, ["x\ny", "x\ny", "x\nz", "x", "x\nv"], ids=[1, 1, 2, None, None])
+    assert sorted(r.text for r in ld.dedup_lines(docs, 5).collect()) == ["x", "x\nv", "x\ny", "x\ny", "x\nz"]
+    assert sorted(r.text for r in ld.dedup_lines(docs, 4).collect()) == ["", "v", "y", "y", "z"]
     assert ld.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_equal_sql(spark, tmp_path):
+    rows = [("common\nown %d" % (i % 7), i // 3 if i % 5 else None) for i in range(40)] + [("common", 3)] * 20 + [("rare\nline", 4)] * 12
+    saved(documents(spark, [t for t, _ in rows], ids=[i for _, i in rows]), tmp_path, "documents")
+    a, b = against_duckdb(ld.op1_line_dedup(spark, str(tmp_path)), ld.OP1_SQL, str(tmp_path))
+    assert a == b and len(a) == len(rows)
+
+
 def test_levels_are_compacted_and_hold_all_counts(spark):
     runs = ld.LineRuns(spark, fanout=2)
     for batch in (["a\nb"], ["a\nc", "a"], ["a"], ["d\nb"], ["a"]):
-        runs.add(ld.document_keys(documents(spark, batch)).select("key"))
+        runs.add(ld.document_keys(documents(spark, batch)).groupBy("key").agg(F.count("*").alias("n_docs")))
         assert all(len(level) < 2 for level in runs.levels)
     found = {bytes(r.key): r.n_docs for r in runs.counts().collect()}
     assert found == {hashlib.md5(k).digest(): n for k, n in ((b"a", 5), (b"b", 2), (b"c", 1), (b"d", 1))}
+    fresh = [bytes(r.key) for run in runs.runs() for r in run.where("fresh").collect()]
+    assert sorted(fresh) == sorted(found)
     keys = spark.createDataFrame([("a",), ("new",)], "line string").withColumn("key", ld.line_key(F.col("line")))
     assert [r.line for r in runs.unseen(keys).collect()] == ["new"]
 
 
+def test_runs_are_merged_and_anti_joined_without_a_shuffle(spark):
+    runs = ld.LineRuns(spark, buckets=5)
+    for batch in (["a\nb"], ["a\nc", "a"], ["q"]):
+        runs.add(ld.document_keys(documents(spark, batch)).groupBy("key").agg(F.count("*").alias("n_docs")))
+    plan = runs.counts()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 3
+    keys = spark.createDataFrame([("a",), ("new",)], "line string").withColumn("key", ld.line_key(F.col("line"))).repartition(5, "key")
+    plan = runs.unseen(keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti") == 3 and plan.count("Exchange") == 1
+
+
+def test_a_text_longer_than_two_megabytes(spark):
+    long = "\n".join(f"line {i}" for i in range(250_000))
+    found = {r.doc_id: r for r in ld.dedup_lines(documents(spark, [long, "line 5\nother"]), 2).collect()}
+    assert len(long) > 1 << 21 and (found[0].n_lines, found[0].n_dropped, found[1].text) == (250_000, 1, "other")
+
+
 def test_new_batches_lose_lines_of_earlier_ones(spark):
     runs = ld.LineRuns(spark)
     first = ld.dedup_new_lines(documents(spark, ["one\ntwo"]), runs)
