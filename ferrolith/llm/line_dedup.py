@@ -149,7 +149,9 @@ def document_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", b
     document."""
     keys = F.transform(_lines(F.col(text)), line_key)
     own = F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(F.col(text), F.lit("no id")))
-    held = docs.select(F.pmod(own, F.lit(batches)).cast("int").alias("batch"), F.col(doc_id).alias("doc"), F.when(F.col(doc_id).isNull(), F.xxhash64(text)).alias("other"), F.explode(keys).alias("key"))
+    # all that depends on the text is settled before its lines become rows, which then don't carry it
+    held = docs.select(F.pmod(own, F.lit(batches)).cast("int").alias("batch"), F.col(doc_id).alias("doc"), F.when(F.col(doc_id).isNull(), F.xxhash64(text)).alias("other"), keys.alias("keys"))
+    held = held.select("batch", "doc", "other", F.explode("keys").alias("key"))
     return held.where("key is not null").distinct().select("batch", "key")
 
 

@@ -79,7 +79,7 @@ def test_runs_are_merged_and_anti_joined_without_a_shuffle(spark):
 
 def test_a_text_longer_than_two_megabytes(spark):
     long = "\n".join(f"line {i}" for i in range(250_000))
-    found = {r.doc_id: r for r in ld.dedup_lines(documents(spark, [long, "line 5\nother"]), 2).collect()}
+    found = {r.doc_id: r for r in ld.dedup_lines(documents(spark, [long, "line 5\nother"]), 2, batches=2).collect()}
     assert len(long) > 1 << 21 and (found[0].n_lines, found[0].n_dropped, found[1].text) == (250_000, 1, "other")
 
 
