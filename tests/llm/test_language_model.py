@@ -26,12 +26,12 @@ def brute(texts, alpha=0.4, least=2):
     return out
 
 
-@pytest.mark.parametrize("chars", [200, 10_000_000])
-def test_equals_brute_force(spark, chars):
-    texts = AWKWARD + ["a b c a b d", "A B x", "c a b", "the cat sat", "z"] * 3
-    docs = with_clashes(documents(spark, texts), "batch", "n_words", "counts")
-    found = sorted(lm.stupid_backoff(docs, batch_chars=chars).collect(), key=lambda r: r.doc_id)
-    for r, (n, backed, score) in zip(found, brute(texts)):
+@pytest.mark.parametrize("words, pairs, least", [(1 << 20, 1 << 19, 2), (20, 10, 2), (30, 300, 1), (1, 1, 3)])
+def test_equals_brute_force(spark, words, pairs, least):
+    texts = AWKWARD + ["a b c a b d", "A B x", "c a b", "the cat sat", "z", "q r", "q r q s", "only here once"] * 3 + ["rare1 rare2 a rare1 b", "rare3 rare4", "rare3 rare4 x"]
+    docs = with_clashes(documents(spark, texts), "k", "key", "o", "n_words", "count", "c")
+    found = sorted(lm.stupid_backoff(docs, least=least, words=words, pairs=pairs).collect(), key=lambda r: r.doc_id)
+    for r, (n, backed, score) in zip(found, brute(texts, least=least)):
         assert (r.n_words, r.n_backoff) == (n, backed)
         assert r.log_score is None if score is None else r.log_score == pytest.approx(score)
         assert r.mean_log_score is None if score is None else r.mean_log_score == pytest.approx(score / n)
