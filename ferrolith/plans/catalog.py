@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrolith.plans import entities, graphs, texts
+from ferrolith.plans import entities, graphs, programs, texts
 
-QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL
+QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES | programs.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL | programs.ORACLE_SQL
