@@ -1,6 +1,9 @@
 """A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents that it keeps.
 
-All stages but the last return the columns of documents; the last returns sampled segmentations with their ids.
+All stages but the last return the columns of documents, and any others that docs has, whatever their names; the last
+returns sampled segmentations with their ids. An empty table stays empty. A null text counts as empty, which the first
+stage rejects. Rows without doc_id are documents of their own, which no label or near duplicate touches; repeated rows
+are each cut and taken alike.
 """
 
 from __future__ import annotations
@@ -13,6 +16,10 @@ from ferrolith.llm import line_dedup, mixing, near_duplicates, quality_rules, se
 from ferrolith.llm.stages import written
 
 
+#: Stages take five words and 80 %; only the registered query of the operator is defined on four words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base limits and the learned decision list keep."""
     rules = quality_rules.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,8 +33,9 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near duplicates."""
-    found = near_duplicates.near_duplicates(docs)
+    """One document, the one of the smallest id, of each group of near duplicates: NEAR_WORDS-word shingles, similarity
+    NEAR_PERCENT % or more. Rows of one doc_id are one document; rows without doc_id stay."""
+    found = near_duplicates.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT)
     gone = written(found.where("not kept").select("doc_id").distinct(), "near-gone")
     return near_duplicates.without_ids(docs, gone)
 
@@ -39,7 +47,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Distinct sampled segmentations of every document, with their ids."""
-    return segmentations.sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), chunk_bytes=1 << 19)
+    return segmentations.sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
