@@ -32,27 +32,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def _ranked(known: DataFrame) -> DataFrame:
+    """known with its number from 0 in order of source, by code point, null last: ranges of sources are numbered where
+    they are, from how many the ranges before hold; one number a range comes to the driver."""
+    order = F.col("source").asc_nulls_last()
+    dealt = written(known.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-sources")
+    before, held = 0, {}
+    for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        held[r.part], before = before, before + r.n
+    if not held:
+        return dealt.select("source", "source_size", F.lit(0).cast("bigint").alias("number"))
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in held.items() for x in kv]), F.col("part"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return dealt.select("source", "source_size", (start + within).cast("bigint").alias("number"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """(source, source_size, target) from (source, size) rows.
 
     Sources by code point, null last, have the weights in turn and share the total. A target stops at most times its
     source's size, and the excess is shared again by weight among the rest: target = min(most * size, level * weight)
-    for the one level at which targets sum to the total, found by running sums over the sources in order of
-    size / weight. The table of sources, one row each, is small beside the documents.
+    for the one level at which targets sum to the total. The level rises from total / weights: each round adds up the
+    sources that it stops, and shares what they leave among the others, until no more are stopped.
     """
-    known = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_need = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    so_far, rest = by_need.rowsBetween(Window.unboundedPreceding, -1), by_need.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
+    known = _ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    known = written(known.select("source", "source_size", weight.cast("bigint").alias("weight")), "mix-weights")
     cap = most * F.col("source_size")
+    total = known.agg(F.sum("source_size")).first()[0] or 0
+    level, stopped = 0.0, -1
+    while total:
+        over = F.lit(stopped >= 0) & (F.lit(level) * F.col("weight") > cap)
+        r = known.agg(F.count(F.when(over, 1)), F.sum(F.when(over, cap)), F.sum(F.when(~over, F.col("weight")))).first()
+        if r[0] == stopped:
+            break
+        stopped, level = r[0], (total - (r[1] or 0)) / r[2]
     return (
-        known.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-        .withColumn("ratio", F.col("source_size") / F.col("weight"))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(so_far), F.lit(0))) / F.sum("weight").over(rest))
-        .withColumn("place", F.row_number().over(by_need))
-        .withColumn("level", F.min_by("level", F.when(F.col("level") * F.col("weight") <= cap, F.col("place"))).over(everything))
-        .select("source", "source_size", F.least(cap.cast("double"), F.col("level") * F.col("weight")).alias("target"))
+        known.select("source", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
         .withColumn("copies", F.coalesce(F.floor(F.try_divide("target", F.col("source_size"))), F.lit(0)).cast("bigint"))
         .withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     )
