@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.llm.bytetext import Chunk, chunks
@@ -19,7 +19,8 @@ from ferrolith.llm.columns import with_text_columns
 from ferrolith.llm.samples import held_out, labelled_sample
 
 SAMPLE_ROWS = 6_000
-CHUNKS_A_ROW = 8
+#: Bytes of text in the sample: rows are taken in hash order of their ids while they fit.
+SAMPLE_BYTES = 24 << 20
 
 HALF = 256  # bytes; a chunk is two halves
 STRIDE = 2
@@ -62,14 +63,7 @@ class Network:
 
     def scores(self, chunk: Chunk) -> np.ndarray:
         """The probability of label 1 for each document of a chunk."""
-        size = np.diff(chunk.offsets)
-        # WIDTH zeros before each document keep windows of the one before from reading its bytes
-        n_halves = (WIDTH + size + HALF - 1) // HALF
-        first = np.concatenate([[0], np.cumsum(n_halves)])
-        padded = np.zeros(first[-1] * HALF + WIDTH, np.uint8)
-        for k in range(chunk.n):
-            at = first[k] * HALF + WIDTH
-            padded[at : at + size[k]] = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]]
+        padded, n_halves, first = padded_halves(chunk)
         halves = self.halves(padded)
         # a chunk starts at each half that another half of its document follows, and at a document's only half
         lone = np.repeat(n_halves == 1, n_halves)
@@ -83,6 +77,19 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(mean, -30, 30)))
 
 
+def padded_halves(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' bytes, each from a half of its own on, how many halves each has, and where its first one is. WIDTH
+    zeros before each keep windows of the one before from reading its bytes, and WIDTH bytes follow the last half."""
+    size = np.diff(chunk.offsets)
+    n_halves = (WIDTH + size + HALF - 1) // HALF
+    first = np.concatenate([[0], np.cumsum(n_halves)])
+    padded = np.zeros(first[-1] * HALF + WIDTH, np.uint8)
+    for k in range(chunk.n):
+        at = first[k] * HALF + WIDTH
+        padded[at : at + size[k]] = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]]
+    return padded, n_halves, first
+
+
 def constant(probability: float) -> Network:
     """The network that gives every text the same probability, for want of labels."""
     p = min(max(probability, 1e-3), 1 - 1e-3)
@@ -91,16 +98,18 @@ def constant(probability: float) -> Network:
 
 
 def training_pieces(chunk: Chunk) -> dict[str, list[bytes]]:
-    """Up to CHUNKS_A_ROW chunks of each document, evenly spaced over all of it."""
+    """The chunks of each document, all of them and cut as for scores, each with the WIDTH bytes that follow it."""
+    padded, n_halves, first = padded_halves(chunk)
     out = []
     for k in range(chunk.n):
-        body = chunk.data[chunk.offsets[k] : chunk.offsets[k + 1]]
-        count = max(1, -(-max(0, len(body) - HALF) // HALF))
-        picks = np.unique(np.linspace(0, count - 1, min(count, CHUNKS_A_ROW)).round().astype(int))
-        rows = np.zeros((len(picks), 2 * HALF), np.uint8)
-        for i, c in enumerate(picks):
-            piece = body[c * HALF : (c + 2) * HALF]
+        starts = (first[k] + np.arange(max(1, n_halves[k] - 1))) * HALF
+        rows = np.zeros((len(starts), 2 * HALF + WIDTH), np.uint8)
+        for i, at in enumerate(starts):
+            # a lone half is a chunk; what stands after it belongs to the next document
+            piece = padded[at : at + (2 if n_halves[k] > 1 else 1) * HALF + WIDTH]
             rows[i, : len(piece)] = piece
+        if n_halves[k] == 1:
+            rows[:, HALF + WIDTH :] = 0
         out.append(rows.tobytes())
     return {"pieces": out}
 
@@ -124,8 +133,7 @@ def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int
             docs = order[lo : lo + batch]
             rows = np.concatenate([pieces[d] for d in docs])
             owner = np.repeat(np.arange(len(docs)), [len(pieces[d]) for d in docs])
-            padded = np.pad(rows, ((0, 0), (0, WIDTH)))
-            response = sum(net.tables[j][padded[:, j : j + 2 * HALF : STRIDE]] for j in range(WIDTH))
+            response = sum(net.tables[j][rows[:, j : j + 2 * HALF : STRIDE]] for j in range(WIDTH))
             where = response.argmax(axis=1)  # chunk x filter
             pooled = np.take_along_axis(response, where[:, None], axis=1)[:, 0]
             x = np.maximum(pooled + net.bias, 0)
@@ -138,7 +146,7 @@ def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int
             d_x = d_hidden @ net.w1.T * (x > 0)
             grads = {"w2": hidden.T @ d_logit, "b2": d_logit.sum(keepdims=True), "w1": x.T @ d_hidden, "b1": d_hidden.sum(0), "bias": d_x.sum(0), "tables": np.zeros_like(net.tables)}
             for j in range(WIDTH):
-                seen = np.take_along_axis(padded, where * STRIDE + j, axis=1)
+                seen = np.take_along_axis(rows, where * STRIDE + j, axis=1)
                 np.add.at(grads["tables"][j], (seen, np.arange(FILTERS)[None]), d_x)
             grads["tables"][:, 0] = 0
             step += 1
@@ -150,12 +158,16 @@ def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Network:
-    """Trained on at most rows labelled documents that aren't held out, and at most CHUNKS_A_ROW chunks of each, so
-    that no more than rows * CHUNKS_A_ROW * 512 bytes (25 MB) reach the driver, whatever the size of the tables."""
-    sample = with_text_columns(labelled_sample(docs, labels, label, rows, ["doc_id", "text"]), lambda: training_pieces, {"pieces": "binary"}, ["doc_id", "y"])
-    found = sorted(sample.collect(), key=lambda r: (r.doc_id, bytes(r.pieces)))
-    return train([np.frombuffer(r.pieces, np.uint8).reshape(-1, 2 * HALF) for r in found], np.array([r.y for r in found], float))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Network:
+    """Trained on the whole texts of at most rows labelled documents that aren't held out, as many as fit in most_bytes
+    together, so that about twice that (chunks overlap by half) reaches the driver, whatever the size of the tables."""
+    sample = labelled_sample(docs, labels, label, rows, ["doc_id", "text"])
+    # the window is over at most `rows` rows of ids and sizes
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sample = sample.withColumn("upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("upto") <= most_bytes)
+    sample = with_text_columns(sample, lambda: training_pieces, {"pieces": "binary"}, ["doc_id", "y"])
+    found = sorted(sample.collect(), key=lambda r: r.doc_id)
+    return train([np.frombuffer(r.pieces, np.uint8).reshape(-1, 2 * HALF + WIDTH) for r in found], np.array([r.y for r in found], float))
 
 
 def classify(docs: DataFrame, network: Network, keep: list[str] | None = None) -> DataFrame:

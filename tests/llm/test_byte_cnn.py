@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ferrolith.llm import byte_cnn as c
-from ferrolith.llm.samples import held_out
+from ferrolith.llm.samples import held_out, labelled_sample
 from tests.llm.cases import AWKWARD, documents, with_clashes
 
 
@@ -27,7 +27,7 @@ def _pieces(texts):
 
     out = []
     for chunk in chunks(pa.array(texts, pa.binary())):
-        out += [np.frombuffer(p, np.uint8).reshape(-1, 2 * c.HALF) for p in c.training_pieces(chunk)["pieces"]]
+        out += [np.frombuffer(p, np.uint8).reshape(-1, 2 * c.HALF + c.WIDTH) for p in c.training_pieces(chunk)["pieces"]]
     return out
 
 
@@ -52,6 +52,49 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(together, alone, atol=1e-6)
 
 
+def plain_score(net, text):
+    """Window by window, filter by filter."""
+    body = bytes(c.WIDTH) + text
+    n_halves = -(-len(body) // c.HALF)
+    body += bytes(n_halves * c.HALF - len(body) + c.WIDTH)
+    logits = []
+    for half in range(max(1, n_halves - 1)):
+        places = range(half * c.HALF, min(half + 2, n_halves) * c.HALF, c.STRIDE)
+        x = [max(0.0, net.bias[f] + max(sum(float(net.tables[j][body[at + j]][f]) for j in range(c.WIDTH)) for at in places)) for f in range(c.FILTERS)]
+        hidden = [max(0.0, net.b1[h] + sum(x[f] * net.w1[f][h] for f in range(c.FILTERS))) for h in range(c.HIDDEN)]
+        logits.append(net.b2[0] + sum(hidden[h] * net.w2[h] for h in range(c.HIDDEN)))
+    return 1 / (1 + np.exp(-np.mean(logits)))
+
+
+def test_scores_equal_a_plain_convolution():
+    texts, y = _toy()
+    net = c.train(_pieces(texts[:60]), y[:60], steps=20)
+    some = [b"", b"a", b"x" * 250, b"y" * 251, texts[3], texts[4] * 2, "Été ".encode() * 100]
+    assert np.allclose(c.score_texts(net, some), [plain_score(net, t) for t in some], atol=1e-4)
+
+
+def test_training_sees_what_scoring_sees():
+    texts, y = _toy()
+    net = c.train(_pieces(texts[:60]), y[:60], steps=20)
+    for text in (b"", b"ab", b"x" * 250, texts[3], texts[4] * 3):
+        rows = _pieces([text])[0]
+        response = sum(net.tables[j][rows[:, j : j + 2 * c.HALF : c.STRIDE]] for j in range(c.WIDTH)).max(axis=1)
+        assert 1 / (1 + np.exp(-net.chunk_logits(response).mean())) == np.float32(c.score_texts(net, [text])[0]) or abs(1 / (1 + np.exp(-net.chunk_logits(response).mean())) - c.score_texts(net, [text])[0]) < 1e-5
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    docs = documents(spark, ["long " * 50] * 500 + ["b", "c"], ids=[1] * 500 + [2, 3])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)], "doc_id bigint, quality int")
+    sample = labelled_sample(docs, labels, "quality", 5, ["doc_id", "text"]).collect()
+    assert sorted(r.doc_id for r in sample) == [i for i in (1, 2, 3) if i in {r.doc_id for r in sample}] and len(sample) <= 3
+
+
+def test_a_text_longer_than_two_megabytes():
+    net = c.constant(0.8)
+    net.bias[:] = 1.0
+    assert abs(c.score_texts(net, [b"ab " * 800_000, b"x"])[0] - 0.8) < 0.01
+
+
 def test_awkward_rows(spark):
     docs = with_clashes(documents(spark, AWKWARD), "score")
     scored = c.classify(docs, c.constant(0.8))
