@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 4096
+#: Rows of the sample: SAMPLE_A_PART for each part, within these bounds (65,536 rows of 64 doubles are 33 MB).
+LEAST_SAMPLE, MOST_SAMPLE, SAMPLE_A_PART = 4096, 1 << 16, 64
 PARTS = 16
 GRAPH_DEGREE = 10
 RECALL = 0.95
@@ -145,6 +146,11 @@ def fit_router(sample: np.ndarray, parts: int = PARTS, recall: float = RECALL, d
     return router
 
 
+def parts_for(rows: int) -> int:
+    """The number of parts grows with the square root of the rows, up to what the largest sample can tell apart."""
+    return max(PARTS, min(MOST_SAMPLE // SAMPLE_A_PART, int(rows**0.5) // 14))
+
+
 def _rank_block(k: int):
     def rank(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         """The k nearest rows of each query, by exact distance and then vec_id."""
@@ -170,33 +176,40 @@ def _rank_block(k: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part: of the commonest length, without nulls, NaN or
-    infinities, not zero, with an id."""
+    """(vec_id, v array<double>) of the vectors that take part: with an id, without nulls, NaN or infinities, not zero."""
     v = F.col("embedding").cast("array<double>")
-    sized = vectors.select("vec_id", v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    top = sized.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     finite = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return sized.where((F.size("v") == (top[0].n if top else 0)) & finite & F.exists("v", lambda c: c != 0))
+    return vectors.select("vec_id", v.alias("v")).where("vec_id is not null and v is not null").where(finite & F.exists("v", lambda c: c != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE_ROWS, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int | None = None, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """For each row of vectors (vec_id, embedding) where is_query holds: query_id, rank from 1, vec_id, score.
 
     The k nearest other rows found, by Euclidean distance in double precision; ties go to the smaller vec_id; fewer if
-    there are fewer. Unusable vectors (see usable) take no part; rows that repeat a vec_id are never each other's
-    neighbours but each may be found. The router is fitted on at most sample_rows rows; all rows are indexed.
+    there are fewer. Unusable vectors (see usable) take no part. Distances are between vectors of one length: those of
+    the commonest length are routed, the vectors of each other length are one more part, which is searched whole. Rows
+    that repeat a vec_id are never each other's neighbours but each may be found, and as queries they have one ranking
+    together. The router is fitted on a bounded sample (see LEAST_SAMPLE) of the rows; all rows are indexed.
     """
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
+    lengths = {r.n: r.rows for r in rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    common = min(lengths, key=lambda n: (-lengths[n], n)) if lengths else 0
+    parts = parts or parts_for(lengths.get(common, 0))
+    sample_rows = sample_rows or min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLE_A_PART * parts))
+    sample = rows.where(F.size("v") == common).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
     router = fit_router(np.array([r.v for r in sample], float), parts, recall)
 
     def route(probes: int):
         def run(frames):
             for frame in frames:
-                if len(frame):
-                    p = router.probabilities(np.stack(frame["v"].to_numpy()))
+                size = frame["v"].map(len)
+                same = frame[size == common]
+                if len(same):
+                    p = router.probabilities(np.stack(same["v"].to_numpy()))
                     top = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"vec_id": np.repeat(frame["vec_id"].to_numpy(), probes), "v": np.repeat(frame["v"].to_numpy(), probes), "part": top.reshape(-1)})
+                    yield pd.DataFrame({"vec_id": np.repeat(same["vec_id"].to_numpy(), probes), "v": np.repeat(same["v"].to_numpy(), probes), "part": top.reshape(-1)})
+                if len(same) < len(frame):
+                    yield frame[size != common].assign(part=-size[size != common])
 
         return run
 
@@ -207,14 +220,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
     wanted = {r.part: r.n for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def blocks(counts: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(x) for p in range(router.parts) for x in (p, max(1, -(-counts.get(p, 0) // BLOCK_ROWS)))]), F.col("part"))
+        if not counts:
+            return F.lit(1)
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, n in counts.items() for x in (p, max(1, -(-n // BLOCK_ROWS)))]), F.col("part")), F.lit(1))
 
     def dealt(table: DataFrame, own: str, own_blocks, other: str, other_blocks) -> DataFrame:
         one = table.withColumn(own, F.pmod(F.xxhash64("vec_id"), own_blocks).cast("int"))
         return one.withColumn(other, F.explode(F.sequence(F.lit(0), other_blocks - 1)))
 
     queries = dealt(asked, "q", blocks(wanted), "r", blocks(held))
-    targets = dealt(indexed, "r", blocks(held), "q", blocks(wanted))
+    # rows of parts that no query is routed to need not meet any
+    targets = dealt(indexed.where(F.col("part").isin(*wanted)) if wanted else indexed.limit(0), "r", blocks(held), "q", blocks(wanted))
     keys = ["part", "q", "r"]
     found = queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(_rank_block(k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -43,6 +43,30 @@ def test_one_part_is_exact_with_ties_and_unusable_vectors(spark, monkeypatch):
     assert all(a[1] == pytest.approx(b[1], abs=1e-12) for q in got for a, b in zip(got[q], want[q]))
 
 
+def test_vectors_of_other_lengths_meet_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [rng.normal(0, 1, 4 if i % 10 else 3) for i in range(300)]
+    from tests.llm.cases import with_clashes
+
+    docs = with_clashes(table(spark, rows), "part", "v", "q", "r", "rank", "score", "query_id")
+    got = found(nn.nearest(docs, F.col("vec_id") % 50 == 0, sample_rows=256, parts=4, recall=1.0))
+    x, ids = np.array([v for v in rows if len(v) == 3]).astype(np.float32).astype(float), np.array([i for i in range(300) if len(rows[i]) == 3])
+    want = brute(x, ids)
+    assert set(got) == set(range(0, 300, 50)) and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in (0, 100, 200))
+
+
+def test_few_parts_are_probed_where_vectors_are_clustered(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (60, 24))
+    x = (centres[rng.integers(0, 60, 6000)] + rng.normal(0, 0.15, (6000, 24))).astype(np.float32)
+    ids = np.arange(6000)
+    got, want = found(nn.nearest(table(spark, x), F.col("vec_id") % 100 == 0, parts=24)), brute(x.astype(float), ids)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.9
+    assert nn.fit_router(x[:4096].astype(float), 24).probes <= 8
+    assert nn.parts_for(50_000) == 16 and nn.parts_for(10**6) == 71 and nn.parts_for(10**12) == 1024
+
+
 def test_few_or_no_rows(spark):
     assert found(nn.nearest(table(spark, [[1, 0], [0, 1], [1, 1]]), F.col("vec_id") % 100 == 0)) == {0: [(2, 1.0), (1, pytest.approx(2**0.5))]}
     assert nn.nearest(table(spark, [[1, 0]]).limit(0), F.lit(True)).count() == 0
