@@ -141,11 +141,25 @@ def _near(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _with_both(pairs: DataFrame, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pairs (a, b) with columns of the rows (column node) of either, as <new name>_a and <new name>_b. A node that is
+    the first of more than BLOCK pairs, as the leader of a large bucket is, has a copy for each BLOCK of them, so that
+    no task gets all of its pairs."""
+    crowded = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("copies")).where("copies > 1")
+    crowded = written(crowded.withColumnRenamed("a", "node"), "near-crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    a, b = (rows.select("node", *[F.col(c).alias(f"{new}_{k}") for c, new in columns.items()]) for k in "ab")
+    copies = F.coalesce("copies", F.lit(1))
+    a = a.join(crowded, "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    dealt = pairs.join(crowded.withColumnRenamed("node", "a"), "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
+    joined = dealt.join(a.withColumnRenamed("node", "a"), ["a", "copy"])
+    return joined.join(b.withColumnRenamed("node", "b"), "b").drop("copy")
+
+
 def _checked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sizes and signatures allow a link."""
-    light = classes.select("node", "n_shingles", "signature")
-    a, b = (light.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_near("n_a", "n_b", percent)).where(equal_share("s_a", "s_b") >= LEAST_SHARE).select("a", "b")
+    both = _with_both(pairs, classes, {"n_shingles": "n", "signature": "s"})
+    return both.where(_near("n_a", "n_b", percent)).where(equal_share("s_a", "s_b") >= LEAST_SHARE).select("a", "b")
 
 
 def _semi_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -165,9 +179,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
     # several rows may share an id: a pair is linked if any of their texts are
     sets = written(set_elements(_semi_by_id(docs, ids), words), "near-sets")
-    a, b = (sets.select(F.col("doc_id").alias(k), F.col("elements").alias(f"e_{k}")) for k in "ab")
+    both = _with_both(pairs, sets.withColumnRenamed("doc_id", "node"), {"elements": "e"})
     common = F.size(F.array_intersect("e_a", "e_b"))
-    linked = pairs.join(a, "a").join(b, "b").where(100 * common >= percent * (F.size("e_a") + F.size("e_b") - common))
+    linked = both.where(100 * common >= percent * (F.size("e_a") + F.size("e_b") - common))
     return written(linked.select("a", "b").distinct(), "near-links")
 
 
@@ -318,7 +332,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = classes.select("node", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
     shared = written(buckets.join(leaders, "band"), "near-buckets")
-    pairs = shared.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = written(shared.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-led")
     first = written(_checked(pairs, classes, percent), "near-pairs")
     links = verified(first, docs, words, percent)
     labels = written(components(links), "near-labels")

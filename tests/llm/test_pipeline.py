@@ -2,7 +2,6 @@ from collections import Counter
 
 import corpus_pipeline as cp
 
-from ferrolith.llm import near_duplicates as nd
 from ferrolith.llm import quality_rules as q
 from tests.llm.test_line_dedup import brute as lines_brute
 from tests.llm.test_near_duplicates import brute as near_brute
@@ -36,7 +35,7 @@ def test_stages_in_turn_equal_brute_force(spark, tmp_path):
     assert {r.doc_id: (r.text, r.n_chars) for r in tables["line dedup"]} == {i: (t, len(t)) for i, t in want.items()}
 
     source = sorted(tables["line dedup"], key=lambda r: r.doc_id)
-    want = {i for i, _, _, k in near_brute([r.doc_id for r in source], [r.text for r in source], nd.WORDS, nd.PERCENT) if k}
+    want = {i for i, _, _, k in near_brute([r.doc_id for r in source], [r.text for r in source], 5, 80) if k}
     assert Counter(r.doc_id for r in tables["near dedup"]) == Counter(want)
 
     times = Counter(r.doc_id for r in tables["source mixing"])
