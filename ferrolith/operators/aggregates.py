@@ -34,10 +34,10 @@ def union_lists(rows: DataFrame, key: list[str], column: str) -> DataFrame:
 
 def ticket_summary(tickets: DataFrame) -> DataFrame:
     """Counts by (type, state), (state), (cycle, state), (decision) and in all, in one pass with grouping sets."""
-    tickets.createOrReplaceTempView("_tickets")
     return tickets.sparkSession.sql(
-        "SELECT ticket_type, state, cycle, decision, count(*) AS n FROM _tickets "
-        "GROUP BY GROUPING SETS ((ticket_type, state), (state), (cycle, state), (decision), ())"
+        "SELECT ticket_type, state, cycle, decision, count(*) AS n FROM {tickets} "
+        "GROUP BY GROUPING SETS ((ticket_type, state), (state), (cycle, state), (decision), ())",
+        tickets=tickets,
     )
 
 
@@ -58,15 +58,23 @@ def first_n(values: Column, n: int) -> Column:
     return F.slice(F.array_sort(values), 1, n)
 
 
+def first_values(rows: DataFrame, key: str | list[str], value: str, most: int, order: list | None = None) -> DataFrame:
+    """(key, n, firsts): how many different values each key has, and the first most of them in order. Values beyond are
+    dropped by rank before they are gathered, so that no set of a frequent key is ever held."""
+    key = [key] if isinstance(key, str) else key
+    distinct = rows.groupBy(*key, value).agg(*[F.min(c).alias(c) for c in order]) if order else rows.select(*key, value).distinct()
+    n = distinct.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*(order or [value])))
+    firsts = distinct.withColumn("_k", place).where(F.col("_k") <= most).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col(value).alias("v")))), lambda x: x["v"]).alias("firsts"))
+    return n.join(firsts, key)
+
+
 def group_programs(edges: DataFrame, most: int = 3) -> DataFrame:
     """Per node (name) what it calls and is called by, with counts and the first few names."""
-    out = edges.groupBy(F.col("src").alias("name")).agg(F.collect_set("dst").alias("calls"))
-    into = edges.groupBy(F.col("dst").alias("name")).agg(F.collect_set("src").alias("called_by"))
-    both = out.join(into, "name", "full")
-    for c in ("calls", "called_by"):
-        values = F.coalesce(c, F.array().cast("array<string>"))
-        both = both.withColumn(f"n_{c}", F.size(values).cast("bigint")).withColumn(c, first_n(values, most))
-    return both
+    out = first_values(edges, "src", "dst", most).select(F.col("src").alias("name"), F.col("n").alias("n_calls"), F.col("firsts").alias("calls"))
+    into = first_values(edges, "dst", "src", most).select(F.col("dst").alias("name"), F.col("n").alias("n_called_by"), F.col("firsts").alias("called_by"))
+    both = out.join(into, "name", "full").fillna(0, ["n_calls", "n_called_by"])
+    return both.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("calls", "called_by")})
 
 
 def merge_chunks(rows: DataFrame, section_keys: dict[str, list[str]], doc: str = "doc_id", order: str = "chunk") -> dict[str, DataFrame]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolith.operators.aggregates import first_values
+
 #: Extensions that a target may carry beside its name.
 TARGET_EXTENSIONS = [".cpy", ".copy", ".cbl", ".cob", ".cobol"]
 
@@ -103,16 +105,6 @@ def file_stats(lines: DataFrame, artifacts: DataFrame) -> DataFrame:
     return n.join(held, "file_id", "left").fillna(0, ["n_artifacts", "artifact_lines"])
 
 
-def first_values(rows: DataFrame, key: str, value: str, most: int, order: list | None = None) -> DataFrame:
-    """(key, n, firsts): how many different values each key has, and the first most of them in order. Values beyond are
-    dropped by rank before they are gathered, so that no set of a frequent key is ever held."""
-    distinct = rows.groupBy(key, value).agg(*[F.min(c).alias(c) for c in order]) if order else rows.select(key, value).distinct()
-    n = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*(order or [value])))
-    firsts = distinct.withColumn("_k", place).where(F.col("_k") <= most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col(value).alias("v")))), lambda x: x["v"]).alias("firsts"))
-    return n.join(firsts, key)
-
-
 def file_summary(files: DataFrame, artifacts: DataFrame, callouts: DataFrame) -> DataFrame:
     """(file_id, n_artifacts, entry_points, main_calls) of files (column file_id).
 

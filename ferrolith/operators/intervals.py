@@ -15,9 +15,11 @@ def preceding_start(points: DataFrame, starts: DataFrame, key: str, at: str, sta
     return both.withColumn(name, F.last(name, ignorenulls=True).over(w)).where("_point = 1").drop("_point")
 
 
-def covering_range(points: DataFrame, ranges: DataFrame, key: str, at: str) -> DataFrame:
-    """points with name: the range (name, line_start, line_end) of smallest start that covers them, else UNKNOWN."""
-    hit = points.join(ranges, key).where(F.col(at).between(F.col("line_start"), F.col("line_end")))
+def covering_range(points: DataFrame, ranges: DataFrame, key: str, at: str, bin_size: int = 64) -> DataFrame:
+    """points with name: the range (name, line_start, line_end) of smallest start that covers them, else UNKNOWN. Ranges
+    may nest and overlap: they are put into bins of lines, so that a point meets only those of its own bin."""
+    spread = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("line_start") / bin_size), F.floor(F.col("line_end") / bin_size))))
+    hit = points.withColumn("_bin", F.floor(F.col(at) / bin_size)).join(spread, [key, "_bin"]).where(F.col(at).between(F.col("line_start"), F.col("line_end")))
     best = hit.groupBy(key, at).agg(F.min_by("name", F.struct("line_start", "name")).alias("name"))
     return points.join(best, [key, at], "left").withColumn("name", F.coalesce("name", F.lit("UNKNOWN")))
 

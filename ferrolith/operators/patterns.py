@@ -78,6 +78,30 @@ def coverage(matches: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     return counts.withColumn("coverage", F.round(100.0 * F.col("n_rules") / total, 2))
 
 
+def rule_counts(texts: DataFrame, rules: list[Rule], key: str, text: str = "text") -> DataFrame:
+    """(key, counts): how often each rule, in order, matches in the texts of a key; no match becomes a row. Lines or
+    whole texts give the same where no rule's match crosses a line's end."""
+    counted = texts.select(key, *[F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r.flags + r.regex)).cast("bigint").alias(f"r{i}") for i, r in enumerate(rules)])
+    return counted.groupBy(key).agg(F.array(*[F.sum(f"r{i}") for i in range(len(rules))]).alias("counts"))
+
+
+def coverage_of(counts: DataFrame, rules: list[Rule], key: str) -> DataFrame:
+    """coverage() from rule_counts()."""
+    rows = []
+    for c in dict.fromkeys(r.category for r in rules):
+        mine = [F.get("counts", i) for i, r in enumerate(rules) if r.category == c]
+        hit = sum((F.when(m > 0, 1).otherwise(0) for m in mine), F.lit(0)).cast("bigint")
+        rows.append(F.struct(F.lit(c).alias("category"), sum(mine, F.lit(0)).cast("bigint").alias("n_matches"), hit.alias("n_rules"), F.round(100.0 * hit / len({r.name for r in rules if r.category == c}), 2).alias("coverage")))
+    found = counts.select(key, F.explode(F.filter(F.array(*rows), lambda x: x["n_matches"] > 0)).alias("x"))
+    return found.select(key, "x.category", "x.n_matches", "x.n_rules", "x.coverage")
+
+
+def required_without_count(counts: DataFrame, rules: list[Rule], key: str) -> DataFrame:
+    """missing_required() from rule_counts() of all keys."""
+    due = [F.when(F.get("counts", i) == 0, F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("name"))) for i, r in enumerate(rules) if r.required]
+    return counts.select(key, F.explode(F.array_compact(F.array(*due))).alias("w")).select(key, "w.category", "w.name")
+
+
 def missing_required(keys: DataFrame, matches: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     """(key, category, name) of required rules that nothing of the key matches."""
     wanted = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("name")) for r in rules if r.required])

@@ -11,11 +11,14 @@ STATES = {"created": "open", "claimed": "in_progress", "in_progress": "in_progre
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """The last state, worker and time of each ticket, and its metadata, later keys over earlier ones."""
-    rows = F.array_sort(F.collect_list(F.struct("ts", "seq", F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))).alias("m"))))
-    merged = F.aggregate(rows, F.create_map().cast("map<string,string>"), lambda a, r: F.map_from_entries(F.concat(F.filter(F.map_entries(a), lambda e: ~F.exists(r["m"], lambda x: x["key"] == e["key"])), r["m"])))
-    last = F.max_by(F.struct("state", "worker", "ts"), F.struct("ts", "seq"))
-    return events.groupBy("ticket_id").agg(last.alias("l"), merged.alias("metadata")).select("ticket_id", "l.state", "l.worker", "l.ts", "metadata")
+    """The last state, worker and time of each ticket, and its metadata, later keys over earlier ones. Metadata are
+    reduced key by key, so that a ticket's events are never gathered, only its keys."""
+    last = events.groupBy("ticket_id").agg(F.max_by(F.struct("state", "worker", "ts"), F.struct("ts", "seq")).alias("l"))
+    pairs = events.select("ticket_id", "ts", "seq", F.explode("metadata").alias("key", "value"))
+    values = pairs.groupBy("ticket_id", "key").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    merged = values.groupBy("ticket_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata"))
+    found = last.join(merged, "ticket_id", "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+    return found.select("ticket_id", "l.state", "l.worker", "l.ts", "metadata")
 
 
 def won_claims(claims: DataFrame) -> DataFrame:

@@ -99,8 +99,9 @@ def citation_union(spark, d):
 
 @registry.add("""SELECT event_type, user_id % 10 AS bucket, count(DISTINCT user_id) AS n_users, array_to_string(list_sort(list(DISTINCT user_id))[1:5], ',') AS first_users FROM events GROUP BY 1, 2""")
 def cross_group(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("event_type", (F.col("user_id") % 10).alias("bucket")).agg(F.countDistinct("user_id").alias("n_users"), F.array_join(aggregates.first_n(F.collect_set("user_id"), 5), ",").alias("first_users"))
+    e = table(spark, d, "events").withColumn("bucket", F.col("user_id") % 10)
+    found = aggregates.first_values(e, ["event_type", "bucket"], "user_id", 5)
+    return found.select("event_type", "bucket", F.col("n").alias("n_users"), F.array_join("firsts", ",").alias("first_users"))
 
 
 @registry.add("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
@@ -155,14 +156,29 @@ def ticket_claims(spark, d):
     return tickets.won_claims(claims).select("ticket_id", "event_id", "won")
 
 
-@registry.add()
+@registry.add("""WITH RECURSIVE c AS (SELECT user_id, event_id, ts, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(user_id, k, before, after, errors, trips, opened) AS (
+  SELECT user_id, 0::BIGINT, 'closed', 'closed', 0, 0, NULL::TIMESTAMP FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, k, bef,
+    CASE WHEN bef NOT IN ('closed', 'half_open') THEN bef WHEN ok THEN 'closed' WHEN bef = 'half_open' OR errors + 1 >= 2 THEN 'open' ELSE 'closed' END,
+    CASE WHEN bef NOT IN ('closed', 'half_open') THEN errors WHEN ok OR bef = 'half_open' OR errors + 1 >= 2 THEN 0 ELSE errors + 1 END,
+    CASE WHEN bef NOT IN ('closed', 'half_open') THEN trips WHEN ok THEN CASE WHEN bef = 'half_open' THEN 0 ELSE trips END WHEN bef = 'half_open' OR errors + 1 >= 2 THEN trips + 1 ELSE trips END,
+    CASE WHEN bef IN ('closed', 'half_open') AND NOT ok AND (bef = 'half_open' OR errors + 1 >= 2) THEN ts ELSE opened END
+  FROM (SELECT c.user_id, c.k, c.ts, c.ok, r.errors, r.trips, r.opened, CASE WHEN r.trips >= 50 THEN 'fatal' WHEN r.after = 'open' AND epoch(c.ts) - epoch(r.opened) >= 3600 * least(2 ** (r.trips - 1), 8) THEN 'half_open' ELSE r.after END AS bef
+    FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1))
+SELECT c.user_id, c.event_id AS seq, c.ts, c.ok, r.before AS state_before, r.after AS state_after FROM c JOIN r ON r.user_id = c.user_id AND r.k = c.k""")
 def circuit_breaker_states(spark, d):
     """Each user's calls through a breaker of their own: every state depends on the one before."""
     calls = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), "ts", (F.col("event_type") != "error").alias("ok"))
     return tickets.circuit_breaker(calls, "user_id", 2, 3600.0)
 
 
-@registry.add()
+@registry.add("""WITH RECURSIVE c AS (SELECT user_id, event_id, event_id % 3 AS worker, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(user_id, k, holder, since, granted) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, true FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, k, CASE WHEN good THEN worker ELSE holder END, CASE WHEN good THEN ts ELSE since END, good
+  FROM (SELECT c.user_id, c.k, c.worker, c.ts, r.holder, r.since, r.holder IS NULL OR r.holder = c.worker OR epoch(c.ts) - epoch(r.since) > 86400 AS good FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1))
+SELECT c.user_id AS resource, c.worker, c.ts, c.event_id AS seq, r.granted FROM c JOIN r ON r.user_id = c.user_id AND r.k = c.k""")
 def lock_leases(spark, d):
     """Each user's events as requests of workers for one lock with a lease of a day."""
     asked = table(spark, d, "events").select(F.col("user_id").alias("resource"), (F.col("event_id") % 3).alias("worker"), "ts", F.col("event_id").alias("seq"))

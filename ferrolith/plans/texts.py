@@ -56,14 +56,15 @@ def pattern_matches(spark, d):
 SELECT doc_id, m.category, count(*) AS n_matches, count(DISTINCT name) AS n_rules, round(100.0::DOUBLE * count(DISTINCT name) / total, 2) AS coverage
 FROM matches m JOIN sizes s ON s.category = m.category GROUP BY doc_id, m.category, total""")
 def pattern_coverage(spark, d):
-    return patterns.coverage(_matches(spark, d), patterns.DOCUMENT_RULES, "doc_id")
+    counts = patterns.rule_counts(_documents(spark, d), patterns.DOCUMENT_RULES, "doc_id")
+    return patterns.coverage_of(counts, patterns.DOCUMENT_RULES, "doc_id")
 
 
 @registry.add(f"""WITH {LINES}, {_rule_sql()}, wanted(category, name) AS (VALUES {", ".join(f"('{r.category}', '{r.name}')" for r in patterns.DOCUMENT_RULES if r.required)})
 SELECT d.doc_id, w.category, w.name FROM documents d, wanted w
 WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = d.doc_id AND m.category = w.category AND m.name = w.name)""")
 def required_missing(spark, d):
-    return patterns.missing_required(_documents(spark, d), _matches(spark, d), patterns.DOCUMENT_RULES, "doc_id")
+    return patterns.required_without_count(patterns.rule_counts(_documents(spark, d), patterns.DOCUMENT_RULES, "doc_id"), patterns.DOCUMENT_RULES, "doc_id")
 
 
 CLASSES = [("licensed", "[Ll]icense"), ("contact", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+"), ("symbols", "[#*$%&]{3}"), ("shouting", "[A-Z]{4,}!"), ("listing", r" \| ")]
@@ -289,8 +290,12 @@ FROM ranges r LEFT JOIN matches m ON m.doc_id = r.doc_id AND m.line_no BETWEEN r
 def paragraph_facts(spark, d):
     ranges = _ranges(spark, d)
     m = _matches(spark, d).withColumnRenamed("name", "rule")
-    hits = ranges.join(m, "doc_id").where("line_no between line_start and line_end")
-    facts = hits.groupBy("doc_id", "line_start").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("n_categories"), F.array_join(aggregates.first_n(F.collect_set("rule"), 3), ",").alias("first_names"))
+    # ranges of a document follow each other: a match is in the last one that starts at or before it
+    starts = ranges.select("doc_id", "line_start")
+    hits = intervals.preceding_start(m, starts.withColumn("_s", F.col("line_start")), "doc_id", "line_no", "line_start", "_s").where("_s is not null").withColumnRenamed("_s", "line_start")
+    # by rule first: so few rows are left for each range that nothing grows with the matches
+    by_rule = hits.groupBy("doc_id", "line_start", "category", "rule").agg(F.count(F.lit(1)).alias("k"))
+    facts = by_rule.groupBy("doc_id", "line_start").agg(F.sum("k").alias("n"), F.countDistinct("category").alias("n_categories"), F.array_join(aggregates.first_n(F.collect_set("rule"), 3), ",").alias("first_names"))
     return ranges.drop("line_end").join(facts, ["doc_id", "line_start"], "left").fillna(0, ["n", "n_categories"]).fillna("", ["first_names"])
 
 
@@ -309,7 +314,7 @@ def scored_search(spark, d):
     docs = _documents(spark, d).select("doc_id", F.col("source").alias("name"), F.col("lang").alias("description"), F.col("text").alias("content"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = search.scored_search(asked, docs, 10)
-    return found.select("query_id", "doc_id", "score", F.size("matched").cast("bigint").alias("n_matched"), F.col("place").cast("bigint").alias("place"))
+    return found.select("query_id", "doc_id", "score", "n_matched", F.col("place").cast("bigint").alias("place"))
 
 
 @registry.add("""SELECT page_id, CAST((CASE WHEN trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> '' THEN 1 ELSE 0 END) + (CASE WHEN trim(regexp_extract(html, '<p>([^<]*)</p>', 1)) <> '' THEN 1 ELSE 0 END)
