@@ -26,10 +26,14 @@ BATCHES = 6
 BROADCAST_KEYS = 1_000_000
 
 
+def _hex_key(line: Column) -> Column:
+    plain = F.btrim(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(BLANKS))
+    return F.when(plain != "", F.md5(plain))
+
+
 def line_key(line: Column) -> Column:
     """128-bit hash of the line stripped of BLANKS at both ends, A-Z in lower case; null for a line of BLANKS."""
-    plain = F.btrim(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(BLANKS))
-    return F.when(plain != "", F.unhex(F.md5(plain)))
+    return F.unhex(_hex_key(line))
 
 
 class LineRuns:
@@ -147,12 +151,13 @@ def document_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", b
     """(batch, key): one row for each document and each distinct key it holds. Rows of one doc_id are one document; a
     row without doc_id is one of its own, and rows without doc_id of the same text are one. Batches are dealt by
     document."""
-    keys = F.transform(_lines(F.col(text)), line_key)
+    # as strings, whose distinct ones are found by hash; of binary values each would be compared with each
+    keys = F.array_compact(F.array_distinct(F.transform(_lines(F.col(text)), _hex_key)))
     own = F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(F.col(text), F.lit("no id")))
     # all that depends on the text is settled before its lines become rows, which then don't carry it
     held = docs.select(F.pmod(own, F.lit(batches)).cast("int").alias("batch"), F.col(doc_id).alias("doc"), F.when(F.col(doc_id).isNull(), F.xxhash64(text)).alias("other"), keys.alias("keys"))
-    held = held.select("batch", "doc", "other", F.explode("keys").alias("key"))
-    return held.where("key is not null").distinct().select("batch", "key")
+    held = held.select("batch", "doc", "other", F.explode("keys").alias("key")).withColumn("key", F.unhex("key"))
+    return held.distinct().select("batch", "key")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
