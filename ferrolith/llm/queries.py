@@ -7,7 +7,7 @@ from ferrolith.llm.language_model import OP4_SQL, op4_lm_scores
 from ferrolith.llm.licenses import op5_license_scan
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ferrolith.llm.mixing import OP8_SQL, op8_source_mixing
-from ferrolith.llm.near_duplicates import op6_near_duplicates
+from ferrolith.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from ferrolith.llm.neighbours import op10_nearest_neighbours
 from ferrolith.llm.quality_rules import op9_quality_rules
 from ferrolith.llm.segmentations import op2_sentencepiece_sampling
@@ -29,5 +29,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_lm_scores": OP4_SQL,
+    "op6_near_duplicates": OP6_SQL,
     "op8_source_mixing": OP8_SQL,
 }

@@ -125,3 +125,11 @@ def test_shingle_sets_of_chunks_do_not_depend_on_the_chunk():
     for name in ("n_shingles", "d1", "d2"):
         assert np.concatenate([w[name] for w in whole]).tolist() == np.concatenate([w[name] for w in alone]).tolist()
     assert sum([w["signature"] for w in whole], []) == sum([w["signature"] for w in alone], [])
+
+
+def test_oracle(spark):
+    from tests.conftest import against_duckdb
+
+    sf = "/root/testdata/sf0.001"
+    a, b = against_duckdb(nd.op6_near_duplicates(spark, sf), nd.OP6_SQL, sf)
+    assert a == b and any(r[2] == "False" for r in a)
