@@ -22,6 +22,10 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, "\\A\\s+|\\s+\\z", "")
+
+
 def columns_in(text: Column, pattern: str, group: int = 1) -> Column:
     """The columns that a match names: all finds of the pattern's group, upper case, distinct, by place."""
     return F.array_distinct(F.transform(_all(text, pattern, group), F.upper))
@@ -168,11 +172,11 @@ def field_kind(level: Column, picture: Column) -> Column:
 
 def section_text(markdown: Column, heading: str) -> Column:
     """What stands under a heading of any level up to the next one of any, trimmed; null if the heading is missing."""
-    return F.nullif(F.trim(F.regexp_extract(markdown, f"(?ism)^#+\\s+[^\\n]*{heading}[^\\n]*\\n(.*?)(?=^#|\\z)", 1)), F.lit(""))
+    return F.nullif(_strip(F.regexp_extract(markdown, f"(?ism)^#+\\s+[^\\n]*{heading}[^\\n]*\\n(.*?)(?=^#|\\z)", 1)), F.lit(""))
 
 
 def first_paragraphs(text: Column, most: int = 3) -> Column:
-    parts = F.filter(F.transform(F.split(text, "\n\\s*\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "\n\\s*\n"), _strip), lambda x: x != "")
     return F.array_join(F.slice(parts, 1, most), "\n\n")
 
 
@@ -181,7 +185,7 @@ def markdown_summary(markdown: Column) -> Column:
     rule, table, heading or front matter."""
     body = F.regexp_replace(F.regexp_replace(markdown, "(?s)\\A---\\n.*?\\n---\\n", ""), "(?s)```.*?(```|\\z)", "")
     title = F.nullif(F.trim(F.regexp_extract(body, "(?m)^# +(.+)$", 1)), F.lit(""))
-    fit = F.filter(F.transform(F.split(body, "\n\\s*\n"), F.trim), lambda x: (x != "") & ~x.rlike("^(#|\\[?!\\[|[-*+] |[0-9]+\\. |>|\\||---|\\*\\*\\*|___)"))
+    fit = F.filter(F.transform(F.split(body, "\n\\s*\n"), _strip), lambda x: (x != "") & ~x.rlike("^(#|\\[?!\\[|[-*+] |[0-9]+\\. |>|\\||---|\\*\\*\\*|___)"))
     return F.struct(title.alias("title"), F.regexp_replace(F.get(fit, 0), "\\s+", " ").alias("paragraph"))
 
 
