@@ -28,6 +28,7 @@ WIDTH = 6
 FILTERS = 16
 HIDDEN = 16
 _BLOCK = 1 << 14
+_CHUNKS_AT_ONCE = 1024
 
 
 @dataclass
@@ -133,9 +134,12 @@ def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int
             docs = order[lo : lo + batch]
             rows = np.concatenate([pieces[d] for d in docs])
             owner = np.repeat(np.arange(len(docs)), [len(pieces[d]) for d in docs])
-            response = sum(net.tables[j][rows[:, j : j + 2 * HALF : STRIDE]] for j in range(WIDTH))
-            where = response.argmax(axis=1)  # chunk x filter
-            pooled = np.take_along_axis(response, where[:, None], axis=1)[:, 0]
+            where, pooled = np.empty((len(rows), FILTERS), np.int64), np.empty((len(rows), FILTERS), np.float32)
+            for at in range(0, len(rows), _CHUNKS_AT_ONCE):  # a long text has many chunks
+                part = slice(at, at + _CHUNKS_AT_ONCE)
+                response = sum(net.tables[j][rows[part, j : j + 2 * HALF : STRIDE]] for j in range(WIDTH))
+                where[part] = response.argmax(axis=1)
+                pooled[part] = response.max(axis=1)
             x = np.maximum(pooled + net.bias, 0)
             hidden = np.maximum(x @ net.w1 + net.b1, 0)
             logit = hidden @ net.w2 + net.b2[0]
