@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolith.sources.shared import settled
+
 #: The states of a ticket, and what each counts as for a tracker.
 STATES = {"created": "open", "claimed": "in_progress", "in_progress": "in_progress", "completed": "closed", "rework": "open", "blocked": "blocked", "cancelled": "closed", "merged": "closed"}
 
@@ -90,3 +92,22 @@ def circuit_breaker(calls: DataFrame, key: str, threshold: int = 3, base: float
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in calls.schema.fields) + ", state_before string, state_after string"
     return calls.groupBy(key).applyInPandas(fold, schema)
+
+
+def created(requests: DataFrame, prefix: str = "mem-", after: int = 0) -> DataFrame:
+    """requests (ticket_type, file_id, cycle, ord) as new tickets: ids in order of ord, numbered on from after, and the
+    state created. Ranges of ord are numbered where they are; only how many each holds comes to the driver."""
+    dealt = settled(requests.repartitionByRange("ord").withColumn("_part", F.spark_partition_id()))
+    held, before = {}, after
+    for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        held[r["_part"]], before = before, before + r.n
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in (held or {0: 0}).items() for x in kv]), F.col("_part"))
+    number = start + F.row_number().over(Window.partitionBy("_part").orderBy("ord"))
+    return dealt.withColumns({"ticket_id": F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0")), "state": F.lit("created")}).drop("_part")
+
+
+def available(tickets: DataFrame, ticket_type: str | None = None, cycle: int | None = None) -> DataFrame:
+    """Tickets that can be claimed: created or to be reworked, of a type and a cycle if given."""
+    out = tickets.where(F.col("state").isin("created", "rework"))
+    out = out if ticket_type is None else out.where(F.col("ticket_type") == ticket_type)
+    return out if cycle is None else out.where(F.col("cycle") == cycle)

@@ -30,6 +30,13 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+def decoded_ebcdic(content: Column) -> Column:
+    """Bytes of code page 037, byte by byte, as characters."""
+    page = bytes(range(256)).decode("cp037")
+    latin = "".join(map(chr, range(256)))
+    return F.translate(F.decode(content, "ISO-8859-1"), latin, page)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 

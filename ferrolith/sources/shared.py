@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed and checkpointed in spark.checkpoint.dir; only where that is unset (tests) in a temporary folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrolith-"))
+    """df computed and checkpointed in spark.checkpoint.dir. Only in local mode, where one machine is all there is, a
+    temporary folder stands in for one that is not set; on a cluster that is an error."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ferrolith-"))
     return df.checkpoint()
