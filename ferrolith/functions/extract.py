@@ -82,7 +82,7 @@ def diagrams(markdown: Column) -> Column:
     """An array of (body, valid) of fenced diagrams; valid if the first line that isn't blank or %% begins with a type."""
 
     def checked(body: Column) -> Column:
-        lines = F.filter(F.transform(F.split(body, "\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("%%"))
+        lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("%%"))
         word = F.split_part(F.regexp_replace(F.get(lines, 0), "\\s", " "), F.lit(" "), F.lit(1))
         return F.struct(body.alias("body"), F.coalesce(word.isin(DIAGRAM_TYPES), F.lit(False)).alias("valid"))
 

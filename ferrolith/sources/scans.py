@@ -84,7 +84,7 @@ def scan_skills(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     field = lambda k: F.nullif(F.regexp_replace(F.regexp_extract(front, f"(?m)^{k}:[ \\t]*(.+?)[ \\t]*$", 1), "^([\"'])(.*)\\1$", "$2"), F.lit(""))
     listed = F.regexp_extract_all(F.regexp_extract(front, "(?m)^tags:[ \\t]*\\n((?:[ \\t]*-[^\\n]*\\n?)+)", 1), F.lit("-[ \\t]*([^\\n]+)"), 1)
     inline = F.split(F.regexp_replace(field("tags"), "^\\[|\\]$", ""), ",")
-    tags = F.filter(F.transform(F.coalesce(inline, listed), F.trim), lambda x: x != "")
+    tags = F.filter(F.transform(F.coalesce(inline, listed), lambda x: F.trim(x)), lambda x: x != "")
     content = F.regexp_replace("value", "(?s)\\A---\\s*\\n.*?\\n---\\s*(?:\\n|\\z)", "")
     return texts.select(
         path.alias("file_id"), F.coalesce(field("name"), F.regexp_extract(path, "([^/]+)\\.[^./]+$", 1)).alias("name"), F.coalesce(field("description"), F.lit("")).alias("description"),
