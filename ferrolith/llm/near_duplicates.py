@@ -141,25 +141,11 @@ def _near(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _with_both(pairs: DataFrame, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """pairs (a, b) with columns of the rows (column node) of either, as <new name>_a and <new name>_b. A node that is
-    the first of more than BLOCK pairs, as the leader of a large bucket is, has a copy for each BLOCK of them, so that
-    no task gets all of its pairs."""
-    crowded = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("copies")).where("copies > 1")
-    crowded = written(crowded.withColumnRenamed("a", "node"), "near-crowded")
-    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
-    a, b = (rows.select("node", *[F.col(c).alias(f"{new}_{k}") for c, new in columns.items()]) for k in "ab")
-    copies = F.coalesce("copies", F.lit(1))
-    a = a.join(crowded, "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-    dealt = pairs.join(crowded.withColumnRenamed("node", "a"), "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
-    joined = dealt.join(a.withColumnRenamed("node", "a"), ["a", "copy"])
-    return joined.join(b.withColumnRenamed("node", "b"), "b").drop("copy")
-
-
 def _checked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sizes and signatures allow a link."""
-    both = _with_both(pairs, classes, {"n_shingles": "n", "signature": "s"})
-    return both.where(_near("n_a", "n_b", percent)).where(equal_share("s_a", "s_b") >= LEAST_SHARE).select("a", "b")
+    light = classes.select("node", "n_shingles", "signature")
+    a, b = (light.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_near("n_a", "n_b", percent)).where(equal_share("s_a", "s_b") >= LEAST_SHARE).select("a", "b")
 
 
 def _semi_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -179,9 +165,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
     # several rows may share an id: a pair is linked if any of their texts are
     sets = written(set_elements(_semi_by_id(docs, ids), words), "near-sets")
-    both = _with_both(pairs, sets.withColumnRenamed("doc_id", "node"), {"elements": "e"})
+    a, b = (sets.select(F.col("doc_id").alias(k), F.col("elements").alias(f"e_{k}")) for k in "ab")
     common = F.size(F.array_intersect("e_a", "e_b"))
-    linked = both.where(100 * common >= percent * (F.size("e_a") + F.size("e_b") - common))
+    linked = pairs.join(a, "a").join(b, "b").where(100 * common >= percent * (F.size("e_a") + F.size("e_b") - common))
     return written(linked.select("a", "b").distinct(), "near-links")
 
 
@@ -192,21 +178,28 @@ def _forest_frame(a: list, b: list) -> pd.DataFrame:
     return pd.DataFrame({"a": root, "b": node})
 
 
-def _alike(signatures: np.ndarray, sizes: np.ndarray, groups: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
-    """Rows (i, j) of left x right, of different groups, whose sizes and signatures allow a link; each pair once."""
-    out_i, out_j = [], []
+def _joining(signatures: np.ndarray, sizes: np.ndarray, groups: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, confirm=None):
+    """Links (rows i, j) of left x right, between different groups, whose sizes and signatures allow a link and which
+    confirm(i, j) confirms; enough of them to join all labels that they join. Some rows of left are compared at a time;
+    what they join has one label from then on (labels are changed), so that pairs which are joined already are not
+    looked at again, however many they are."""
     step = max(1, (1 << 17) // max(1, len(right)))
     for lo in range(0, len(left), step):
         i, j = (x.reshape(-1) for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
-        fit = (groups[i] != groups[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+        fit = (groups[i] != groups[j]) & (labels[i] != labels[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
         fit &= (i < j) if left is right else True
         i, j = i[fit], j[fit]
-        for at in range(0, len(i), 1 << 15):
-            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            near = (signatures[x] == signatures[y]).mean(axis=1) >= LEAST_SHARE
-            out_i.append(x[near])
-            out_j.append(y[near])
-    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
+        near = [(signatures[i[at : at + (1 << 15)]] == signatures[j[at : at + (1 << 15)]]).mean(axis=1) >= LEAST_SHARE for at in range(0, len(i), 1 << 15)]
+        near = np.concatenate([np.zeros(0, bool), *near])
+        i, j = i[near], j[near]
+        if len(i) and confirm is not None:
+            linked = confirm(i, j)
+            i, j = i[linked], j[linked]
+        if len(i):
+            node, root = forest(labels[i], labels[j])
+            at = np.minimum(np.searchsorted(node, labels), len(node) - 1)
+            labels[:] = np.where(node[at] == labels, root[at], labels)
+            yield i, j
 
 
 def common_elements(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -278,9 +271,10 @@ def _clusters(shared: DataFrame, labels: DataFrame, classes: DataFrame, percent:
         signature, size, component, node = _signatures(frame), frame["n_shingles"].to_numpy(), frame["component"].to_numpy(), frame["node"].to_numpy()
         a, b = [], []
         for left, right in _meetings(frame, "band"):
-            i, j = _alike(signature, size, component, left, right, percent)
-            a.append(node[i])
-            b.append(node[j])
+            for i, j in _joining(signature, size, component, np.arange(len(frame)), left, right, percent):
+                links = _forest_frame([node[i]], [node[j]])
+                a.append(links["a"].to_numpy())
+                b.append(links["b"].to_numpy())
         return _forest_frame(a, b)
 
     return _dealt(members, "band", 20_000).groupBy("task").applyInPandas(compare, "a bigint, b bigint").distinct()
@@ -301,14 +295,18 @@ def _links_across(docs: DataFrame, shared: DataFrame, labels: DataFrame, classes
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         signature, size, component, node = _signatures(frame), frame["n_shingles"].to_numpy(), frame["component"].to_numpy(), frame["node"].to_numpy()
         sets = frame["elements"].to_list()
+        held = np.array([len(x) for x in sets])
+
+        def confirmed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            common = common_elements(sets, i, j)
+            return 100 * common >= percent * (held[i] + held[j] - common)
+
         a, b = [], []
         for left, right in _meetings(frame, "cluster"):
-            i, j = _alike(signature, size, component, left, right, percent)
-            if len(i):
-                common = common_elements(sets, i, j)
-                linked = 100 * common >= percent * (np.array([len(sets[k]) for k in i]) + np.array([len(sets[k]) for k in j]) - common)
-                a.append(node[i[linked]])
-                b.append(node[j[linked]])
+            for i, j in _joining(signature, size, component, component.copy(), left, right, percent, confirmed):
+                links = _forest_frame([node[i]], [node[j]])
+                a.append(links["a"].to_numpy())
+                b.append(links["b"].to_numpy())
         return _forest_frame(a, b)
 
     return _dealt(members, "cluster", 2_000).groupBy("task").applyInPandas(compare, "a bigint, b bigint").distinct()
@@ -332,7 +330,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = classes.select("node", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
     shared = written(buckets.join(leaders, "band"), "near-buckets")
-    pairs = written(shared.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-led")
+    pairs = shared.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = written(_checked(pairs, classes, percent), "near-pairs")
     links = verified(first, docs, words, percent)
     labels = written(components(links), "near-labels")
