@@ -26,14 +26,18 @@ BATCHES = 6
 BROADCAST_KEYS = 1_000_000
 
 
-def _hex_key(line: Column) -> Column:
-    plain = F.btrim(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(BLANKS))
+def _lowered(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _hex_key(lowered: Column) -> Column:
+    plain = F.btrim(lowered, F.lit(BLANKS))
     return F.when(plain != "", F.md5(plain))
 
 
 def line_key(line: Column) -> Column:
     """128-bit hash of the line stripped of BLANKS at both ends, A-Z in lower case; null for a line of BLANKS."""
-    return F.unhex(_hex_key(line))
+    return F.unhex(_hex_key(_lowered(line)))
 
 
 class LineRuns:
@@ -81,8 +85,10 @@ class LineRuns:
 
     def add_batches(self, keys: DataFrame, batches: int) -> None:
         """Adds batches (column batch, from 0, of rows batch, key: one for each document and key) one after another."""
-        counts = written(keys.groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n_docs")), "line-batches")
-        for b in range(batches):
+        path = new_path(self.spark, "line-batches")
+        keys.groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n_docs")).write.partitionBy("batch").parquet(path)
+        counts = self.spark.read.schema("key binary, n_docs bigint, batch int").parquet(path)
+        for b in range(batches):  # each reads its own folder alone
             self.add(counts.where(F.col("batch") == b))
 
     def compact(self) -> None:
@@ -127,7 +133,8 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", doc_id:
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {c: f"c{names.index(c)}" for c in kept_names}
     keyed = plain.select(*at.values(), row_key(F.col(at[doc_id]), F.col(at[text])).alias("row"))
-    lines = keyed.select("row", F.posexplode(F.transform(_lines(F.col(at[text])), line_key)).alias("pos", "key")).where("key is not null")
+    keys = F.transform(_lines(_lowered(F.col(at[text]))), lambda x: F.unhex(_hex_key(x)))
+    lines = keyed.select("row", F.posexplode(keys).alias("pos", "key")).where("key is not null")
     frequent = written(frequent.select("key"), "line-frequent")
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
@@ -152,7 +159,7 @@ def document_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", b
     row without doc_id is one of its own, and rows without doc_id of the same text are one. Batches are dealt by
     document."""
     # as strings, whose distinct ones are found by hash; of binary values each would be compared with each
-    keys = F.array_compact(F.array_distinct(F.transform(_lines(F.col(text)), _hex_key)))
+    keys = F.array_compact(F.array_distinct(F.transform(_lines(_lowered(F.col(text))), _hex_key)))
     own = F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(F.col(text), F.lit("no id")))
     # all that depends on the text is settled before its lines become rows, which then don't carry it
     held = docs.select(F.pmod(own, F.lit(batches)).cast("int").alias("batch"), F.col(doc_id).alias("doc"), F.when(F.col(doc_id).isNull(), F.xxhash64(text)).alias("other"), keys.alias("keys"))
