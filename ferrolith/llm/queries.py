@@ -6,9 +6,11 @@ from ferrolith.llm.byte_cnn import op7_quality_classifier
 from ferrolith.llm.language_model import OP4_SQL, op4_lm_scores
 from ferrolith.llm.licenses import op5_license_scan
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
+from ferrolith.llm.merkle import OP12_SQL, op12_merkle_manifest
 from ferrolith.llm.mixing import OP8_SQL, op8_source_mixing
 from ferrolith.llm.near_duplicates import OP6_SQL, op6_near_duplicates
 from ferrolith.llm.neighbours import op10_nearest_neighbours
+from ferrolith.llm.periodic_runs import op13_periodic_runs
 from ferrolith.llm.quality_rules import op9_quality_rules
 from ferrolith.llm.segmentations import op2_sentencepiece_sampling
 from ferrolith.llm.token_files import op3_token_files
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_lm_scores": OP4_SQL,
     "op6_near_duplicates": OP6_SQL,
     "op8_source_mixing": OP8_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
