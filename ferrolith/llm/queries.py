@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ferrolith.llm.byte_cnn import op7_quality_classifier
+from ferrolith.llm.byte_pairs import op11_byte_pairs
 from ferrolith.llm.language_model import OP4_SQL, op4_lm_scores
 from ferrolith.llm.licenses import op5_license_scan
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_byte_pairs": op11_byte_pairs,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -16,13 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrolith.llm.bytetext import Chunk, chunks, span_hashes
+from ferrolith.llm.bytetext import Chunk, chunks
+from ferrolith.llm.known_ids import KNOWN_WORDS, KnownIds
 from ferrolith.llm.stages import new_path
 
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 19
 END_ID = 1
-KNOWN_WORDS = 2_000_000
 
 SEGMENT_SCHEMA = "shard int, seq int, ids_before bigint, bits int, n_ids bigint, doc_ids array<bigint>, doc_starts array<bigint>, block_offsets array<bigint>, payload binary"
 
@@ -78,17 +78,13 @@ class WordEncoder:
     def __init__(self, path: str, limit: int = KNOWN_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         # new words are parted by a word of one NUL, if that has an id of its own
         nul = self._ids(["\0"])[0]
         probe = self._ids(["a. \0 b", "a.", "b"])
         self.nul = nul[0] if len(nul) == 1 and probe[0] == probe[1] + nul + probe[2] else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.known = KnownIds(self.encode_words, limit)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,40 +107,15 @@ class WordEncoder:
             sizes.append(np.array([len(x) for x in found], np.int64))
         return np.concatenate([np.zeros(0, "<u4"), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
-    def _remember(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        if len(self.hashes) + len(hashes) > self.limit:
-            self._forget()
-        flat, sizes = self.encode_words(words)
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(flat), "<u4")])
-        self.flat[self.used : self.used + len(flat)] = flat
-        starts = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
-
     def encode(self, chunk: Chunk, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the documents of a chunk, end_id after each, and how many each has."""
         begin, stop, doc = chunk.words()
-        distinct, first, which = np.unique(span_hashes(chunk.data, begin, stop), return_index=True, return_inverse=True)
-        for _ in range(2):  # again if all was forgotten meanwhile
-            at = np.searchsorted(self.hashes, distinct)
-            known = np.zeros(len(distinct), bool)
-            known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == distinct[at < len(self.hashes)]
-            if known.all():
-                break
-            new = first[~known]
-            body = chunk.data.tobytes()
-            self._remember(distinct[~known], [body[a:b] for a, b in zip(begin[new].tolist(), stop[new].tolist())])
-        at = np.searchsorted(self.hashes, distinct)
-        sizes = self.sizes[at][which]
+        ids, sizes = self.known.ids(chunk.data, begin, stop)
         lengths = chunk.per_doc(doc, sizes) + 1
-        total = int(sizes.sum())
-        source = np.repeat(self.starts[at][which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        out = np.full(total + chunk.n, end_id, "<u4")
-        inner = np.ones(total + chunk.n, bool)
+        out = np.full(len(ids) + chunk.n, end_id, "<u4")
+        inner = np.ones(len(out), bool)
         inner[np.cumsum(lengths) - 1] = False
-        out[inner] = self.flat[source]
+        out[inner] = ids
         return out, lengths
 
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from ferrolith.llm import token_files as tf
 from ferrolith.llm.bytetext import chunks
-from tests.llm.cases import AWKWARD, documents
+from tests.llm.cases import AWKWARD, documents, with_clashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,9 +46,18 @@ def test_words_equal_the_library(limit):
             assert got == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
+@pytest.mark.parametrize("limit", [0, 3, 4, 5, 8, 9])
+def test_more_words_than_are_remembered(limit):
+    """A chunk whose new words pass the limit, some of its words being known."""
+    coder, plain = tf.WordEncoder(PATH, limit), Tokenizer.from_file(PATH)
+    for text in ("alpha beta gamma", "alpha beta gamma delta epsilon zeta eta theta", "theta iota", "alpha beta gamma delta epsilon zeta eta theta iota kappa"):
+        (chunk,) = chunks(pa.array([text.encode()], pa.binary()))
+        assert coder.encode(chunk, 1)[0].tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_files_read_back(spark, monkeypatch):
     ids = [40, None, 7, 7, *range(100, 100 + len(TEXTS) - 4)]
-    docs = documents(spark, TEXTS, ids=ids).repartition(3)
+    docs = with_clashes(documents(spark, TEXTS, ids=ids), "start", "n_tokens", "shard", "at").repartition(3)
     file = tf.write_tokens(docs, PATH)
     found = file.documents().collect()
     plain = Tokenizer.from_file(PATH)
