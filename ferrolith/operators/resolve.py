@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ferrolith.functions.text import apply_transforms
+from ferrolith.operators.likeness import likenesses
+from ferrolith.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -61,16 +61,18 @@ def resolve(refs: DataFrame, artifacts: DataFrame, rules: list[AliasRule] = DEFA
     under each transformed name, with its rank in the cascade, and the first that hits wins. What is left is answered by
     the artifact of its type whose name (no alias) is most alike, with a likeness >= fuzzy, the confidence.
     """
-    own = refs.select("ref_id", "expected_type", F.lit(0).alias("rank"), F.lower("raw_text").alias("key"), F.lit(1.0).alias("base"))
-    tried = own
+    ways = [F.struct(F.lit(0).alias("rank"), F.lower("raw_text").alias("key"), F.lit(1.0).alias("base"))]
     for rank, rule in enumerate(rules, 1):
-        fits = refs.where(F.col("expected_type").isNull() | (F.col("expected_type") == rule.target))
-        tried = tried.unionByName(fits.select("ref_id", "expected_type", F.lit(2 * rank).alias("rank"), F.lower(apply_transforms(F.col("raw_text"), list(rule.transforms))).alias("key"), F.lit(rule.confidence).alias("base")))
+        fits = F.col("expected_type").isNull() | (F.col("expected_type") == rule.target)
+        key = F.when(fits, F.lower(apply_transforms(F.col("raw_text"), list(rule.transforms))))
+        ways.append(F.struct(F.lit(2 * rank).alias("rank"), key.alias("key"), F.lit(rule.confidence).alias("base")))
+    tried = refs.select("ref_id", "expected_type", F.inline(F.filter(F.array(*ways), lambda w: w.key.isNotNull())))
     hits = tried.join(name_keys(artifacts), "key").where(F.col("expected_type").isNull() | (F.col("expected_type") == F.col("type")))
     method = F.when(F.col("rank") > 0, "transformation").otherwise(F.col("by"))
     ranked = hits.select("ref_id", "artifact_id", (F.col("rank") + (F.col("by") == "alias").cast("int")).alias("rank"), method.alias("method"), F.col("base").alias("confidence"))
-    found = refs.join(_first(ranked), "ref_id", "left").select(*refs.columns, "hit.artifact_id", "hit.method", "hit.confidence")
+    found = written(refs.join(_first(ranked), "ref_id", "left").select(*refs.columns, "hit.artifact_id", "hit.method", "hit.confidence"), "resolved")
     rest = found.where("artifact_id is null and raw_text is not null").select(F.col("raw_text").alias("name"), F.col("expected_type").alias("_type")).distinct()
+    rest = written(rest, "unresolved")
     named = artifacts.select(F.lower("name").alias("target"), "artifact_id", "type").where("target <> ''")
     alike = rest.join(likenesses(rest.select("name"), named.select("target"), fuzzy), "name").join(named, "target").where("_type is null or _type = type")
     best = alike.groupBy(F.col("name").alias("_name"), "_type").agg(F.min_by(F.struct("artifact_id", "score"), F.struct(-F.col("score"), "artifact_id")).alias("_hit"))
@@ -83,80 +85,6 @@ def resolve(refs: DataFrame, artifacts: DataFrame, rules: list[AliasRule] = DEFA
     )
 
 
-def _words(name: str) -> set[str]:
-    return set(name.lower().replace("-", " ").replace("_", " ").split())
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Likeness, 0 to 1, of two names as sets of words: shared words count once, the rest by longest common
-    subsequence."""
-    x, y = _words(a), _words(b)
-    both = " ".join(sorted(x & y))
-    left, right = (" ".join(filter(None, [both, " ".join(sorted(s))])) for s in (x - y, y - x))
-    if both and (not x - y or not y - x):
-        return 1.0
-    pairs = [(left, right)] + ([(both, left), (both, right)] if both else [])
-    return max(_ratio(*p) for p in pairs)
-
-
-def _ratio(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for c in a:
-        last = 0
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
-
-
-@F.pandas_udf(T.DoubleType())
-def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    known = {p: token_set_ratio(*p) for p in set(zip(a, b))}
-    return pd.Series([known[p] for p in zip(a, b)], dtype=float)
-
-
-def _gram_size(least: float) -> int:
-    """The longest runs of which names without a common word must share one to be that much alike."""
-    return 3 if least >= 0.8 else 2 if least >= 2 / 3 else 1
-
-
-def name_grams(name: str, q: int) -> list[str]:
-    """Keys to find likenesses by: each word, and each run of q characters of the sorted words, padded, with its number
-    among equal runs."""
-    words = sorted(_words(name))
-    if not words:
-        return []
-    padded, seen, out = "\x02" * (q - 1) + " ".join(words) + "\x03" * (q - 1), {}, ["w" + w for w in words]
-    for k in range(len(padded) - q + 1):
-        gram = padded[k : k + q]
-        seen[gram] = seen.get(gram, 0) + 1
-        out.append(f"g{gram}{seen[gram]}")
-    return out
-
-
-def likenesses(names: DataFrame, targets: DataFrame, least: float) -> DataFrame:
-    """(name, target, score) of all pairs of distinct names and targets (one column each) with likeness >= least > 0.
-
-    Pairs that share a word meet by it. Of others the likeness is that of the sorted words, 2 L / S (L the common
-    subsequence, S both lengths): a character that is not in L breaks q runs where it is and q - 1 where it is not, so
-    that at least (2 q - 1) L - (q - 1) (S - 1) runs are shared, and pairs that share fewer are not scored.
-    """
-    q = _gram_size(least)
-    grams = F.pandas_udf(lambda s: s.map(lambda name: name_grams(name, q)), T.ArrayType(T.StringType()))
-
-    def side(df: DataFrame, name: str, n: str) -> DataFrame:
-        keyed = df.where(F.col(name).isNotNull()).distinct().withColumn("_keys", grams(name))
-        return keyed.select(name, (F.size(F.filter("_keys", lambda k: k.startswith("g"))) - (q - 1)).alias(n), F.explode("_keys").alias("g"))
-
-    met = side(names, "name", "m").join(side(targets, "target", "n"), "g")
-    near = met.groupBy("name", "target", "m", "n").agg(F.count_if(F.col("g").startswith("w")).alias("_words"), F.count(F.lit(1)).alias("_met"))
-    size = F.col("m") + F.col("n")
-    bound = F.lit((2 * q - 1) * (least - 1e-6) / 2) * size - (q - 1) * (size - 1) - F.lit(1e-6)
-    scored = near.where((F.col("_words") > 0) | (F.col("_met") >= bound))
-    return scored.select("name", "target", F.round(_likeness("name", "target"), 6).alias("score")).where(F.col("score") >= least)
-
-
 def fuzzy_candidates(names: DataFrame, targets: DataFrame, least: float, most: int) -> DataFrame:
     """For each (id, name) up to most targets (target_id, target) with likeness >= least, best first.
 

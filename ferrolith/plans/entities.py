@@ -72,13 +72,50 @@ def fuzzy_candidates_top5(spark, d):
     return rest.withColumn("place", place).where("place <= 5")
 
 
-@registry.add()
+def likeness_sql(pairs: str) -> str:
+    """Common table expressions that end with alike (name, target, score) over the pairs (name, target) of a query: a
+    longest common subsequence is a fold of one row of its table over the characters of the left text."""
+    words = "list_sort(list_distinct(list_filter(string_split_regex(lower({}), '[-_\\s]+'), lambda w: w <> '')))"
+    return f"""p AS (SELECT name, target, {words.format("name")} AS x, {words.format("target")} AS y FROM ({pairs})),
+w AS (SELECT *, list_filter(x, lambda w: list_contains(y, w)) AS z, list_filter(x, lambda w: NOT list_contains(y, w)) AS u, list_filter(y, lambda w: NOT list_contains(x, w)) AS v FROM p WHERE len(x) > 0 AND len(y) > 0),
+t AS (SELECT *, array_to_string(z, ' ') AS c, array_to_string(z || u, ' ') AS l, array_to_string(z || v, ' ') AS r FROM w),
+k AS (SELECT *, list_transform(string_split(r, ''), lambda q: ord(q)) AS rc, list_reduce(
+    list_prepend(list_transform(range(length(r) + 1), lambda q: 0::BIGINT), list_transform(string_split(l, ''), lambda q: [ord(q)::BIGINT])),
+    lambda row, q: list_prepend(0::BIGINT, list_transform(range(1, length(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i + 1], row[i] + CASE WHEN ord(r[i]) = q[1] THEN 1 ELSE 0 END)))))) AS held FROM t),
+alike AS (SELECT name, target, round(CASE WHEN len(z) > 0 AND (len(u) = 0 OR len(v) = 0) THEN 1.0 ELSE
+    greatest(2.0 * held[-1] / (length(l) + length(r)), CASE WHEN len(z) > 0 THEN 2.0 * length(c) / (length(c) + least(length(l), length(r))) ELSE 0 END) END::DOUBLE, 6) AS score FROM k)"""
+
+
+PART_NAMES = "n AS (SELECT DISTINCT p_name AS name FROM part)"
+
+
+@registry.add(f"""WITH {PART_NAMES}, {likeness_sql("SELECT a.name, b.name AS target FROM n a, n b")},
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, target) AS place FROM alike WHERE score >= 0.8)
+SELECT name AS id, target AS target_id, score, place FROM r WHERE place <= 5""")
 def fuzzy_names(spark, d):
-    """Part names that are alike as sets of words, by an indel ratio that SQL has not."""
+    """Part names that are alike as sets of words."""
     n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return resolve.fuzzy_candidates(n.select(F.col("name").alias("id"), "name"), n.select(F.col("name").alias("target_id"), F.col("name").alias("target")), 0.8, 5)
 
 
+MISSPELT = """CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'a', '') WHEN 2 THEN split_part(p_name, ' ', 2) || '-' || split_part(p_name, ' ', 1) || 's'
+ WHEN 3 THEN 'X' || p_name || '_' || p_type ELSE 'QZ' || p_partkey % 7 END"""
+
+
+@registry.add(f"""WITH {PART_NAMES}, refs AS (SELECT p_partkey AS ref_id, {MISSPELT} AS raw_text, CASE WHEN p_partkey % 3 > 0 THEN 'table' END AS expected_type FROM part),
+d AS (SELECT DISTINCT raw_text AS name FROM refs WHERE lower(raw_text) NOT IN (SELECT lower(name) FROM n)), {likeness_sql("SELECT d.name, n.name AS target FROM d, n")},
+b AS (SELECT name, arg_min({{'target': target, 'score': score}}, {{'less': -score, 'id': 'table::' || target}}) AS best FROM alike WHERE score >= 0.8 GROUP BY name)
+SELECT ref_id, raw_text, expected_type, 'table::' || coalesce(e.name, best.target) AS artifact_id, CASE WHEN e.name IS NOT NULL THEN 'exact' WHEN best IS NOT NULL THEN 'fuzzy' END AS method,
+ CASE WHEN e.name IS NOT NULL THEN 1.0 ELSE best.score END::DOUBLE AS confidence
+FROM refs LEFT JOIN n e ON lower(raw_text) = lower(e.name) LEFT JOIN b ON raw_text = b.name""")
+def fuzzy_resolve(spark, d):
+    """Part names, some misspelt, turned round or with words of their own, answered by the likest name."""
+    part = table(spark, d, "part")
+    names = part.select("p_name").distinct().select(F.concat(F.lit("table::"), "p_name").alias("artifact_id"), F.lit("table").alias("type"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return resolve.resolve(part.select(F.col("p_partkey").alias("ref_id"), F.expr(MISSPELT).alias("raw_text"), F.expr("CASE WHEN p_partkey % 3 > 0 THEN 'table' END").alias("expected_type")), names, [])
+
+
+
 @registry.add("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal >= 0)")
 def unresolved_anti(spark, d):
     good = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
