@@ -7,25 +7,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.functions.text import mermaid_id, mermaid_label
+from ferrolith.operators.components import condensed_edges, depths, strong_components
 from ferrolith.operators.graph import reachable
-from ferrolith.sources.shared import settled
+from ferrolith.sources.shared import written
 
+#: More than any path is long: the depth of what a cycle can be reached from.
+ENDLESS = 1 << 60
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(artifact_id, level): 0 for nodes that call nothing, else one more than the highest that they call; null for
-    those on a cycle or calling into one. Each round takes what calls only nodes that are done away from the rest."""
-    left = settled(nodes.select("artifact_id").distinct())
-    rest = settled(edges.select("src", "dst").distinct().join(left.withColumnRenamed("artifact_id", "dst"), "dst", "left_semi"))
-    done = None
-    for level in range(most_rounds):
-        free = settled(left.join(rest.select(F.col("src").alias("artifact_id")), "artifact_id", "left_anti").withColumn("level", F.lit(level).cast("bigint")))
-        if free.isEmpty():
-            rounds = left.withColumn("level", F.lit(None).cast("bigint"))
-            return rounds if done is None else done.unionByName(rounds)
-        done = free if done is None else settled(done.unionByName(free))
-        left = settled(left.join(free, "artifact_id", "left_anti"))
-        rest = settled(rest.join(free.select(F.col("artifact_id").alias("dst")), "dst", "left_anti"))
-    raise RuntimeError(f"topological_levels: not settled after {most_rounds} rounds")
+    those on a cycle or calling into one."""
+    parts = written(strong_components(nodes, edges), "components")
+    known = nodes.select("artifact_id").distinct()
+    alone = edges.where("src = dst").select(F.col("src").alias("artifact_id")).join(known, "artifact_id", "left_semi").select(F.col("artifact_id").alias("component"))
+    rings = parts.groupBy("component").count().where("count > 1").select("component").unionByName(alone).distinct().withColumn("ring", F.lit(True))
+    base = parts.select("component").distinct().join(rings, "component", "left").select(F.col("component").alias("node"), F.when(F.col("ring"), F.lit(ENDLESS)).otherwise(F.lit(0)).alias("least"))
+    found = depths(base, condensed_edges(parts, edges)).select(F.col("node").alias("component"), "depth")
+    return parts.join(found, "component").select("artifact_id", F.when(F.col("depth") < ENDLESS, F.col("depth")).alias("level"))
 
 
 def exit_names(names: DataFrame, key: str = "file_id") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.sources.shared import settled
+from ferrolith.operators.components import longest_walks
+from ferrolith.sources.shared import settled, written
 
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
@@ -86,18 +89,21 @@ def k_hop(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(start, node): everything that a start reaches. Rounds go on until none finds anything new; each cuts its lineage
-    by a checkpoint in the shared folder."""
-    step = settled(edges.select("src", "dst").distinct())
-    frontier = seen = settled(starts.select("start", F.col("start").alias("node")).distinct())
-    for _ in range(most_rounds):
-        found = frontier.join(step, frontier["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = settled(found.join(seen, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = settled(seen.unionByName(frontier))
-    raise RuntimeError(f"reachable: not settled after {most_rounds} rounds")
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node): everything that a start reaches. Rounds go on until none finds anything new; each writes what it
+    found to the shared folder, and is compared with what the rounds before wrote."""
+    step = written(edges.select("src", "dst").distinct(), "reach-edges")
+    rounds = [written(starts.select("start", F.col("start").alias("node")).distinct(), "reached")]
+    while True:
+        found = rounds[-1].join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        for seen in rounds:
+            found = found.join(seen, ["start", "node"], "left_anti")
+        found = written(found, "reached")
+        if not found.limit(1).count():
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(found)
+        if len(rounds) > 16:
+            rounds = [written(reduce(DataFrame.unionByName, rounds[:-1]), "reached"), found]
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
@@ -122,11 +128,12 @@ def call_chains(edges: DataFrame, nodes: DataFrame, deepest: int = 10) -> DataFr
     return paths.join(ends, F.element_at("path", -1) == F.col("end"), "left_semi").distinct()
 
 
-def longest_paths(edges: DataFrame, nodes: DataFrame, deepest: int = 10) -> DataFrame:
-    """(start, path): the longest path from each entry point, of equal ones the smallest; exact without cycles."""
-    chains = call_chains(edges, nodes, deepest)
-    best = Window.partitionBy(F.element_at("path", 1)).orderBy(F.desc(F.size("path")), "path")
-    return chains.withColumn("k", F.row_number().over(best)).where("k = 1").select(F.element_at("path", 1).alias("start"), "path")
+def longest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(start, path): the longest path from each entry point that leads anywhere, of equal ones the smallest, whatever
+    its length. A cycle is one step of it, named by its smallest node."""
+    walks = longest_walks(nodes, edges, entry_points(nodes, edges).select(F.col("artifact_id").alias("start")))
+    paths = walks.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "component"))).alias("steps"))
+    return paths.where(F.size("steps") > 1).select("start", F.col("steps.component").alias("path"))
 
 
 def neighbourhood(edges: DataFrame, centre: DataFrame, hops: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.operators import aggregates, graph, render
+from ferrolith.operators import aggregates, components, graph, render
 from ferrolith.plans.registry import Registry, table
 
 registry = Registry()
@@ -136,7 +136,30 @@ def call_chains(spark, d):
 
 @registry.add(f"WITH {CHAINS} SELECT start, path FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, p) AS k FROM chains) WHERE k = 1")
 def longest_path(spark, d):
-    return graph.longest_paths(edges(spark, d), nodes(spark, d), 6).select("start", F.array_join("path", ">").alias("path"))
+    return graph.longest_paths(edges(spark, d), nodes(spark, d)).select("start", F.array_join("path", ">").alias("path"))
+
+
+def _regions_calling(spark, d) -> DataFrame:
+    """All edges, and two regions that also call each other."""
+    ring = table(spark, d, "region").where("r_regionkey < 2").select(_id("region", "r_regionkey").alias("src"), F.concat(F.lit("region::"), (1 - F.col("r_regionkey")).cast("string")).alias("dst"), F.lit("calls").alias("type"))
+    return edges(spark, d).unionByName(ring)
+
+
+@registry.add(f"""WITH {NODES}, {EDGES}, lines AS (SELECT DISTINCT src FROM edges WHERE type = 'supplied_by')
+SELECT artifact_id, CASE WHEN artifact_id = 'region::1' THEN 'region::0' ELSE artifact_id END AS component, CASE WHEN artifact_id IN ('region::0', 'region::1') THEN 2 ELSE 1 END::BIGINT AS size,
+ CASE type WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'order' THEN 3 WHEN 'part' THEN CASE WHEN src IS NULL THEN 0 ELSE 3 END ELSE 2 END::BIGINT AS level FROM nodes LEFT JOIN lines ON src = artifact_id""")
+def component_levels(spark, d):
+    """The whole graph, in which two regions call each other and are one component."""
+    return components.component_levels(nodes(spark, d), _regions_calling(spark, d))
+
+
+@registry.add(f"""WITH {CHAINS.replace("SELECT DISTINCT src, dst FROM edges", "SELECT DISTINCT src, replace(dst, 'region::1', 'region::0') AS dst FROM edges")},
+best AS (SELECT start, [start] || p AS path FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, p) AS k FROM chains) WHERE k = 1)
+SELECT start, place, path[place + 1] AS component FROM best, range(4) r(place) WHERE path[place + 1] IS NOT NULL""")
+def longest_walks(spark, d):
+    """The longest way from each entry that leads anywhere through the same graph, one row a step."""
+    e = _regions_calling(spark, d)
+    return components.longest_walks(nodes(spark, d), e, e.select(F.col("src").alias("start")).join(e.select(F.col("dst").alias("start")), "start", "left_anti"))
 
 
 @registry.add(f"""WITH {EDGES}, near AS (SELECT 'nation::3' AS id UNION SELECT src FROM edges WHERE dst = 'nation::3' UNION SELECT dst FROM edges WHERE src = 'nation::3')
