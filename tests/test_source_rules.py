@@ -22,11 +22,35 @@ def test_jcl(spark):
     assert {r.raw_text for r in kept.collect()} == {"PAYROLL", "COMMON"}
 
 
+def test_more_jcl(spark):
+    text = """//* COMMENT EXEC PGM=NO
+//P        PROC A=1
+//S1       EXEC PROC=OTHER,COND=(0,NE)
+//A        DD DISP=(NEW,CATLG),DSNAME='MY.SET(M1)'  A COMMENT DSN=NO
+//B        DD  DSN=&&TEMP,UNIT=SYSDA
+  run program (PAY01) plan(X)
+//         DD SYSOUT=*"""
+    rows = lines.explode_lines(spark.createDataFrame([("a.jcl", text), ("empty", ""), ("none", None)], "file_id string, content string"))
+    assert {r.artifact_id for r in sr.definitions(rows, "jcl").collect()} == {"procedure::P", "paragraph::S1"}
+    assert {(r.raw_text, r.relationship_type) for r in sr.references(rows, "jcl").collect()} == {("OTHER", "calls"), ("MY.SET", "references"), ("&&TEMP", "references"), ("PAY01", "executes")}
+
+
+def found(spark, text, kind):
+    rows = lines.explode_lines(spark.createDataFrame([("f", text)], "file_id string, content string"))
+    return {r.artifact_id for r in sr.definitions(rows, kind).collect()}, {(r.raw_text, r.relationship_type) for r in sr.references(rows, kind).collect()}
+
+
 def test_ddl(spark):
     ddl = "CREATE TABLE HR.EMP (\n  ID INTEGER,\n  DEPT CHAR(3) REFERENCES HR.DEPT\n);\nCREATE VIEW V AS SELECT ID FROM HR.EMP;"
-    rows = lines.explode_lines(spark.createDataFrame([("a.ddl", ddl)], "file_id string, content string"))
-    assert {r.artifact_id for r in sr.definitions(rows, "db2_ddl").collect()} == {"table::EMP", "column::ID", "column::DEPT", "view::V"}
-    assert {(r.raw_text, r.relationship_type) for r in sr.references(rows, "db2_ddl").collect()} == {("DEPT", "references"), ("EMP", "reads")}
+    assert found(spark, ddl, "db2_ddl") == ({"table::EMP", "column::ID", "column::DEPT", "view::V"}, {("DEPT", "references"), ("EMP", "reads")})
+    ddl = 'create unique index s."My Ix" on T\nCREATE OR REPLACE VIEW "S"."V 1" AS SELECT A FROM (SELECT 1) X JOIN S.T2 ON 1=1\n  "Col" XML,\n  N NUMERIC(3)\n-- CREATE A VIEW\nCREATE GLOBAL TEMPORARY TABLE TT'
+    assert found(spark, ddl, "db2_ddl") == ({"index::MY IX", "view::V 1", "column::COL", "column::N", "table::TT"}, {("T2", "reads")})
+
+
+def test_bms_and_python(spark):
+    assert found(spark, "SET1     DFHMSD TYPE=MAP\nMAP1     DFHMDI SIZE=(24,80)\nF1       DFHMDF POS=(1,1)\n         DFHMDF POS=(2,1)\n* DFHMDF", "bms") == ({"screen::SET1", "map::MAP1", "field::F1"}, set())
+    code = "import os, numpy as np\nfrom a.b import c\nclass A(B):\n    async def run(self):\n        pass\ndef f(x): return x"
+    assert found(spark, code, "python") == ({"class::A", "function::RUN", "function::F"}, {("os", "imports"), ("numpy", "imports"), ("a.b", "imports")})
 
 
 def test_cards(spark):
