@@ -11,16 +11,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.llm.bytetext import Chunk, chunks
 from ferrolith.llm.columns import with_text_columns
 from ferrolith.llm.samples import held_out, labelled_sample
+from ferrolith.llm.stages import written
 
 SAMPLE_ROWS = 6_000
-#: Bytes of text in the sample: rows are taken in hash order of their ids while they fit.
-SAMPLE_BYTES = 24 << 20
+#: Bytes of chunks that reach the driver: rows are taken in hash order of their ids, each that still fits.
+SAMPLE_BYTES = 48 << 20
+#: Chunks of one text in the sample; of a longer text so many, spread evenly over the whole of it.
+SAMPLE_CHUNKS = 64
+#: Chunks of one text that a step of training draws.
+STEP_CHUNKS = 8
 
 HALF = 256  # bytes; a chunk is two halves
 STRIDE = 2
@@ -98,21 +103,23 @@ def constant(probability: float) -> Network:
     return Network(zero((WIDTH, 256, FILTERS), np.float32), zero(FILTERS, np.float32), zero((FILTERS, HIDDEN), np.float32), zero(HIDDEN, np.float32), zero(HIDDEN, np.float32), np.array([np.log(p / (1 - p))], np.float32))
 
 
-def training_pieces(chunk: Chunk) -> dict[str, list[bytes]]:
-    """The chunks of each document, all of them and cut as for scores, each with the WIDTH bytes that follow it."""
+def training_pieces(chunk: Chunk, most: int = SAMPLE_CHUNKS) -> dict[str, object]:
+    """The chunks of each document, cut as for scores, each with the WIDTH bytes that follow it: all of them, or most
+    spread evenly from the first to the last; and their size in bytes."""
     padded, n_halves, first = padded_halves(chunk)
     out = []
     for k in range(chunk.n):
-        starts = (first[k] + np.arange(max(1, n_halves[k] - 1))) * HALF
-        rows = np.zeros((len(starts), 2 * HALF + WIDTH), np.uint8)
-        for i, at in enumerate(starts):
+        count = max(1, n_halves[k] - 1)
+        which = np.arange(count) if count <= most else np.round(np.linspace(0, count - 1, most)).astype(np.int64)
+        rows = np.zeros((len(which), 2 * HALF + WIDTH), np.uint8)
+        for i, at in enumerate((first[k] + which) * HALF):
             # a lone half is a chunk; what stands after it belongs to the next document
             piece = padded[at : at + (2 if n_halves[k] > 1 else 1) * HALF + WIDTH]
             rows[i, : len(piece)] = piece
         if n_halves[k] == 1:
             rows[:, HALF + WIDTH :] = 0
         out.append(rows.tobytes())
-    return {"pieces": out}
+    return {"pieces": out, "size": np.array([len(x) for x in out], np.int64)}
 
 
 def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> Network:
@@ -132,8 +139,9 @@ def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int
         order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
-            rows = np.concatenate([pieces[d] for d in docs])
-            owner = np.repeat(np.arange(len(docs)), [len(pieces[d]) for d in docs])
+            drawn = [pieces[d] if len(pieces[d]) <= STEP_CHUNKS else pieces[d][rng.choice(len(pieces[d]), STEP_CHUNKS, replace=False)] for d in docs]
+            rows = np.concatenate(drawn)
+            owner = np.repeat(np.arange(len(docs)), [len(x) for x in drawn])
             where, pooled = np.empty((len(rows), FILTERS), np.int64), np.empty((len(rows), FILTERS), np.float32)
             for at in range(0, len(rows), _CHUNKS_AT_ONCE):  # a long text has many chunks
                 part = slice(at, at + _CHUNKS_AT_ONCE)
@@ -151,7 +159,8 @@ def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int
             grads = {"w2": hidden.T @ d_logit, "b2": d_logit.sum(keepdims=True), "w1": x.T @ d_hidden, "b1": d_hidden.sum(0), "bias": d_x.sum(0), "tables": np.zeros_like(net.tables)}
             for j in range(WIDTH):
                 seen = np.take_along_axis(rows, where * STRIDE + j, axis=1)
-                np.add.at(grads["tables"][j], (seen, np.arange(FILTERS)[None]), d_x)
+                cell = seen.astype(np.int64) * FILTERS + np.arange(FILTERS)
+                grads["tables"][j] = np.bincount(cell.ravel(), d_x.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             grads["tables"][:, 0] = 0
             step += 1
             for k in names:
@@ -163,14 +172,22 @@ def train(pieces: list[np.ndarray], y: np.ndarray, steps: int = 1500, batch: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Network:
-    """Trained on the whole texts of at most rows labelled documents that aren't held out, as many as fit in most_bytes
-    together, so that about twice that (chunks overlap by half) reaches the driver, whatever the size of the tables."""
+    """Trained on at most rows labelled documents that aren't held out, whose chunks reach the driver: most_bytes at
+    most, whatever the size of the tables and of single texts. A document that doesn't fit any more is left out, and
+    the next ones in hash order of their ids are tried."""
     sample = labelled_sample(docs, labels, label, rows, ["doc_id", "text"])
-    # the window is over at most `rows` rows of ids and sizes
-    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sample = sample.withColumn("upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).where(F.col("upto") <= most_bytes)
-    sample = with_text_columns(sample, lambda: training_pieces, {"pieces": "binary"}, ["doc_id", "y"])
-    found = sorted(sample.collect(), key=lambda r: r.doc_id)
+    sample = with_text_columns(sample, lambda: training_pieces, {"pieces": "binary", "size": "bigint"}, ["doc_id", "y"])
+    sample = written(sample, "quality-sample")
+    chosen, left = [], most_bytes
+    # one pair of numbers for each of at most `rows` documents
+    for r in sample.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["size"] <= left:
+            chosen.append((r.doc_id,))
+            left -= r["size"]
+    if not chosen:
+        return constant(0.5)
+    kept = docs.sparkSession.createDataFrame(chosen, sample.select("doc_id").schema)
+    found = sorted(sample.join(F.broadcast(kept), "doc_id").collect(), key=lambda r: r.doc_id)
     return train([np.frombuffer(r.pieces, np.uint8).reshape(-1, 2 * HALF + WIDTH) for r in found], np.array([r.y for r in found], float))
 
 

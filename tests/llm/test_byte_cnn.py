@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ferrolith.llm import byte_cnn as c
+from ferrolith.llm.bytetext import chunks
 from ferrolith.llm.samples import held_out, labelled_sample
 from tests.llm.cases import AWKWARD, documents, with_clashes
 
@@ -21,10 +24,6 @@ def _toy():
 
 
 def _pieces(texts):
-    import pyarrow as pa
-
-    from ferrolith.llm.bytetext import chunks
-
     out = []
     for chunk in chunks(pa.array(texts, pa.binary())):
         out += [np.frombuffer(p, np.uint8).reshape(-1, 2 * c.HALF + c.WIDTH) for p in c.training_pieces(chunk)["pieces"]]
@@ -95,6 +94,30 @@ def test_a_text_longer_than_two_megabytes():
     assert abs(c.score_texts(net, [b"ab " * 800_000, b"x"])[0] - 0.8) < 0.01
 
 
+@pytest.mark.parametrize("place", [0, 100, 199])
+def test_a_text_longer_than_the_sample_changes_little(spark, place):
+    """First, in the middle or last in hash order: the others are learned from as before."""
+    texts, y = _toy()
+    texts = [t.decode() for t in texts[:200]]
+    by_hash = [r.id for r in spark.range(1000).where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(200).collect()]
+    texts[place] = "long text " * 200_000
+    docs = documents(spark, texts, ids=by_hash)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in zip(by_hash, y)], "doc_id bigint, quality int")
+    net = c.fit(docs, labels, most_bytes=400_000)
+    scores = c.score_texts(net, [t.encode() for t in texts])
+    known = np.arange(200) != place
+    assert ((scores > 0.5) == y[:200])[known].mean() > 0.95
+    assert c.fit(docs, labels, most_bytes=10).tables.any() == 0
+
+
+def test_chunks_of_a_long_text_are_spread_over_it():
+    (chunk,) = chunks(pa.array([b"".join(b"%07d " % i for i in range(20_000)), b"ab"], pa.binary()))
+    found = c.training_pieces(chunk)
+    rows = np.frombuffer(found["pieces"][0], np.uint8).reshape(-1, 2 * c.HALF + c.WIDTH)
+    assert len(rows) == c.SAMPLE_CHUNKS and found["size"].tolist() == [rows.size, 2 * c.HALF + c.WIDTH]
+    assert b"0000001" in rows[0].tobytes() and b"0019999" in rows[-1].tobytes() and b"00101" in rows[c.SAMPLE_CHUNKS // 2].tobytes()
+
+
 def test_awkward_rows(spark):
     docs = with_clashes(documents(spark, AWKWARD), "score")
     scored = c.classify(docs, c.constant(0.8))
