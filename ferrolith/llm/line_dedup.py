@@ -1,10 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (key, n_docs, fresh), the key being the 128-bit hash of a normalised line, bucketed and sorted by
-key. Batches of documents come one after another: a batch's keys are merge-anti-joined with the runs, which tells the
-lines that no batch had before (fresh) from known ones, and both enter as a new run at level 0 with the number of the
-batch's documents that hold them. When a level holds `fanout` runs they are merged into one run of the next level, so
-that a store of any age has few runs. All runs have the same buckets: merging and joining them shuffles nothing.
+A run is a table of (key, n_docs, batch), the key being the 128-bit hash of a normalised line and batch the last one
+that held it, bucketed and sorted by key.
+Batches of documents come one after another. A batch is merge-anti-joined with the runs of frequent keys, those that
+enough documents have held already: these are never counted or written again. The rest enters as a new run at level 0
+with the number of the batch's documents that hold each key, and what thereby becomes frequent is a new run of frequent
+keys. When a level holds `fanout` runs they are merged into one run of the next level, so that a store of any age has
+few runs. All runs have the same buckets: merging and joining them shuffles nothing.
 """
 
 from __future__ import annotations
@@ -43,44 +45,63 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """A store of runs below one folder of the shared storage, each a bucketed table of the session's catalogue.
 
-    buckets: files of a run, and tasks of a merge; the session's number of shuffle partitions if not given.
+    least: documents that make a key frequent. buckets: files of a run, and tasks of a merge; the session's number of
+    shuffle partitions if not given.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4, buckets: int | None = None):
-        self.spark, self.folder, self.fanout = spark, folder or new_path(spark, "line-runs"), fanout
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4, buckets: int | None = None, least: int = MIN_DOCS):
+        self.spark, self.folder, self.fanout, self.least = spark, folder or new_path(spark, "line-runs"), fanout, least
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
-        self._made = 0
+        self.frequent_levels: list[list[str]] = []
+        self._made = self._batches = 0
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
+    def _write(self, run: DataFrame, levels: list[list[str]], level: int) -> None:
+        while len(levels) <= level:
+            levels.append([])
         self._made += 1
         name = f"{self.name}_{level}_{self._made}"
         run.write.format("parquet").option("path", f"{self.folder}/{level}-{self._made}").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
-        self.levels[level].append(name)
+        levels[level].append(name)
 
     def _run(self, name: str) -> DataFrame:
         # the filter, which all rows pass, makes the scan's output rows: a union of columnar bucketed scans counts as
         # bucketed too (Spark 4.1), but does not keep the buckets together
         return self.spark.table(name).where("n_docs > 0")
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Takes the runs out of the session's catalogue; their files go with stages.clear. Results that still read
+        runs must have been written before."""
+        for levels in (self.levels, self.frequent_levels):
+            for names in levels:
+                self._drop(names)
+            levels.clear()
+
     def runs(self) -> list[DataFrame]:
         return [self._run(name) for level in self.levels for name in level]
 
-    def _all(self, names: list[str]) -> DataFrame:
-        return reduce(DataFrame.unionByName, map(self._run, names))
+    def frequent_runs(self) -> list[DataFrame]:
+        return [self._run(name) for level in self.frequent_levels for name in level]
+
+    @staticmethod
+    def _without(lines: DataFrame, runs: list[DataFrame]) -> DataFrame:
+        for run in runs:
+            lines = lines.join(run.select("key").hint("merge"), "key", "left_anti")
+        return lines
 
     def add(self, counts: DataFrame) -> None:
         """Adds a batch: one row (key, n_docs) for each key it holds."""
-        dealt = counts.select("key", "n_docs").repartition(self.buckets, "key")
-        if not self._made:
-            self._write(dealt.withColumn("fresh", F.lit(True)), 0)
-        else:
-            fresh = self.unseen(dealt)
-            known = dealt.join(fresh.select("key"), "key", "left_anti")
-            self._write(fresh.withColumn("fresh", F.lit(True)).unionByName(known.withColumn("fresh", F.lit(False))), 0)
+        self._batches += 1
+        dealt = counts.select("key", "n_docs", F.lit(self._batches).alias("batch")).repartition(self.buckets, "key")
+        self._write(self._without(dealt, self.frequent_runs()), self.levels, 0)
+        # what the new run holds is not frequent yet; whether it is now depends on all runs, whose buckets stay
+        totals = reduce(DataFrame.unionByName, self.runs()).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("batch").alias("batch"))
+        self._write(totals.where((F.col("n_docs") >= self.least) & (F.col("batch") == self._batches)), self.frequent_levels, 0)
         self.compact()
 
     def add_batches(self, keys: DataFrame, batches: int) -> None:
@@ -92,27 +113,33 @@ class LineRuns:
             self.add(counts.where(F.col("batch") == b))
 
     def compact(self) -> None:
-        """Merges each full level into one run of the next."""
-        level = 0
-        while level < len(self.levels):
-            if len(self.levels[level]) >= self.fanout:
-                merged = self._all(self.levels[level]).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("fresh").alias("fresh"))
-                self._write(merged, level + 1)
-                self.levels[level] = []
-            level += 1
+        """Merges each full level into one run of the next; counts of keys that are frequent meanwhile are left out."""
+        for levels in (self.levels, self.frequent_levels):
+            level = 0
+            while level < len(levels):
+                if len(levels[level]) >= self.fanout:
+                    merged = reduce(DataFrame.unionByName, map(self._run, levels[level])).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("batch").alias("batch"))
+                    self._write(self._without(merged, self.frequent_runs()) if levels is self.levels else merged, levels, level + 1)
+                    self._drop(levels[level])
+                    levels[level] = []
+                level += 1
+
+    def frequent(self) -> DataFrame:
+        """(key, n_docs) of the keys that at least `least` documents hold, each once; n_docs as of when it became so."""
+        runs = self.frequent_runs()
+        return reduce(DataFrame.unionByName, runs).select("key", "n_docs") if runs else self.spark.createDataFrame([], "key binary, n_docs bigint")
 
     def counts(self) -> DataFrame:
-        """(key, n_docs) over all runs."""
-        names = [name for level in self.levels for name in level]
-        if not names:
-            return self.spark.createDataFrame([], "key binary, n_docs bigint")
-        return self._all(names).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+        """(key, n_docs) of all keys: of frequent ones as of when they became so, of others over all batches."""
+        runs = self.runs()
+        if not runs:
+            return self.frequent()
+        rare = reduce(DataFrame.unionByName, runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+        return self._without(rare, self.frequent_runs()).unionByName(self.frequent())
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The rows of lines (column key) whose key no run holds: a merge anti-join with each run, whose buckets stay."""
-        for run in self.runs():
-            lines = lines.join(run.select("key").hint("merge"), "key", "left_anti")
-        return lines
+        return self._without(lines, self.runs() + self.frequent_runs())
 
 
 def row_key(*columns: Column) -> Column:
@@ -135,7 +162,6 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", doc_id:
     keyed = plain.select(*at.values(), row_key(F.col(at[doc_id]), F.col(at[text])).alias("row"))
     keys = F.transform(_lines(_lowered(F.col(at[text]))), lambda x: F.unhex(_hex_key(x)))
     lines = keyed.select("row", F.posexplode(keys).alias("pos", "key")).where("key is not null")
-    frequent = written(frequent.select("key"), "line-frequent")
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
     hits = lines.join(frequent, "key", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("drop"))
@@ -173,18 +199,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     A null text counts as empty: one empty line, which has no key and stays. A line of white space has no key either.
     Rows of one doc_id are one document when documents are counted, but each is cut and returned for itself (see
     document_keys for rows without one). Other lines stay in order, joined by \\n. runs: a store that already holds
-    earlier batches, whose counts then count too.
+    earlier batches, whose counts then count too, and stays open.
     """
-    runs = runs or LineRuns(docs.sparkSession)
+    own = runs is None
+    runs = LineRuns(docs.sparkSession, least=min_docs) if own else runs
+    if runs.least != min_docs:
+        raise ValueError("the store counts up to another number of documents")
     runs.add_batches(document_keys(docs, batches=batches), batches)
-    return drop_lines(docs, runs.counts().where(F.col("n_docs") >= min_docs))
+    frequent = written(runs.frequent().select("key"), "line-frequent")
+    if own:
+        runs.close()
+    return drop_lines(docs, frequent)
 
 
 def dedup_new_lines(batch: DataFrame, runs: LineRuns) -> DataFrame:
     """A batch without the lines that earlier batches held, and its own keys added to the runs (keep-first dedup of a
     stream of batches; within the batch, repeats stay). The result is bound to the runs as they were before."""
     counts = written(document_keys(batch).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs")), "line-batch")
-    known = counts.select("key").join(runs.unseen(counts).select("key"), "key", "left_anti")
+    known = written(counts.select("key").join(runs.unseen(counts).select("key"), "key", "left_anti"), "line-known")
     out = drop_lines(batch, known)
     runs.add(counts)
     return out
