@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.functions import text as tx
-from ferrolith.operators import aggregates, chunking, intervals, lines, patterns, search
+from ferrolith.operators import aggregates, chunking, intervals, lexer, lines, patterns, search
 from ferrolith.plans.registry import Registry, table
 
 registry = Registry()
@@ -367,3 +367,31 @@ def full_outer_merge(spark, d):
 def chunk_documents(spark, d):
     """Chunks of at most 200 tokens that end after blank lines where they can: each end depends on the one before."""
     return chunking.chunk_files(_documents(spark, d), 200, "doc_id", "text").drop("chunk")
+
+
+#: A syntax under which the documents' runs of symbols are strings and comments.
+SYMBOLS = lexer.Syntax(strings=("%", '"'), line=("#",), block=(("$*", "*$"),))
+_TOKEN = r"""%(?:[^%]|%%)*(?:%|\z)|"(?:[^"]|"")*(?:"|\z)|#[^\n]*|\$\*(?:[^*]|\*+[^*$])*(?:\*+\$|\**\z)"""
+_LEXED = f"""t AS (SELECT doc_id, text, string_split_regex(text, '{_TOKEN}') AS gaps, regexp_extract_all(text, '{_TOKEN}') AS found FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+s AS (SELECT *, list_transform(found, lambda x: x[1] IN ('%', '"')) AS quoted FROM t),
+k AS (SELECT *, list_transform(range(1, len(found) + 1), lambda i: len(list_filter(quoted[1:i], lambda q: q))) AS nth FROM s)"""
+
+
+@registry.add(f"""WITH {_LEXED}
+SELECT doc_id, len(list_filter(quoted, lambda q: q))::BIGINT AS n_strings, len(list_filter(quoted, lambda q: NOT q))::BIGINT AS n_comments,
+ md5(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i <= len(found) AND quoted[i] THEN '__STR_' || (nth[i] - 1) || '__' ELSE '' END), '')) AS clean FROM k""")
+def lexed_documents(spark, d):
+    """Strings and comments of all documents, and the text without them."""
+    found = lexer.lexed(_documents(spark, d), SYMBOLS, "doc_id", "text")
+    return found.select("doc_id", F.size("masked").cast("bigint").alias("n_strings"), F.col("n_comments").cast("bigint").alias("n_comments"), F.md5(F.encode("clean", "UTF-8")).alias("clean"))
+
+
+@registry.add(f"""WITH {_LEXED}, p AS (SELECT doc_id, text, unnest(range(1, len(found) + 1)) AS i, gaps, found, quoted, nth FROM k),
+o AS (SELECT doc_id, nth[i] - 1 AS n, array_to_string(list_transform(range(1, i + 1), lambda j: gaps[j] || CASE WHEN j < i THEN found[j] ELSE '' END), '') AS before FROM p WHERE quoted[i])
+SELECT doc_id, n::BIGINT AS n, 1 + length(before) - length(replace(before, chr(10), '')) AS line, length(string_split(before, chr(10))[-1]) + 1 AS "column" FROM o""")
+def string_places(spark, d):
+    """Lines and columns of all strings, found in the cleaned texts and looked up in the original ones."""
+    docs = _documents(spark, d).select("doc_id", "text")
+    clean = lexer.lexed(docs, SYMBOLS, "doc_id", "text")
+    found = lexer.original_places(lexer.matches_at(clean, "__STR_[0-9]+__", "doc_id", "clean"), clean, docs, "doc_id", "text")
+    return found.select("doc_id", F.regexp_extract("found", "[0-9]+", 0).cast("bigint").alias("n"), F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("column"))
