@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrolith.operators import cobol, source_rules, statements
+from ferrolith.operators import cobol, source_rules, statements, variables
 from ferrolith.operators import lines as ln
 from ferrolith.plans.registry import Registry, table
 
@@ -179,3 +179,55 @@ def card_utilities(spark, d):
     card = F.element_at(F.array(*map(F.lit, CARDS)), (F.col("c_custkey") % 5 + 1).cast("int"))
     content = F.concat(F.lit("\n  "), card, F.lit("\n\n"), F.col("c_custkey").cast("string"), F.lit("\n"))
     return table(spark, d, "customer").select("c_custkey", source_rules.utility(content).alias("utility"), source_rules.card_preview(content).alias("preview"))
+
+
+#: Statements over the items of a program of its own for each part; the one taken depends on the part's key, and so does
+#: which of two items of one name is meant. For each: text, and the items read and written ({o} the qualified one).
+ACCESSES = [
+    ("MOVE {q} TO OUT-1", ["{o}"], ["OUT-1"]),
+    ("ADD 1 CNT TO {q}", ["CNT"], ["{o}"]),
+    ("SUBTRACT CNT FROM {q}", ["CNT", "{o}"], ["{o}"]),
+    ("COMPUTE OUT-1 = {q} * CNT + 2", ["{o}", "CNT"], ["OUT-1"]),
+    ("DIVIDE {q} INTO CNT GIVING OUT-1", ["{o}", "CNT"], ["OUT-1"]),
+    ("IF IS-SET AND {q} > 'CNT' DISPLAY CNT", ["FLAG", "{o}", "CNT"], []),
+    ("SET IS-SET TO TRUE", [], ["FLAG"]),
+    ("ACCEPT {q} FROM DATE", [], ["{o}"]),
+    ("EXEC SQL SELECT A INTO :OUT-1 FROM T WHERE B = :CNT END-EXEC", ["CNT"], ["OUT-1"]),
+    ("MOVE SPACES TO ALT OUT-1", [], ["ALT", "OUT-1"]),
+    ("PERFORM OTHER UNTIL {q} = CNT", ["{o}", "CNT"], []),
+]
+#: The two items of the name, by qualifiers; the first is meant without any.
+QUALIFIED = [("AMT", "G1"), ("AMT OF REC-1", "G1"), ("AMT IN G2 OF REC-2", "G2"), ("AMT OF REC-2", "G2")]
+
+
+def _accessing(spark, d) -> DataFrame:
+    """A program for each part: MAIN holds one of ACCESSES, OTHER the next one."""
+    kinds = F.array(*[F.lit(text) for text, _, _ in ACCESSES])
+    names = F.array(*[F.lit(q) for q, _ in QUALIFIED])
+    k = F.col("p_partkey")
+    said = lambda at: F.replace(F.get(kinds, (at % len(ACCESSES)).cast("int")), F.lit("{q}"), F.get(names, (F.floor(at / len(ACCESSES)) % len(QUALIFIED)).cast("int")))
+    head = [
+        "       IDENTIFICATION DIVISION.", "       PROGRAM-ID. P.", "       DATA DIVISION.", "       WORKING-STORAGE SECTION.", "       01 REC-1.", "          05 G1.", "             10 AMT PIC 9(5).", "          05 FLAG PIC X.",
+        "             88 IS-SET VALUE 'Y'.", "       01 REC-2.", "          05 G2.", "             10 AMT PIC 9(5).", "          05 ALT REDEFINES G2 PIC X(5).", "       01 CNT PIC 9(4).", "       01 OUT-1 PIC X.", "       PROCEDURE DIVISION.", "       MAIN.",
+    ]
+    body = F.concat(F.lit("\n".join(head) + "\n           "), said(k), F.lit(".\n       OTHER.\n           "), said(k + 1), F.lit(".\n"))
+    return ln.explode_lines(table(spark, d, "part").select(k.alias("file_id"), body.alias("content")))
+
+
+def _accesses_sql() -> str:
+    rows = []
+    for i, (_, reads, writes) in enumerate(ACCESSES):
+        for j, (_, group) in enumerate(QUALIFIED):
+            for mode, names in (("r", reads), ("w", writes)):
+                for n in names:
+                    item = "AMT" if n == "{o}" else n
+                    rows.append(f"({i}, {j}, '{item}', '{'G2' if item == 'ALT' else item}', '{mode}', '{group if n == '{o}' else ''}')")
+    places = "SELECT p_partkey AS file_id, 'MAIN' AS paragraph, p_partkey AS spot FROM part UNION ALL SELECT p_partkey, 'OTHER', p_partkey + 1 FROM part"
+    return f"""SELECT DISTINCT file_id, paragraph, item, storage, mode, CASE WHEN item = 'AMT' THEN grp END AS within FROM ({places}) p
+JOIN (VALUES {", ".join(rows)}) v(i, j, item, storage, mode, grp) ON spot % {len(ACCESSES)} = i AND (spot // {len(ACCESSES)}) % {len(QUALIFIED)} = j"""
+
+
+@registry.add(_accesses_sql())
+def cobol_accesses(spark, d):
+    """What the paragraphs read and write, and which of the items of one name."""
+    return variables.accesses(_accessing(spark, d)).withColumn("within", F.when(F.col("item") == "AMT", F.get("path", 0))).drop("path")
