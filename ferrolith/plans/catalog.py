@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrolith.plans import cobol_programs, entities, graphs, programs, texts
+from ferrolith.plans import cobol_programs, entities, graphs, order_programs, programs, texts
 
-QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES | programs.QUERIES | cobol_programs.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL | programs.ORACLE_SQL | cobol_programs.ORACLE_SQL
+QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES | programs.QUERIES | cobol_programs.QUERIES | order_programs.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL | programs.ORACLE_SQL | cobol_programs.ORACLE_SQL | order_programs.ORACLE_SQL
