@@ -1,8 +1,8 @@
 """Chunks of files along their structure: whole files that fit a budget, else their divisions, sections and paragraphs, and
 runs of lines where nothing smaller is headed.
 
-Lines are shuffled once, by file: the sizes of all levels are windows over that partitioning, and what is folded in
-order is one row a unit, not a line, except where lines are the units.
+Lines are shuffled once, by file, and gathered between head lines; the sizes of all levels are windows over these pieces, and
+only pieces that don't fit are taken apart into lines. What one row holds is at most a file, as the scans read it.
 """
 
 from __future__ import annotations
@@ -25,48 +25,43 @@ def most_characters(budget_tokens: int, chars_a_token: float = 4) -> int:
     return math.ceil((budget_tokens + 1) * chars_a_token) - 1
 
 
-def leveled(lines: DataFrame, heads: list[tuple[str, Column]], whole: Column, room: Column, key: str = "file_id", text: str = "text") -> DataFrame:
-    """lines with level (file, a name of heads or line), unit (a running number of the file) and parent (the unit of the level
-    above, by its running number): each line is in the largest unit that fits.
-
-    heads, outermost first, says which lines begin a unit of a level; one also ends all units of the levels below it.
-    Sizes count a line break for every line. A null text is an empty line."""
-    by_file = Window.partitionBy(key)
-    upto = by_file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    begins, found = F.lit(False), lines.withColumn("_cost", F.coalesce(F.length(text), F.lit(0)).cast("bigint") + 1).withColumn("_g0", F.lit(0).cast("bigint"))
-    for k, (_, is_head) in enumerate(heads, 1):
-        begins = begins | F.coalesce(is_head, F.lit(False))
-        found = found.withColumn(f"_g{k}", F.sum(begins.cast("bigint")).over(upto))
-    level, parent, last = F.lit("line"), F.col(f"_g{len(heads)}"), len(heads)
-    inner = F.col("line_no").cast("bigint")
-    for k in range(last, -1, -1):
-        fits = F.sum("_cost").over(Window.partitionBy(key, *[f"_g{k}"][: k > 0])) <= (whole if k == 0 else room)
-        level = F.when(fits, F.lit("file" if k == 0 else heads[k - 1][0])).otherwise(level)
+def leveled(pieces: DataFrame, levels: list[str], whole: Column, room: Column, key: str = "file_id") -> DataFrame:
+    """pieces with level (file, a name of levels, or line), inside and parent: the running numbers of the largest unit that
+    fits and holds the piece, and of the one above it, and the unit's cost.
+
+    pieces (key, start, depth, cost) are what lies between two head lines; depth is the level, from 1, that begins with it,
+    0 for a file's first piece if no head line begins it. A head also ends all units of the levels below its own."""
+    upto = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    found = pieces.withColumns({f"_g{k}": F.sum((F.col("depth") <= k).cast("bigint")).over(upto) for k in range(1, len(levels) + 1)}).withColumn("_g0", F.lit(0).cast("bigint"))
+    level, parent, inside, cost = F.lit("line"), F.col(f"_g{len(levels)}"), F.lit(0).cast("bigint"), F.col("cost")
+    for k in range(len(levels), -1, -1):
+        size = F.sum("cost").over(Window.partitionBy(key, *[f"_g{k}"][: k > 0]))
+        fits = size <= (room if k else whole)
+        level = F.when(fits, F.lit(levels[k - 1] if k else "file")).otherwise(level)
         parent = F.when(fits, F.col(f"_g{max(k - 1, 0)}")).otherwise(parent)
-        inner = F.when(fits, F.col(f"_g{k}")).otherwise(inner)
-    found = found.withColumns({"level": level, "parent": parent, "_inner": inner})
-    before = Window.partitionBy(key).orderBy("line_no")
-    same = (F.lag("level").over(before) == F.col("level")) & (F.lag("parent").over(before) == F.col("parent")) & (F.lag("_inner").over(before) == F.col("_inner"))
-    found = found.withColumn("_new", ~F.coalesce(same, F.lit(False))).withColumn("unit", F.sum(F.col("_new").cast("bigint")).over(upto))
-    return found.drop("_inner", "_new", *[f"_g{k}" for k in range(last + 1)])
+        inside = F.when(fits, F.col(f"_g{k}")).otherwise(inside)
+        cost = F.when(fits, size).otherwise(cost)
+    return found.withColumns({"level": level, "parent": parent, "inside": inside, "cost": cost}).drop(*[f"_g{k}" for k in range(len(levels) + 1)])
 
 
-def chunk_starts(units: DataFrame, alone: list[str], key: str = "file_id") -> DataFrame:
-    """(key, starts): the first lines of a file's chunks. Neighbouring units (key, unit, start, level, parent, cost, room) of
-    one level and parent go together while they fit; those of a level in alone stay alone, and lines make runs of at most
-    LINES_A_RUN. A unit over the room, which only a line can be, is a chunk alone."""
-    rows = F.array_sort(F.collect_list(F.struct("unit", "start", "level", "parent", "cost", "room")))
-    start = F.expr("named_struct('level', '', 'parent', -1L, 'used', 0L, 'n', 0, 'starts', cast(array() as array<bigint>))")
+def chunk_starts(items: Column, room: Column, alone: list[str]) -> Column:
+    """The first lines of a file's chunks, from its items (start, level, parent, inside, cost) in order: pieces of one unit stay
+    together, neighbouring units of one level and parent go together while they fit; units of a level in alone stay alone,
+    and lines, each a unit, make runs of at most LINES_A_RUN. A line over the room is a chunk alone."""
+    start = F.expr("named_struct('level', '', 'parent', -1L, 'inside', -1L, 'used', 0L, 'n', 0, 'starts', cast(array() as array<bigint>))")
 
     def put(s: Column, r: Column) -> Column:
-        full = (s["used"] + r["cost"] > r["room"]) | r["level"].isin(alone) | ((r["level"] == "line") & (s["n"] >= LINES_A_RUN))
-        new = (s["level"] != r["level"]) | (s["parent"] != r["parent"]) | full
+        near = (s["level"] == r["level"]) & (s["parent"] == r["parent"])
+        same = near & (r["level"] != "line") & (s["inside"] == r["inside"])
+        full = (s["used"] + r["cost"] > room) | r["level"].isin(alone) | ((r["level"] == "line") & (s["n"] >= LINES_A_RUN))
+        new = ~near | (~same & full)
+        used = F.when(new, r["cost"]).when(same, s["used"]).otherwise(s["used"] + r["cost"])
         return F.struct(
-            r["level"].alias("level"), r["parent"].alias("parent"), (F.when(new, F.lit(0).cast("bigint")).otherwise(s["used"]) + r["cost"]).alias("used"),
-            (F.when(new, F.lit(0)).otherwise(s["n"]) + 1).alias("n"), F.when(new, F.concat(s["starts"], F.array(r["start"]))).otherwise(s["starts"]).alias("starts"),
+            r["level"].alias("level"), r["parent"].alias("parent"), r["inside"].alias("inside"), used.alias("used"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"),
+            F.when(new, F.concat(s["starts"], F.array(r["start"]))).otherwise(s["starts"]).alias("starts"),
         )
 
-    return units.groupBy(key).agg(F.aggregate(rows, start, put)["starts"].alias("starts"))
+    return F.aggregate(items, start, put)["starts"]
 
 
 def structure_chunks(
@@ -76,32 +71,43 @@ def structure_chunks(
     """(key, seq, level, first_line, last_line, names, tokens, chunk): every line of a file (key, line_no, text) is in just one
     chunk, in order.
 
-    names are those of the head lines in it (name, null elsewhere). The chunks of a file behind its first one begin with its
-    summary (summaries: key, summary), whose length the budget counts. A chunk is over the budget only if a single line with
-    the summary is. Files without lines have no chunks; a null text is an empty line; line numbers must differ in a file."""
+    heads, outermost first, says which lines begin a unit of a level. names are those of the head lines in a chunk (name,
+    else the trimmed text). The chunks of a file behind its first one begin with its summary (summaries: key, summary), whose
+    length the budget counts. A chunk is over the budget only if a single line with the summary is. Files without lines
+    have no chunks; a null text is an empty line; line numbers must differ in a file."""
     most = most_characters(budget_tokens, chars_a_token)
-    is_head = F.lit(False)
-    for _, head in heads:
-        is_head = is_head | F.coalesce(head, F.lit(False))
-    named = F.when(is_head, name if name is not None else F.trim(text))
-    columns = [F.col(key), F.col("line_no").cast("bigint").alias("line_no"), F.coalesce(F.col(text), F.lit("")).alias("text"), named.alias("_name")]
-    flags = [head.alias(f"_h{k}") for k, (_, head) in enumerate(heads)]
-    plain = lines.select(*columns, *flags)
+    depth = F.coalesce(*[F.when(head, k) for k, (_, head) in enumerate(heads, 1)])
+    body = F.coalesce(F.col(text), F.lit(""))
+    plain = lines.select(F.col(key), F.col("line_no").cast("bigint").alias("line_no"), body.alias("text"), depth.alias("depth"), F.when(depth.isNotNull(), name if name is not None else F.trim(body)).alias("name"))
+    row = F.struct("line_no", "text", "name")
+    held = ln.islands(plain, F.col("depth").isNotNull(), [key], "line_no").groupBy(key, "island").agg(
+        F.min("line_no").alias("start"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"), F.sum(F.length("text").cast("bigint") + 1).alias("cost"), F.array_sort(F.collect_list(row)).alias("rows")
+    )
     if summaries is None:
-        plain = plain.withColumn("_summary", F.lit(None).cast("string"))
+        held = held.withColumn("summary", F.lit(None).cast("string"))
     else:
-        plain = plain.join(summaries.select(key, F.col("summary").alias("_summary")), key, "left")
-    room = F.lit(most) - F.coalesce(F.length("_summary"), F.lit(-1))
-    found = leveled(plain, [(level, F.col(f"_h{k}")) for k, (level, _) in enumerate(heads)], F.lit(most + 1), room, key)
-    units = found.groupBy(key, "unit", "level", "parent").agg(F.min("line_no").alias("start"), F.sum("_cost").alias("cost"), F.max(room).cast("bigint").alias("room"))
-    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    cut = found.join(chunk_starts(units, list(alone), key), key).withColumn("seq", F.sum(F.array_contains("starts", F.col("line_no")).cast("bigint")).over(upto) - 1)
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "text", "_name")))
-    chunks = cut.groupBy(key, "seq").agg(F.first("level").alias("level"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), rows.alias("_r"), F.max("_summary").alias("_summary"))
-    body = F.array_join(F.transform("_r", lambda r: r["text"]), "\n")
-    chunks = chunks.withColumn("chunk", F.when((F.col("seq") > 0) & F.col("_summary").isNotNull(), F.concat("_summary", F.lit("\n"), body)).otherwise(body))
-    names = F.transform(F.filter("_r", lambda r: r["_name"].isNotNull()), lambda r: r["_name"])
-    return chunks.select(key, "seq", "level", "first_line", "last_line", names.alias("names"), F.floor(F.length("chunk") / chars_a_token).cast("bigint").alias("tokens"), "chunk")
+        held = held.join(summaries.select(key, "summary"), key, "left")
+    room = F.lit(most) - F.coalesce(F.length("summary"), F.lit(-1))
+    found = leveled(held, [level for level, _ in heads], F.lit(most + 1), room, key)
+
+    def item(start: Column, cost: Column, rows: Column) -> Column:
+        return F.struct(start.alias("start"), F.col("level").alias("level"), F.col("parent").alias("parent"), F.col("inside").alias("inside"), cost.alias("cost"), rows.alias("rows"))
+
+    by_line = F.transform("rows", lambda r: item(r["line_no"], F.length(r["text"]).cast("bigint") + 1, F.array(r)))
+    items = F.when(F.col("level") == "line", by_line).otherwise(F.array(item(F.col("start"), F.col("cost"), F.col("rows"))))
+    files = found.withColumn("items", items).groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("summary").alias("summary"))
+    files = files.withColumn("starts", chunk_starts(F.col("items"), room, list(alone)))
+    each = files.select(key, "summary", "starts", F.explode("items").alias("i"))
+    chunks = each.groupBy(key, F.size(F.filter("starts", lambda x: x <= F.col("i.start"))).cast("bigint").alias("seq")).agg(
+        F.max("i.level").alias("level"), F.array_sort(F.flatten(F.collect_list("i.rows"))).alias("rows"), F.max("summary").alias("summary")
+    ).withColumn("seq", F.col("seq") - 1)
+    joined = F.array_join(F.transform("rows", lambda r: r["text"]), "\n")
+    chunk = F.when((F.col("seq") > 0) & F.col("summary").isNotNull(), F.concat("summary", F.lit("\n"), joined)).otherwise(joined)
+    names = F.transform(F.filter("rows", lambda r: r["name"].isNotNull()), lambda r: r["name"])
+    return chunks.withColumn("chunk", chunk).select(
+        key, "seq", "level", F.get("rows", F.lit(0))["line_no"].alias("first_line"), F.get("rows", F.size("rows") - 1)["line_no"].alias("last_line"),
+        names.alias("names"), F.floor(F.length("chunk") / chars_a_token).cast("bigint").alias("tokens"), "chunk",
+    )
 
 
 def cobol_heads(code: DataFrame) -> DataFrame:
@@ -122,22 +128,26 @@ def cobol_heads(code: DataFrame) -> DataFrame:
     return found.withColumns({"head": head, "name": F.when(head.isNotNull(), name)}).drop("_head", "_in")
 
 
-def cobol_summaries(headed: DataFrame) -> DataFrame:
-    """(file_id, summary): comment lines that name a program and the lines of its data division, of cobol_heads()."""
+def cobol_summaries(code: DataFrame) -> DataFrame:
+    """(file_id, summary): comment lines that name a program and the lines of its data division, from lines of
+    fixed_format()."""
+    is_code = ~F.col("is_comment") & ~F.col("is_continuation") & ~F.col("is_blank")
     program = F.regexp_extract(F.upper("code"), r"^\s*PROGRAM-ID\s*\.\s*['\"]?([A-Z0-9$#@-]+)", 1)
-    first = lambda condition, value: F.min_by(F.when(condition, value), F.when(condition, F.col("line_no")))
-    is_data = (F.col("head") == "division") & (F.col("name") == "DATA")
-    begin, nxt = first(is_data, F.col("line_no")), F.collect_list(F.when(F.col("head") == "division", F.col("line_no")))
-    facts = headed.groupBy("file_id").agg(first((program != "") & ~F.col("is_comment"), program).alias("program"), begin.alias("begin"), F.array_sort(nxt).alias("divisions"), F.max("line_no").alias("last"))
-    after = F.filter("divisions", lambda x: x > F.col("begin"))
-    end = F.when(F.size(after) > 0, F.get(after, F.lit(0)) - 1).otherwise(F.col("last"))
-    data = F.when(F.col("begin").isNotNull(), F.concat(F.lit("\n      * DATA DIVISION: lines "), F.col("begin").cast("string"), F.lit(" to "), end.cast("string")))
+    division = F.when(is_code, F.upper(F.regexp_extract("code", r"(?i)^\s*([A-Z]+)\s+DIVISION\b", 1)))
+    at = F.col("line_no").cast("bigint")
+    facts = code.select("file_id", at.alias("at"), F.when(is_code & (program != ""), program).alias("program"), division.alias("division")).groupBy("file_id").agg(
+        F.min_by("program", F.when(F.col("program").isNotNull(), F.col("at"))).alias("program"), F.min(F.when(F.col("division") == "DATA", F.col("at"))).alias("begin"),
+        F.collect_list(F.when(F.col("division") != "", F.col("at"))).alias("divisions"), F.max("at").alias("last"),
+    )
+    end = F.coalesce(F.array_min(F.filter("divisions", lambda x: x > F.col("begin"))) - 1, "last")
+    data = F.concat(F.lit("\n      * DATA DIVISION: lines "), F.col("begin").cast("string"), F.lit(" to "), end.cast("string"))
     return facts.select("file_id", F.concat(F.lit("      * Part of program "), F.coalesce("program", F.lit("without a name")), F.coalesce(data, F.lit(""))).alias("summary"))
 
 
 def cobol_chunks(source: DataFrame, budget_tokens: int) -> DataFrame:
     """structure_chunks() of fixed-format COBOL (file_id, line_no, text) by divisions, sections and paragraphs or records;
     sections stay alone, other neighbours are packed."""
-    headed = cobol_heads(ln.fixed_format(source.where("line_no is not null").select("file_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))))
+    code = ln.fixed_format(source.where("line_no is not null").select("file_id", "line_no", F.coalesce("text", F.lit("")).alias("text")))
+    headed = cobol_heads(code)
     heads = [(level, F.col("head") == level) for level in ("division", "section", "unit")]
-    return structure_chunks(headed, heads, budget_tokens, cobol_summaries(headed), chars_a_token=COBOL_CHARS, name=F.col("name"))
+    return structure_chunks(headed, heads, budget_tokens, cobol_summaries(code), chars_a_token=COBOL_CHARS, name=F.col("name"))

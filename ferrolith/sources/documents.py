@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrolith.functions import json_schema
+
 #: The sections of a documentation file.
 DOCUMENT = """
 header STRUCT<program_id: STRING, file_name: STRING, file_type: STRING, analyzed_by: STRING, analyzed_at: STRING, iteration_count: INT, final_status: STRING>,
@@ -27,6 +31,56 @@ def scan_documents(spark: SparkSession, root: str, glob: str = "*.doc.json") ->
     return texts.where(is_object).select(name.alias("file_id"), F.from_json("value", DOCUMENT).alias("d")).select("file_id", "d.*")
 
 
+def scan_values(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """(file_id, text) of every JSON file below root that matches glob, one row a file, read by the executors."""
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return texts.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file_id"), F.col("value").alias("text"))
+
+
+def checked(texts: DataFrame, schema: dict, text: str = "text") -> DataFrame:
+    """texts with value (a VARIANT, null if the text is no JSON) and problems, an array of (path, problem) that is empty if
+    the value keeps the schema. A null or broken text has the one problem "not JSON" at the root. A text is read once."""
+    parsed = texts.withColumn("value", F.try_parse_json(text))
+    no_json = F.array(F.struct(F.lit("").alias("path"), F.lit("not JSON").alias("problem")))
+    return parsed.withColumn("problems", F.coalesce(json_schema.schema_problems(F.col("value"), schema), no_json))
+
+
+def valid(texts: DataFrame, schema: dict, text: str = "text") -> DataFrame:
+    """texts that keep the schema, with value."""
+    return checked(texts, schema, text).where(F.size("problems") == 0).drop("problems")
+
+
+def problems(texts: DataFrame, schema: dict, key: str = "file_id", text: str = "text") -> DataFrame:
+    """(key, path, problem): a row for each place at which a text breaks the schema."""
+    rows = checked(texts.select(key, text), schema, text).select(key, F.explode("problems").alias("p"))
+    return rows.select(key, "p.path", "p.problem")
+
+
+@dataclass(frozen=True)
+class Criterion:
+    """What a document of a type must say: the section, by its path, and how much that matters."""
+
+    file_type: str
+    name: str
+    section: str
+    priority: str = "HIGH"
+
+
+def failed_criteria(documents: DataFrame, criteria: list[Criterion], key: str = "file_id", value: Column | None = None) -> DataFrame:
+    """(key, name, section, priority) of the criteria that documents (key, file_type, value: VARIANT) fail. Types without
+    criteria, and null types, fail none; a null value fails all of its type. Sections are read once for all types."""
+    value = F.col("value") if value is None else value
+    places = sorted({c.section for c in criteria})
+    if not criteria:
+        return documents.select(key, *[F.lit("").alias(c) for c in ("name", "section", "priority")]).limit(0)
+    told = documents.select(key, "file_type", *[json_schema.section_is_documented(value, place).alias(f"_s{k}") for k, place in enumerate(places)])
+    rows = [
+        F.when((F.col("file_type") == c.file_type) & ~F.col(f"_s{places.index(c.section)}"), F.struct(F.lit(c.name).alias("name"), F.lit(c.section).alias("section"), F.lit(c.priority).alias("priority")))
+        for c in criteria
+    ]
+    return told.select(key, F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("c")).select(key, "c.*")
+
+
 def section(documents: DataFrame, name: str) -> DataFrame:
     """(file_id, ord, the fields) of a section's entries."""
     rows = documents.select("file_id", F.posexplode(name).alias("ord", "e"))

@@ -101,7 +101,7 @@ def test_cobol_heads_and_summary(spark):
         (1, "division", "IDENTIFICATION"), (2, "unit", "PROGRAM-ID"), (3, "division", "DATA"), (4, "section", "FILE"), (5, "unit", "INFILE"), (6, "section", "WORKING-STORAGE"),
         (7, "unit", "REC-A"), (9, "unit", "N"), (10, "division", "PROCEDURE"), (11, "section", "MAIN-PART"), (12, "unit", "P1"), (15, "unit", "P3"),
     ]
-    summaries = {r.file_id: r.summary for r in sc.cobol_summaries(headed).collect()}
+    summaries = {r.file_id: r.summary for r in sc.cobol_summaries(ln.fixed_format(source)).collect()}
     assert summaries["a"] == "      * Part of program PAY01\n      * DATA DIVISION: lines 3 to 9"
     assert summaries["b"] == "      * Part of program without a name"
     chunks = sc.cobol_chunks(source, 45).orderBy("file_id", "seq").collect()
