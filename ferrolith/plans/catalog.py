@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrolith.plans import cobol_programs, entities, graphs, json_documents, order_programs, programs, texts
+from ferrolith.plans import cobol_programs, entities, graphs, json_documents, order_programs, programs, searches, texts
 
-QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES | programs.QUERIES | cobol_programs.QUERIES | order_programs.QUERIES | json_documents.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL | programs.ORACLE_SQL | cobol_programs.ORACLE_SQL | order_programs.ORACLE_SQL | json_documents.ORACLE_SQL
+QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES | programs.QUERIES | cobol_programs.QUERIES | order_programs.QUERIES | json_documents.QUERIES | searches.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL | programs.ORACLE_SQL | cobol_programs.ORACLE_SQL | order_programs.ORACLE_SQL | json_documents.ORACLE_SQL | searches.ORACLE_SQL
