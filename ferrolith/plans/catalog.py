@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ferrolith.plans import cobol_programs, entities, graphs, json_documents, order_programs, programs, searches, texts
+from ferrolith.plans import cobol_programs, entities, graphs, json_documents, order_programs, programs, searches, stated_programs, texts
 
-QUERIES = texts.QUERIES | entities.QUERIES | graphs.QUERIES | programs.QUERIES | cobol_programs.QUERIES | order_programs.QUERIES | json_documents.QUERIES | searches.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | entities.ORACLE_SQL | graphs.ORACLE_SQL | programs.ORACLE_SQL | cobol_programs.ORACLE_SQL | order_programs.ORACLE_SQL | json_documents.ORACLE_SQL | searches.ORACLE_SQL
+PLANS = [texts, entities, graphs, programs, cobol_programs, order_programs, json_documents, searches, stated_programs]
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
