@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrolith.operators import cobol
-from ferrolith.operators import lines as ln
 
 NAME = cobol.NAME
 
@@ -62,17 +62,17 @@ ATTRIBUTES = [
 #: Attributes that are names are upper case.
 NAMES = {"target", "thru"}
 
-TREE = "node_id bigint, parent_id bigint, depth int"
+#: Nodes that a data frame of flatten_json() has.
+FRAME = 10000
 FLAT = "program_id string, paragraph string, node_id bigint, parent_id bigint, depth int, type string, text string, line_start bigint, line_end bigint, attributes map<string,string>"
 
 
 def tokens(source: DataFrame) -> DataFrame:
     """(file_id, paragraph, para_start, line_no, last_line, at, token): words and literals of the paragraphs' code; a
     period at the end of a word or after a literal stays with it."""
-    ranges = cobol.paragraphs(source)
-    inside = cobol.logical(source).join(ranges, "file_id").where("line_no > line_start and line_no <= line_end")
+    inside = cobol.paragraph_lines(source)
     word = F.regexp_extract_all("text", F.lit(r"""(?:'[^']*'|"[^"]*"|[^\s'"])+"""), 0)
-    return inside.select("file_id", F.col("name").alias("paragraph"), F.col("line_start").alias("para_start"), "line_no", "last_line", F.posexplode(word).alias("at", "token"))
+    return inside.select("file_id", "paragraph", "para_start", "line_no", "last_line", F.posexplode(word).alias("at", "token"))
 
 
 def assemble(source: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def assemble(source: DataFrame) -> DataFrame:
     starts = F.col("_word").isin(VERBS) & ~((F.col("_before") == "EXIT") & (F.col("_word") == "PERFORM")) | F.col("_word").rlike("^END-(?!EXEC$)[A-Z]+$")
     after_end = F.lag(F.col("token").endswith("."), 1, True).over(so_far)
     marked = marked.withColumn("_new", ~in_block & (starts | after_end))
-    parts = ln.islands(marked.withColumn("place", F.struct("line_no", "at")), F.col("_new"), of, "place")
+    parts = marked.withColumn("island", F.sum(F.coalesce(F.col("_new").cast("int"), F.lit(0))).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
     rows = F.array_sort(F.collect_list(F.struct("line_no", "at", "token")))
     text = F.array_join(F.transform(rows, lambda r: r["token"]), " ")
     whole = parts.groupBy(*of, F.col("island").alias("ord")).agg(F.min("line_no").alias("line_start"), F.max("last_line").alias("line_end"), text.alias("_text"))
@@ -150,27 +150,28 @@ def parents(kinds: list[str], ended: list[bool]) -> list[tuple[int, int] | None]
 def statement_tree(source: DataFrame) -> DataFrame:
     """One row a node: file_id, paragraph, para_start, node_id (in order from 1), parent_id (0: the paragraph), depth,
     type, text, line_start, line_end, attributes. A period closes all that is open; an ELSE belongs to the nearest open
-    IF without one; END- words make no node. The fold takes one paragraph at a time."""
+    IF without one; END- words make no node. The fold takes one paragraph at a time, but many of them go to Python at once."""
     of = ["file_id", "paragraph", "para_start"]
-    rows = classified(source)
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        found = parents(frame["type"].tolist(), frame["ended"].tolist())
-        ids, k = {-1: 0}, 0
-        for at, p in enumerate(found):
+    place = pa.struct([("node_id", pa.int64()), ("parent_id", pa.int64()), ("depth", pa.int32())])
+
+    def nodes(kinds: list[str], ended: list[bool]) -> list[dict | None]:
+        ids, out = {-1: 0}, []
+        for at, p in enumerate(parents(kinds, ended)):
             if p is not None:
-                k += 1
-                ids[at] = k
-        keep = [at for at, p in enumerate(found) if p is not None]
-        out = frame.iloc[keep][[*of, "ord"]].copy()
-        out["node_id"], out["parent_id"], out["depth"] = [ids[at] for at in keep], [ids[found[at][0]] for at in keep], [found[at][1] for at in keep]
+                ids[at] = len(ids)
+            out.append(None if p is None else {"node_id": ids[at], "parent_id": ids[p[0]], "depth": p[1]})
         return out
 
-    keys = ", ".join(f"{c} {kind[c]}" for c in [*of, "ord"])
-    placed = rows.select(*of, "ord", "type", "ended").groupBy(*of).applyInPandas(place, f"{keys}, {TREE}")
-    return placed.join(rows, [*of, "ord"]).where("text <> ''").select(*of, "node_id", "parent_id", "depth", "type", "text", "line_start", "line_end", "attributes")
+    @F.arrow_udf("array<struct<node_id:bigint,parent_id:bigint,depth:int>>")
+    def placed(kinds: pa.Array, ended: pa.Array) -> pa.Array:
+        return pa.array([nodes(k, e) for k, e in zip(kinds.to_pylist(), ended.to_pylist())], pa.list_(place))
+
+    row = F.struct("ord", statement_type(F.col("text")).alias("type"), "ended", "text", "line_start", "line_end")
+    held = assemble(source).groupBy(*of).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    held = held.withColumn("n", placed(F.col("s.type"), F.col("s.ended")))
+    each = held.select(*of, F.explode(F.arrays_zip("s", "n")).alias("r")).where("r.n is not null and r.s.text <> ''")
+    rows = each.select(*of, "r.n.*", *[f"r.s.{c}" for c in ("type", "text", "line_start", "line_end")])
+    return rows.withColumn("attributes", statement_attributes(F.col("text"), F.col("type")))
 
 
 def tree_statistics(tree: DataFrame) -> DataFrame:
@@ -217,29 +218,28 @@ def dead_in_tree(source: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def tree_json(tree: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, json): program_id and its paragraphs with nested statements. Nodes of a paragraph are nested within a task,
-    then the paragraphs' texts joined."""
-    kind = tree.schema[key].dataType.simpleString()
-
-    def nest(frame: pd.DataFrame) -> pd.DataFrame:
-        made: dict[int, dict] = {0: {"children": []}}
-        for r in frame.sort_values("node_id").itertuples():
-            node = {"type": r.type, "text": r.text, "line_start": int(r.line_start), "line_end": int(r.line_end), "attributes": dict(r.attributes), "children": []}
-            made[r.node_id] = node
-            made[r.parent_id]["children"].append(node)
-        head = frame.iloc[0]
-        body = {"name": head["paragraph"], "line_start": int(head["para_start"]), "line_end": int(frame["line_end"].max()), "statements": made[0]["children"]}
-        return pd.DataFrame({key: [head[key]], "para_start": [head["para_start"]], "body": [json.dumps(body)]})
-
-    each = tree.groupBy(key, "paragraph", "para_start").applyInPandas(nest, f"{key} {kind}, para_start bigint, body string")
-    rows = F.array_sort(F.collect_list(F.struct("para_start", "body")))
-    whole = F.concat(F.lit('{"program_id": '), F.concat(F.lit('"'), F.col(key).cast("string"), F.lit('"')), F.lit(', "paragraphs": ['), F.array_join(F.transform("rows", lambda r: r["body"]), ", "), F.lit("]}"))
-    return each.groupBy(key).agg(rows.alias("rows")).select(key, whole.alias("json"))
+    """(key, json): program_id and its paragraphs with nested statements. Nodes stand in reading order, so that what a node
+    closes before it opens follows from its depth and that of the node before; a paragraph's nodes are joined that way."""
+    said = F.to_json(F.struct("type", "text", "line_start", "line_end", "attributes"))
+    rows = F.array_sort(F.collect_list(F.struct("node_id", "depth", F.left(said, F.length(said) - 1).alias("said"))))
+    each = tree.groupBy(key, "paragraph", "para_start").agg(rows.alias("nodes"), F.max("line_end").alias("line_end"))
+
+    def opened(r: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("nodes", i - 1)["depth"], F.lit(0))
+        closed = F.when((i > 0) & (r["depth"] <= before), F.concat(F.repeat(F.lit("]}"), before - r["depth"] + 1), F.lit(", "))).otherwise("")
+        return F.concat(closed, r["said"], F.lit(', "children": ['))
+
+    head = F.to_json(F.struct(F.col("paragraph").alias("name"), F.col("para_start").alias("line_start"), "line_end"))
+    ends = F.repeat(F.lit("]}"), F.element_at("nodes", -1)["depth"])
+    body = F.concat(F.left(head, F.length(head) - 1), F.lit(', "statements": ['), F.array_join(F.transform("nodes", opened), ""), ends, F.lit("]}"))
+    bodies = F.array_sort(F.collect_list(F.struct("para_start", "body")))
+    whole = F.concat(F.lit('{"program_id": "'), F.col(key).cast("string"), F.lit('", "paragraphs": ['), F.array_join(F.transform("rows", lambda r: r["body"]), ", "), F.lit("]}"))
+    return each.select(key, "para_start", body.alias("body")).groupBy(key).agg(bodies.alias("rows")).select(key, whole.alias("json"))
 
 
 def flatten_json(texts: DataFrame, column: str = "json") -> DataFrame:
     """Nodes (FLAT) of the trees in a column of JSON texts; a text that isn't such JSON gives no rows. One text at a
-    time is held."""
+    time is held, and some FRAME nodes, which leave together."""
 
     def nodes(paragraph, program):
         todo = [(s, 0, 1) for s in reversed(paragraph.get("statements") or [])]
@@ -254,6 +254,7 @@ def flatten_json(texts: DataFrame, column: str = "json") -> DataFrame:
     columns = [c.split()[0] for c in FLAT.replace("map<string,string>", "map").split(", ")]
 
     def run(frames):
+        held = []
         for frame in frames:
             for text in frame[column]:
                 try:
@@ -261,7 +262,12 @@ def flatten_json(texts: DataFrame, column: str = "json") -> DataFrame:
                     rows = [r for p in read["paragraphs"] for r in nodes(p, read.get("program_id"))]
                 except (TypeError, ValueError, KeyError, AttributeError):
                     continue
-                yield pd.DataFrame(rows, columns=columns)
+                held += rows
+                if len(held) >= FRAME:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     return texts.select(column).mapInPandas(run, FLAT)
 
