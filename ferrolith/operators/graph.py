@@ -148,17 +148,24 @@ def incremental(nodes: DataFrame, edges: DataFrame, changed: DataFrame, new_node
     return nodes.join(changed, "file_id", "left_anti").unionByName(new_nodes), edges.join(changed, "file_id", "left_anti").unionByName(new_edges)
 
 
-def thru_ranges(performs: DataFrame, paragraphs: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, name): the paragraphs from the first to the last of each PERFORM first THRU last, by place in the file,
-    whichever stands first. performs: key, first, last. paragraphs: key, name, line_start."""
-    place = paragraphs.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("line_start"))).select(key, "name", "place")
-    a, b = (place.select(key, F.col("name").alias(c), F.col("place").alias(f"p_{c}")) for c in ("first", "last"))
-    spans = performs.join(a, [key, "first"]).join(b, [key, "last"]).select(key, F.least("p_first", "p_last").alias("lo"), F.greatest("p_first", "p_last").alias("hi")).distinct()
-    return place.join(spans, key).where("place between lo and hi").select(key, "name").distinct()
-
-
 def dead_paragraphs(paragraphs: DataFrame, targets: DataFrame, thru: DataFrame, key: str = "file_id") -> DataFrame:
-    """Paragraphs that no PERFORM or GO TO names (targets: key, name), that stand in no THRU range, and aren't first."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy("line_start"))
-    live = targets.select(key, "name").unionByName(thru_ranges(thru, paragraphs, key))
-    return paragraphs.withColumn("_k", place).where("_k > 1").drop("_k").join(live.distinct(), [key, "name"], "left_anti")
+    """Paragraphs that no PERFORM or GO TO names (targets: key, name), that stand in no THRU range (thru: key, first, last;
+    all from the one to the other by place in the file, whichever stands first), and aren't a file's first. Names and
+    ranges are gathered by file and met there, so each of the three inputs is computed once and nothing is broadcast."""
+    others = [c for c in paragraphs.columns if c not in (key, "name")]
+    files = paragraphs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_start", "name", *[c for c in others if c != "line_start"]))).alias("p"))
+    named = targets.groupBy(key).agg(F.collect_set("name").alias("named"))
+    spans = thru.groupBy(key).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    files = files.join(named.hint("merge"), key, "left").join(spans.hint("merge"), key, "left").withColumn("n", F.col("p")["name"])
+    back, size = F.reverse("n"), F.size("n")
+
+    def within(s: Column) -> Column:
+        lo = F.least(F.array_position("n", s["first"]), F.array_position("n", s["last"]))
+        hi = size + 1 - F.least(F.array_position(back, s["first"]), F.array_position(back, s["last"]))
+        return F.when(F.array_contains("n", s["first"]) & F.array_contains("n", s["last"]), F.slice("n", lo.cast("int"), (hi - lo + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+
+    none = F.array().cast("array<string>")
+    spanned = F.coalesce(F.flatten(F.transform("spans", within)), none)
+    files = files.withColumn("dead", F.array_except("n", F.array_union(F.coalesce("named", none), spanned)))
+    rows = files.where(F.size("dead") > 0).select(key, F.explode(F.filter(F.slice("p", 2, size), lambda x: F.array_contains("dead", x["name"]))).alias("r"))
+    return rows.select(key, *[F.col("r")[c].alias(c) for c in ["name", *others]])
