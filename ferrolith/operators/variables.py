@@ -6,7 +6,7 @@ a word qualify the one before. Names then meet the items by an equi join; words
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,27 +80,35 @@ def item_paths(tree: DataFrame) -> DataFrame:
     inner ones first; target is the item itself, or for a level 88 the one that it is a condition of; storage the item
     whose bytes the target takes: itself, or what it redefines."""
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.ord: r for r in frame.itertuples(index=False)}
-        known = lambda x: x is not None and x == x
+    columns = ["ord", "name", "level", "parent", "redefines"]
+
+    def build(*values: list) -> list[dict]:
+        rows = {v[0]: dict(zip(columns, v)) for v in zip(*values)}
+        named: dict[str, list[dict]] = {}
+        for r in rows.values():
+            named.setdefault(r["name"], []).append(r)
         out = []
         for r in rows.values():
-            path, up = [], r.parent
-            while known(up):
-                path.append(rows[up].name)
-                up = rows[up].parent
-            target = rows[r.parent] if r.level == 88 and known(r.parent) else r
-            over, storage = target, target.name
-            while isinstance(over.redefines, str):
-                storage = over.redefines
-                over = next((x for x in rows.values() if x.name == storage and x.ord < over.ord and (x.parent == over.parent or not known(x.parent) and not known(over.parent))), None)
-                if over is None:
-                    break
-            out.append((r.file_id, r.ord, r.name, r.level, path, target.name, storage))
-        return pd.DataFrame(out, columns=["file_id", "ord", "name", "level", "path", "target", "storage"])
-
-    kind = tree.schema["file_id"].dataType.simpleString()
-    return tree.groupBy("file_id").applyInPandas(build, f"file_id {kind}, ord bigint, name string, level int, path array<string>, target string, storage string")
+            path, up = [], r["parent"]
+            while up is not None:
+                path.append(rows[up]["name"])
+                up = rows[up]["parent"]
+            target = rows[r["parent"]] if r["level"] == 88 and r["parent"] is not None else r
+            over, storage = target, target["name"]
+            while over is not None and over["redefines"] is not None:
+                storage = over["redefines"]
+                over = next((x for x in named.get(storage, []) if x["ord"] < over["ord"] and x["parent"] == over["parent"]), None)
+            out.append({"path": path, "target": target["name"], "storage": storage})
+        return out
+
+    @F.arrow_udf("array<struct<path:array<string>,target:string,storage:string>>")
+    def placed(ords: pa.Array, names: pa.Array, levels: pa.Array, parents: pa.Array, over: pa.Array) -> pa.Array:
+        place = pa.struct([("path", pa.list_(pa.string())), ("target", pa.string()), ("storage", pa.string())])
+        return pa.array([build(*f) for f in zip(*[c.to_pylist() for c in (ords, names, levels, parents, over)])], pa.list_(place))
+
+    files = tree.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("i"))
+    files = files.withColumn("p", placed(*[F.col("i")[c] for c in columns]))
+    return files.select("file_id", F.explode(F.arrays_zip("i", "p")).alias("r")).select("file_id", "r.i.ord", "r.i.name", "r.i.level", "r.p.*")
 
 
 def _within(of: Column, path: Column) -> Column:
@@ -121,11 +129,11 @@ def accesses(source: DataFrame) -> DataFrame:
     """
     stated = statements.assemble(source).where(~F.upper("text").rlike("^EXEC\\s")).select("file_id", "paragraph", F.inline(operands(F.col("text"))))
     blocks = cobol.exec_blocks(source).select("file_id", F.col("line_start").alias("line_no"), "inputs", "outputs")
-    held = blocks.join(cobol.paragraphs(source).select("file_id", F.col("name").alias("paragraph"), "line_start", "line_end"), "file_id").where("line_no > line_start and line_no <= line_end")
+    held = blocks.join(cobol.paragraphs(source).select("file_id", F.col("name").alias("paragraph"), "line_start", "line_end").hint("merge"), "file_id").where("line_no > line_start and line_no <= line_end")
     host = lambda c, role: held.select("file_id", "paragraph", F.explode(c).alias("name"), F.array().cast("array<string>").alias("of"), F.lit(role).alias("role"))
     used = stated.unionByName(host("inputs", "r")).unionByName(host("outputs", "w")).distinct()
     items = item_paths(cobol.item_tree(cobol.data_items(source)))
-    met = used.join(items, ["file_id", "name"]).where(_within(F.col("of"), F.col("path")))
+    met = used.join(items.hint("merge"), ["file_id", "name"]).where(_within(F.col("of"), F.col("path")))
     one = met.withColumn("_k", F.row_number().over(Window.partitionBy("file_id", "paragraph", "name", "of", "role").orderBy("ord"))).where("_k = 1")
     modes = F.explode(F.when(F.col("role") == "rw", F.array(F.lit("r"), F.lit("w"))).otherwise(F.array("role")))
     return one.select("file_id", "paragraph", F.col("target").alias("item"), "storage", "path", modes.alias("mode")).distinct()
