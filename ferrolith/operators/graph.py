@@ -23,7 +23,12 @@ def split_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     src, dst = (known.withColumnRenamed("artifact_id", c) for c in ("src", "dst"))
     files = edges.where(F.col("src").startswith("file::"))
     good = edges.where(~F.col("src").startswith("file::")).join(src, "src", "left_semi").unionByName(files).join(dst, "dst", "left_semi").select(edges.columns)
-    lost = edges.join(dst, "dst", "left_anti").unionByName(edges.join(dst, "dst", "left_semi").where(~F.col("src").startswith("file::")).join(src, "src", "left_anti").select(edges.columns), allowMissingColumns=True).select(edges.columns)
+    # both ends are looked up once; asked for by number, parts aren't merged by the sizes of their blocks, in which alike
+    # names take far less room than in a sort
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = edges.repartition(parts, "dst").join(dst.withColumn("_to", F.lit(True)).hint("merge"), "dst", "left")
+    seen = to.join(src.withColumn("_from", F.lit(True)).hint("merge"), "src", "left")
+    lost = seen.where("_to is null or (_from is null and not coalesce(startswith(src, 'file::'), true))").select(edges.columns)
     return good, lost
 
 
