@@ -106,7 +106,7 @@ def missing_required(keys: DataFrame, matches: DataFrame, rules: list[Rule], key
     """(key, category, name) of required rules that nothing of the key matches."""
     wanted = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("name")) for r in rules if r.required])
     due = keys.select(key, F.explode(wanted).alias("w")).select(key, "w.category", "w.name")
-    return due.join(matches.select(key, "category", "name").distinct(), [key, "category", "name"], "left_anti")
+    return due.join(matches.select(key, "category", "name").distinct().hint("merge"), [key, "category", "name"], "left_anti")
 
 
 def first_class(text: Column, classes: list[tuple[str, str]], other: str) -> Column:

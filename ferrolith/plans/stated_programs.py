@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.operators import patterns, phrases
+from ferrolith.operators import lines, patterns, phrases
 from ferrolith.plans.registry import Registry, table
 from ferrolith.sources.shared import new_path
 
@@ -35,11 +35,12 @@ def _source(spark, d) -> DataFrame:
     """(file_id, line_no, text)."""
     within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     sentence = F.get(F.array(*[F.lit(t) for t, _ in SENTENCES]), (F.col("l_partkey") % len(SENTENCES)).cast("int"))
-    numbered = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.row_number().over(within).alias("n"), sentence.alias("t"))
-    own = F.array(F.concat(F.lit("       P-"), F.col("n").cast("string"), F.lit(".")), F.concat(F.lit("           "), F.col("t"), F.lit(".")))
-    rows = numbered.select("file_id", "n", F.posexplode(own).alias("j", "text")).select("file_id", (2 * F.col("n") + F.col("j")).cast("bigint").alias("line_no"), "text")
-    heads = numbered.where("n = 1").select("file_id", F.lit(1).cast("bigint").alias("line_no"), F.lit("       PROCEDURE DIVISION.").alias("text"))
-    return rows.unionByName(heads)
+    rows = lines.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", 50000)
+    numbered = rows.select(F.col("l_orderkey").alias("file_id"), F.row_number().over(within).alias("n"), sentence.alias("t"))
+    line = lambda at, *parts: F.struct(at.cast("bigint").alias("line_no"), F.concat(*parts).alias("text"))
+    own = [line(2 * F.col("n"), F.lit("       P-"), F.col("n").cast("string"), F.lit(".")), line(2 * F.col("n") + 1, F.lit("           "), F.col("t"), F.lit("."))]
+    first = line(F.lit(1), F.lit("       PROCEDURE DIVISION."))
+    return numbered.select("file_id", F.inline(F.when(F.col("n") == 1, F.array(first, *own)).otherwise(F.array(*own))))
 
 
 def _specifications(spark) -> tuple[DataFrame, DataFrame]:
