@@ -86,7 +86,7 @@ def structure_chunks(
     if summaries is None:
         held = held.withColumn("summary", F.lit(None).cast("string"))
     else:
-        held = held.join(summaries.select(key, "summary"), key, "left")
+        held = held.join(summaries.select(key, "summary").hint("merge"), key, "left")
     room = F.lit(most) - F.coalesce(F.length("summary"), F.lit(-1))
     found = leveled(held, [level for level, _ in heads], F.lit(most + 1), room, key)
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.operators import structure_chunks
+from ferrolith.operators import lines, structure_chunks
 from ferrolith.plans.registry import Registry, table
 
 registry = Registry()
@@ -31,7 +31,8 @@ FIXED = [
 def _source(spark, d) -> DataFrame:
     """(file_id, line_no, text) of every order's program."""
     within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    numbered = table(spark, d, "lineitem").select(
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    numbered = lines.dealt(rows, "l_orderkey", 20000).select(
         F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.floor(F.col("l_quantity") / 3).cast("int").alias("q"), F.col("l_returnflag").alias("f"), F.row_number().over(within).alias("n")
     )
     line = lambda part, j, text: F.struct(F.lit(part).alias("part"), F.lit(j).cast("int").alias("j"), text.alias("text"))
