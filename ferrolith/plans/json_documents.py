@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrolith.operators import lines
 from ferrolith.plans.registry import Registry, table
 from ferrolith.sources import documents as dc
 
@@ -41,7 +42,8 @@ def _documents(spark, d) -> DataFrame:
     n, p, quoted = F.row_number().over(within), F.col("l_partkey"), lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     name = F.when(p % 10 == 0, "").otherwise(F.concat(F.lit('"name": "'), F.when(p % 4 == 1, " ").otherwise(F.concat(F.lit("F"), p.cast("string"))), F.lit('", ')))
     entry = F.concat(F.lit("{"), name, F.lit('"io_type": '), quoted(F.col("l_returnflag")), F.lit(', "citation": ['), n.cast("string"), F.lit(", "), (p % 3).cast("string"), F.lit("]"), F.when(p % 13 == 0, ', "extra": null').otherwise(""), F.lit("}"))
-    entries = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), n.alias("n"), entry.alias("entry")).groupBy("o").agg(F.array_sort(F.collect_list(F.struct("n", "entry"))).alias("e"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    entries = lines.dealt(rows, "l_orderkey", 20000).select(F.col("l_orderkey").alias("o"), n.alias("n"), entry.alias("entry")).groupBy("o").agg(F.array_sort(F.collect_list(F.struct("n", "entry"))).alias("e"))
     o = F.col("o")
     program = F.when(o % 7 == 0, "null").otherwise(quoted(F.concat(F.lit("O"), o.cast("string"))))
     count = F.when(o % 11 == 0, '"1"').otherwise((o % 5).cast("string"))
