@@ -10,7 +10,8 @@ and S the sum of their lengths m and n. A pair of likeness t or more therefore s
   the same in whatever order the words stand; so are single characters, which take over where that bound is not positive.
 
 Either way names meet by the rarest of their words or runs only, as many as one of those shared must be among. Rare is
-by the product of how many names and targets hold a key: one that a side never holds comes first and makes no pair.
+by the product of how many names and targets hold a key: one that a side never holds comes first and makes no pair. How
+many runs that are depends on both lengths, so runs meet by key and both lengths: names that can't be alike never meet.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from ferrolith.sources.shared import written
 
 #: Pairs that one step of the subsequence search compares.
 STEP_PAIRS = 4096
-#: Lengths of one bucket differ by less than this factor.
-BUCKET = 1.25
+#: Lengths up to this are told apart; those of one bucket beyond it differ by less than this factor.
+EXACT, BUCKET = 32, 1.06
+#: Different runs up to this are broadcast with their counts.
+BROADCAST_KEYS = 1 << 19
 
 
 def words_of(name: str) -> list[str]:
@@ -110,12 +113,15 @@ def _keyed(names: DataFrame, targets: DataFrame, q: int) -> DataFrame:
 
 
 def _by_rarity(keyed: DataFrame, column: str) -> DataFrame:
-    """(text, a, b, m, keys): the keys of each text, those that make the fewest pairs first."""
+    """(text, a, b, m, keys, none): the keys of each text, those that make the fewest pairs first; the first none of
+    them make no pair at all."""
     m = F.length(F.array_join("words", " "))
     rows = keyed.select("text", "a", "b", m.alias("m"), F.explode(column).alias("key"))
-    counts = rows.groupBy("key").agg((F.sum("a") * F.sum("b")).alias("cost"))
+    counts = written(rows.groupBy("key").agg((F.sum("a") * F.sum("b")).alias("cost")), "key-counts")
+    # common keys are few and each is in most texts: their rows aren't gathered by key
+    counts = counts.hint("broadcast" if counts.count() <= BROADCAST_KEYS else "merge")
     ordered = rows.join(counts, "key").groupBy("text", "a", "b", "m").agg(F.array_sort(F.collect_list(F.struct("cost", "key"))).alias("o"))
-    return ordered.select("text", "a", "b", "m", F.col("o.key").alias("keys"))
+    return ordered.select("text", "a", "b", "m", F.col("o.key").alias("keys"), F.size(F.filter("o", lambda x: x["cost"] == 0)).alias("none"))
 
 
 def _joined_length(words: Column) -> Column:
@@ -127,8 +133,9 @@ def _by_words(keyed: DataFrame, t: float) -> DataFrame:
     held = _by_rarity(keyed, "words")
     need = F.lit(t / (2 - t)) * F.col("m")
     # a word is among the rare ones if it and the words after it are long enough
-    rare = F.filter("keys", lambda w, i: _joined_length(F.slice("keys", i + 1, F.size("keys"))) >= need)
-    held = written(held.select("text", "a", "b", "m", "keys", rare.alias("rare")), "names-by-words")
+    rare = F.filter("keys", lambda w, i: (i >= F.col("none")) & (_joined_length(F.slice("keys", i + 1, F.size("keys"))) >= need))
+    met = F.slice("keys", F.col("none") + 1, F.size("keys"))
+    held = written(held.withColumn("rare", rare).withColumn("keys", met).where("size(keys) > 0").drop("none"), "names-by-words")
 
     def side(flag: str, name: str, key: str) -> DataFrame:
         return held.where(f"{flag} = 1").select(F.col("text").alias(name), F.col("keys").alias(f"{name}_words"), F.col("m").alias(f"{name}_m"), F.explode(key).alias("key"))
@@ -143,22 +150,50 @@ def _by_words(keyed: DataFrame, t: float) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _bucket(length: Column) -> Column:
+    return F.when(length <= EXACT, F.floor(length)).otherwise(EXACT + 1 + F.floor(F.log(length / (EXACT + 1)) / np.log(BUCKET))).cast("int")
+
+
+def _shared(size: Column, t: float, q: int) -> Column:
+    """How many runs a pair of that joined length must share."""
+    return F.greatest(F.ceil(F.lit((2 * q - 1) * t / 2 - q + 1) * size + F.lit(q - 1 - 1e-9)), F.lit(1))
+
+
+def _meeting(keyed: DataFrame, t: float, q: int) -> tuple[DataFrame, DataFrame]:
+    """The rare runs of names and of targets (key, ab, bb, text, m, codes, i; ab and bb the buckets of the lengths of
+    both) that the other side has among its rare ones too."""
+    held = _by_rarity(keyed, "runs")
+    held = written(held.where("size(keys) > none").withColumn("own", _bucket(F.col("m"))), "names-by-runs")
+
+    def met_by(flag: str, other: str) -> DataFrame:
+        """(key, own, far, text, m, codes, i): the rare runs of one side, for each bucket of lengths near enough that the
+        other side has."""
+        lengths = held.where(f"{other} = 1").groupBy(F.col("own").alias("far")).agg(F.min("m").alias("_m"), F.max("m").alias("_most"))
+        near = held.where(f"{flag} = 1").join(F.broadcast(lengths), (F.col("_most") >= F.col("m") * F.lit(t / (2 - t)) - 1e-6) & (F.col("_m") <= F.col("m") * F.lit((2 - t) / t) + 1e-6))
+        # the least that the smallest of the bucket would have to share; those that make no pair stand first
+        least = F.greatest(F.col("_m"), F.ceil(F.col("m") * F.lit(t / (2 - t)) - 1e-6))
+        count = F.size("keys") - _shared(F.col("m") + least, t, q) + 1
+        rare = F.sequence(F.col("none"), (count - 1).cast("int"))
+        return near.where(count > F.col("none")).select("own", "far", "text", "m", F.col("keys").alias("codes"), F.explode(rare).alias("i")).withColumn("key", F.element_at("codes", F.col("i") + 1))
+
+    a = met_by("a", "b").withColumnsRenamed({"own": "ab", "far": "bb"})
+    b = met_by("b", "a").withColumnsRenamed({"own": "bb", "far": "ab"})
+    # only keys that are among the rare ones of both sides bring their texts along
+    both = written(a.select("key", "ab", "bb").distinct().join(b.select("key", "ab", "bb").distinct(), ["key", "ab", "bb"]), "run-keys")
+    both = both.hint("broadcast" if both.count() <= BROADCAST_KEYS else "merge")
+    return tuple(x.join(both, ["key", "ab", "bb"], "left_semi") for x in (a, b))
+
+
 def _by_runs(keyed: DataFrame, t: float, q: int) -> DataFrame:
     """Pairs that may share enough runs, found by the rarest ones of both, with lengths near enough."""
-    held = _by_rarity(keyed, "runs")
-    shared = lambda size: F.greatest(F.ceil(F.lit((2 * q - 1) * t / 2 - q + 1) * size + F.lit(q - 1 - 1e-9)), F.lit(1))
-    count = F.size("keys")
-    rare = F.slice("keys", F.lit(1), F.greatest(count - shared(F.col("m") * 2 / (2 - t)) + 1, F.lit(0)).cast("int"))
-    held = written(held.select("text", "a", "b", "m", F.col("keys").alias("codes"), F.posexplode(rare).alias("i", "key")), "names-by-runs")
-    bucket = lambda length: F.floor(F.log(length) / np.log(BUCKET)).cast("int")
-    span = F.sequence(bucket(F.col("m") * t / (2 - t) - 1e-6), bucket(F.col("m") * (2 - t) / t + 1e-6))
-    a = held.where("a = 1").select(F.col("text").alias("name"), F.col("m").alias("am"), F.col("i").alias("ai"), F.col("codes").alias("acodes"), "key", F.explode(span).alias("bucket"))
-    b = held.where("b = 1").select(F.col("text").alias("target"), F.col("m").alias("bm"), F.col("i").alias("bi"), F.col("codes").alias("bcodes"), "key", bucket(F.col("m")).alias("bucket"))
+    a, b = _meeting(keyed, t, q)
+    a = a.select("key", "ab", "bb", F.col("text").alias("name"), F.col("m").alias("am"), F.col("i").alias("ai"), F.col("codes").alias("acodes"))
+    b = b.select("key", "ab", "bb", F.col("text").alias("target"), F.col("m").alias("bm"), F.col("i").alias("bi"), F.col("codes").alias("bcodes"))
     size = F.col("am") + F.col("bm")
     left = F.least(F.size("acodes") - F.col("ai"), F.size("bcodes") - F.col("bi"))
-    met = a.join(b, ["key", "bucket"]).where((2 * F.least("am", "bm") >= F.lit(t) * size) & (left >= shared(size)))
+    met = a.join(b, ["key", "ab", "bb"]).where((2 * F.least("am", "bm") >= F.lit(t) * size) & (left >= _shared(size, t, q)))
     common = F.array_intersect("acodes", "bcodes")
-    return met.where(F.size(common) >= shared(size)).select("name", "target")
+    return met.where(F.size(common) >= _shared(size, t, q)).select("name", "target")
 
 
 def likenesses(names: DataFrame, targets: DataFrame, least: float) -> DataFrame:

@@ -49,40 +49,57 @@ def name_keys(artifacts: DataFrame) -> DataFrame:
     return names.unionByName(aliases).where("key is not null and key <> ''").distinct()
 
 
-def _first(found: DataFrame) -> DataFrame:
-    """Of a reference's hits the best: by rank, then artifact_id."""
-    return found.groupBy("ref_id").agg(F.min_by(F.struct("artifact_id", "method", "confidence"), F.struct("rank", "artifact_id")).alias("hit"))
+def _answers(artifacts: DataFrame) -> DataFrame:
+    """(key, expected_type, hit): what a lower-case key stands for, by type, and for a null type among all: the artifact
+    of that name, else of that alias, the smallest of equals. One row a key and type."""
+    keys = name_keys(artifacts)
+    first = F.min_by(F.struct("artifact_id", "by"), F.struct((F.col("by") == "alias").cast("int"), "artifact_id")).alias("hit")
+    typed = keys.groupBy("key", F.col("type").alias("expected_type")).agg(first).where("expected_type is not null")
+    return written(typed.unionByName(keys.groupBy("key").agg(first).withColumn("expected_type", F.lit(None).cast("string")), allowMissingColumns=True), "answers")
+
+
+def _asked(rows: DataFrame, answers: DataFrame, how: str) -> DataFrame:
+    """rows (with key and expected_type) with their hit, joined by key alone, which holds few types."""
+    kept = answers.withColumnRenamed("key", "_key").withColumnRenamed("expected_type", "_expected")
+    return rows.join(kept, (F.col("key") == F.col("_key")) & F.col("expected_type").eqNullSafe(F.col("_expected")), how).drop("_key", "_expected")
 
 
 def resolve(refs: DataFrame, artifacts: DataFrame, rules: list[AliasRule] = DEFAULT_RULES, fuzzy: float = FUZZY) -> DataFrame:
     """refs with artifact_id, method (exact, alias, transformation, fuzzy) and confidence; null where nothing answers.
 
-    All steps but the last are one equi join by lower-case key: a reference is written once under its own name and once
-    under each transformed name, with its rank in the cascade, and the first that hits wins. What is left is answered by
-    the artifact of its type whose name (no alias) is most alike, with a likeness >= fuzzy, the confidence.
+    Each step is one equi join by lower-case key, with one row a key and type: first of all references under their own
+    names; then of the different names without an answer under each transformed name, with its rank in the cascade, the
+    first that hits wins. What is left is answered by the artifact of its type whose name (no alias) is most alike, with
+    a likeness >= fuzzy, the confidence.
     """
-    ways = [F.struct(F.lit(0).alias("rank"), F.lower("raw_text").alias("key"), F.lit(1.0).alias("base"))]
+    answers = _answers(artifacts)
+    own = refs.withColumn("key", F.lower("raw_text"))
+    found = _asked(own, answers, "left").select(*refs.columns, F.col("hit.artifact_id").alias("artifact_id"), F.col("hit.by").alias("method"), F.when(F.col("hit").isNotNull(), 1.0).alias("confidence"))
+    found = written(found, "resolved")
+    names = written(found.where("artifact_id is null and raw_text is not null").select("raw_text", "expected_type").distinct(), "unresolved")
+    ways = []
     for rank, rule in enumerate(rules, 1):
         fits = F.col("expected_type").isNull() | (F.col("expected_type") == rule.target)
         key = F.when(fits, F.lower(apply_transforms(F.col("raw_text"), list(rule.transforms))))
-        ways.append(F.struct(F.lit(2 * rank).alias("rank"), key.alias("key"), F.lit(rule.confidence).alias("base")))
-    tried = refs.select("ref_id", "expected_type", F.inline(F.filter(F.array(*ways), lambda w: w.key.isNotNull())))
-    hits = tried.join(name_keys(artifacts), "key").where(F.col("expected_type").isNull() | (F.col("expected_type") == F.col("type")))
-    method = F.when(F.col("rank") > 0, "transformation").otherwise(F.col("by"))
-    ranked = hits.select("ref_id", "artifact_id", (F.col("rank") + (F.col("by") == "alias").cast("int")).alias("rank"), method.alias("method"), F.col("base").alias("confidence"))
-    found = written(refs.join(_first(ranked), "ref_id", "left").select(*refs.columns, "hit.artifact_id", "hit.method", "hit.confidence"), "resolved")
-    rest = found.where("artifact_id is null and raw_text is not null").select(F.col("raw_text").alias("name"), F.col("expected_type").alias("_type")).distinct()
-    rest = written(rest, "unresolved")
+        ways.append(F.struct(F.lit(rank).alias("rank"), key.alias("key"), F.lit(rule.confidence).alias("base")))
+    tried = names.select("raw_text", "expected_type", F.inline(F.filter(F.array(*ways), lambda w: w.key.isNotNull()))) if ways else None
+    if tried is not None:
+        hits = _asked(tried, answers, "inner").groupBy("raw_text", "expected_type").agg(F.min_by(F.struct("hit.artifact_id", F.col("base").alias("confidence")), "rank").alias("_hit"))
+        same = lambda t: (F.col("raw_text") == t["_name"]) & F.col("expected_type").eqNullSafe(t["_type"])
+        hits = hits.withColumnRenamed("raw_text", "_name").withColumnRenamed("expected_type", "_type")
+        hits = written(names.join(hits, same(hits), "left").select("raw_text", "expected_type", "_hit"), "transformed")
+    else:
+        hits = names.withColumn("_hit", F.lit(None).cast("struct<artifact_id:string,confidence:double>"))
+    rest = hits.where("_hit is null").select(F.col("raw_text").alias("name"), F.col("expected_type").alias("_type"))
     named = artifacts.select(F.lower("name").alias("target"), "artifact_id", "type").where("target <> ''")
     alike = rest.join(likenesses(rest.select("name"), named.select("target"), fuzzy), "name").join(named, "target").where("_type is null or _type = type")
-    best = alike.groupBy(F.col("name").alias("_name"), "_type").agg(F.min_by(F.struct("artifact_id", "score"), F.struct(-F.col("score"), "artifact_id")).alias("_hit"))
-    same = F.col("artifact_id").isNull() & (F.col("raw_text") == F.col("_name")) & F.col("expected_type").eqNullSafe(F.col("_type"))
-    return found.join(best, same, "left").select(
-        *refs.columns,
-        F.coalesce("artifact_id", "_hit.artifact_id").alias("artifact_id"),
-        F.coalesce("method", F.when(F.col("_hit").isNotNull(), "fuzzy")).alias("method"),
-        F.coalesce("confidence", "_hit.score").alias("confidence"),
-    )
+    best = alike.groupBy(F.col("name").alias("raw_text"), F.col("_type").alias("expected_type")).agg(F.min_by(F.struct("artifact_id", F.col("score").alias("confidence")), F.struct(-F.col("score"), "artifact_id")).alias("_hit"))
+    later = hits.where("_hit is not null").withColumn("method", F.lit("transformation")).unionByName(best.withColumn("method", F.lit("fuzzy")))
+    later = later.select(F.col("raw_text").alias("_name"), F.col("expected_type").alias("_type"), "_hit", F.col("method").alias("_method"))
+    open_ = found.where("artifact_id is null").drop("artifact_id", "method", "confidence")
+    met = open_.join(later, (F.col("raw_text") == F.col("_name")) & F.col("expected_type").eqNullSafe(F.col("_type")), "left")
+    met = met.select(*refs.columns, F.col("_hit.artifact_id").alias("artifact_id"), F.col("_method").alias("method"), F.col("_hit.confidence").alias("confidence"))
+    return found.where("artifact_id is not null").unionByName(met)
 
 
 def fuzzy_candidates(names: DataFrame, targets: DataFrame, least: float, most: int) -> DataFrame:

@@ -72,6 +72,13 @@ def test_unlike_names_make_no_pairs(spark):
     assert lk._by_words(keyed, 0.8).count() == 0 and lk._by_runs(keyed, 0.8, 2).distinct().count() < 3000 * 3000 / 50
 
 
+def test_unlike_names_never_meet(spark):
+    """The join itself has no pair to look at, however long the numbers are that both sides share digits with."""
+    names = spark.range(3000).select(F.format_string("nobody.%d", F.col("id") * 7 + 1_234_567).alias("name"))
+    targets = spark.range(3000).select(F.format_string("customer#%09d", F.col("id") * 7 + 1_234_567).alias("target"))
+    assert [x.count() for x in lk._meeting(lk._keyed(names, targets, 2), 0.8, 2)] == [0, 0]
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], "name string")
     assert lk.likenesses(none, spark.createDataFrame([("x",)], "target string"), 0.8).count() == 0

@@ -35,6 +35,18 @@ def test_cascade_ends_with_fuzzy(spark):
     ]
 
 
+def test_cascade_keeps_every_reference(spark):
+    """Repeated ids and names, other columns, no rules, and names that only a transformed form of many would share."""
+    refs = [(1, "customer", None, "x"), (1, "customer", None, "y"), (2, "customer", "table", "x"), (3, "", "table", "x"), (4, "CUST-REC", None, "x"), (5, "NOWHERE", None, "x")]
+    frame = spark.createDataFrame(refs, "ref_id bigint, raw_text string, expected_type string, more string")
+    for rules in (resolve.DEFAULT_RULES, []):
+        found = resolve.resolve(frame, artifacts(spark), rules)
+        assert found.columns == [*frame.columns, "artifact_id", "method", "confidence"]
+        got = sorted((r.ref_id, r.more, r.artifact_id, r.method, r.confidence) for r in found.collect() if r.artifact_id)
+        assert got == [(1, "x", "table::CUSTOMER", "exact", 1.0), (1, "y", "table::CUSTOMER", "exact", 1.0), (2, "x", "table::CUSTOMER", "exact", 1.0), (4, "x", "copybook::CUSTOMER_REC", "alias", 1.0)]
+        assert found.count() == len(refs)
+
+
 def test_links_keep_the_first(spark):
     rows = [("a", "b", "calls", 1.0, "exact", 2), ("a", "b", "calls", 0.8, "transformation", 1), ("a", None, "calls", None, None, 3)]
     got = resolve.links(spark.createDataFrame(rows, "containing_id string, artifact_id string, relationship_type string, confidence double, method string, ref_ord bigint")).collect()
