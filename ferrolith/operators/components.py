@@ -2,6 +2,9 @@
 
 Rounds end when nothing is left to do, however deep the graph is, and each writes what is left to the shared folder.
 What would take a round a step goes by pointer doubling: a chain of n nodes takes about log n rounds.
+
+Nodes that no edge enters are on no cycle, and often hold most edges. They are set apart first: rounds work on the rest
+alone, and what the others come to follows from it with one join of their edges.
 """
 
 from __future__ import annotations
@@ -18,6 +21,29 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def entered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All ends of graphs (node, known, entered: whether it is one of nodes, and whether an edge leads to it), one row
+    each, and the distinct edges (src, dst, entered: of src) but those whose src is neither. Edges are shuffled once."""
+    known = nodes.select(F.col("artifact_id").alias("node")).where("node is not null").distinct().withColumn("known", F.lit(True))
+    led = edges.select(F.col("dst").alias("node")).where("node is not null").distinct().withColumn("entered", F.lit(True))
+    marks = known.hint("merge").join(led.hint("merge"), "node", "full_outer").select("node", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("entered", F.lit(False)).alias("entered"))
+    marks = written(marks, "ends")
+    by_src = edges.select("src", "dst").join(marks.select(F.col("node").alias("src"), "entered").hint("merge"), "src").distinct()
+    return marks, written(by_src, "edges-by-source")
+
+
+def _inner(marks: DataFrame, by_src: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The known nodes (artifact_id) that edges lead to, and the edges (src, dst) from these."""
+    return marks.where("known and entered").select(F.col("node").alias("artifact_id")), by_src.where("entered").select("src", "dst")
+
+
+def _outer(marks: DataFrame, by_src: DataFrame, values: DataFrame, *found) -> DataFrame:
+    """(node, aggregates found): one row for each known node that no edge enters, with aggregates over the values
+    (dst, ..) of what its edges lead to; null for those whose edges lead to nothing known."""
+    met = by_src.where("not entered").select("src", "dst").join(values.hint("merge"), "dst").groupBy(F.col("src").alias("node")).agg(*found)
+    return marks.where("known and not entered").select("node").join(met.hint("merge"), "node", "left")
+
+
 def _known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The distinct edges between nodes, without those of a node to itself."""
     known = nodes.select("artifact_id").distinct()
@@ -159,32 +185,60 @@ def condensed_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(a, "src").join(b, "dst").where("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
 
 
-def component_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(artifact_id, component, size, level): level is the number of edges of the longest path from a node's component
-    to one that leads nowhere, 0 for that; size is the number of nodes of the component."""
+def _inner_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = written(strong_components(nodes, edges), "components")
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     found = depths(parts.select(F.col("component").alias("node"), F.lit(0).alias("least")).distinct(), condensed_edges(parts, edges))
-    return parts.join(found.select(F.col("node").alias("component"), F.col("depth").alias("level")), "component").join(sizes, "component").select("artifact_id", "component", "size", "level")
+    return written(parts.join(found.select(F.col("node").alias("component"), F.col("depth").alias("level")), "component").join(sizes, "component").select("artifact_id", "component", "size", "level"), "levels")
 
 
-def longest_walks(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, place, component): the longest path over components from each start (column start), of equal ones the
-    smallest, one row a step from place 0. Without cycles components are the nodes themselves.
+def component_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(artifact_id, component, size, level): level is the number of edges of the longest path from a node's component
+    to one that leads nowhere, 0 for that; size is the number of nodes of the component."""
+    marks, by_src = entered(nodes, edges)
+    inner = _inner_levels(*_inner(marks, by_src))
+    outer = _outer(marks, by_src, inner.select(F.col("artifact_id").alias("dst"), "level"), F.max("level").alias("level"))
+    level = F.coalesce(F.col("level") + 1, F.lit(0).cast("bigint")).alias("level")
+    return inner.unionByName(outer.select(F.col("node").alias("artifact_id"), F.col("node").alias("component"), F.lit(1).cast("bigint").alias("size"), level))
+
+
+def walk_parts(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The longest walks from starts in parts: (start, next) of starts that no edge enters, with the component that they
+    go on to or null; (start, component) of the others; and the walks (start, place, component) from all components that
+    these two name.
 
     A component goes on to its smallest neighbour one level below; where 2^k steps lead is known by doubling, and each
     step takes the places that are known 2^k on, from the highest k down.
     """
-    known = written(component_levels(nodes, edges), "levels")
+    marks, by_src = entered(nodes, edges)
+    inner_nodes, inner_edges = _inner(marks, by_src)
+    known = _inner_levels(inner_nodes, inner_edges)
     of, level = known.select("artifact_id", "component"), known.select("component", "level").distinct()
     a, b = level.select(F.col("component").alias("src"), F.col("level").alias("la")), level.select(F.col("component").alias("dst"), F.col("level").alias("lb"))
-    step = condensed_edges(of, edges).join(a, "src").join(b, "dst").where("la = lb + 1").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"))
+    step = condensed_edges(of, inner_edges).join(a, "src").join(b, "dst").where("la = lb + 1").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"))
     jumps = [written(step, "steps")]
     while jumps[-1].limit(1).count():
         last = jumps[-1]
         jumps.append(written(last.join(last.select(F.col("node").alias("next"), F.col("next").alias("_next")), "next").select("node", F.col("_next").alias("next")), "steps"))
-    walks = starts.select("start").distinct().join(of.withColumnRenamed("artifact_id", "start"), "start").select("start", F.lit(0).cast("bigint").alias("place"), "component")
+    asked = starts.select(F.col("start").alias("node")).where("node is not null").distinct()
+    best = F.min(F.struct((-F.col("level")).alias("l"), "component")).alias("best")
+    first = _outer(marks, by_src, known.select(F.col("artifact_id").alias("dst"), "level", "component"), best)
+    first = written(first.join(asked.hint("merge"), "node", "left_semi").select(F.col("node").alias("start"), F.col("best.component").alias("next")), "first-steps")
+    others = written(asked.withColumnRenamed("node", "start").join(of.withColumnRenamed("artifact_id", "start"), "start"), "inner-starts")
+    begun = first.where("next is not null").select(F.col("next").alias("start")).unionByName(others.select(F.col("component").alias("start"))).distinct()
+    walks = written(begun.select("start", F.lit(0).cast("bigint").alias("place"), F.col("start").alias("component")), "walks")
     for k in range(len(jumps) - 2, -1, -1):
         on = walks.join(jumps[k], F.col("component") == F.col("node")).select("start", (F.col("place") + 2**k).alias("place"), F.col("next").alias("component"))
         walks = written(walks.unionByName(on), "walks")
-    return walks
+    return first, others, walks
+
+
+def longest_walks(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, place, component): the longest path over components from each start (column start), of equal ones the
+    smallest, one row a step from place 0. Without cycles components are the nodes themselves."""
+    first, others, walks = walk_parts(nodes, edges, starts)
+    walks = walks.withColumnRenamed("start", "_from")
+    begin = first.select("start", F.lit(0).cast("bigint").alias("place"), F.col("start").alias("component"))
+    after = first.join(walks, F.col("next") == F.col("_from")).select("start", (F.col("place") + 1).alias("place"), walks["component"])
+    inside = others.withColumnRenamed("component", "_own").join(walks, F.col("_own") == F.col("_from")).select("start", "place", "component")
+    return begin.unionByName(after).unionByName(inside)

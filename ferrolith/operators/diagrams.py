@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrolith.functions.text import mermaid_id, mermaid_label
-from ferrolith.operators.components import condensed_edges, depths, strong_components
+from ferrolith.operators.components import _inner, _outer, condensed_edges, depths, entered, strong_components
 from ferrolith.operators.graph import reachable
 from ferrolith.sources.shared import written
 
@@ -18,13 +18,17 @@ ENDLESS = 1 << 60
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(artifact_id, level): 0 for nodes that call nothing, else one more than the highest that they call; null for
     those on a cycle or calling into one."""
+    marks, by_src = entered(nodes, edges)
+    nodes, edges = _inner(marks, by_src)
     parts = written(strong_components(nodes, edges), "components")
-    known = nodes.select("artifact_id").distinct()
-    alone = edges.where("src = dst").select(F.col("src").alias("artifact_id")).join(known, "artifact_id", "left_semi").select(F.col("artifact_id").alias("component"))
+    alone = edges.where("src = dst").select(F.col("src").alias("artifact_id")).join(nodes, "artifact_id", "left_semi").select(F.col("artifact_id").alias("component"))
     rings = parts.groupBy("component").count().where("count > 1").select("component").unionByName(alone).distinct().withColumn("ring", F.lit(True))
     base = parts.select("component").distinct().join(rings, "component", "left").select(F.col("component").alias("node"), F.when(F.col("ring"), F.lit(ENDLESS)).otherwise(F.lit(0)).alias("least"))
     found = depths(base, condensed_edges(parts, edges)).select(F.col("node").alias("component"), "depth")
-    return parts.join(found, "component").select("artifact_id", F.when(F.col("depth") < ENDLESS, F.col("depth")).alias("level"))
+    inner = written(parts.join(found, "component").select("artifact_id", "depth"), "levels")
+    outer = _outer(marks, by_src, inner.withColumnRenamed("artifact_id", "dst"), F.max("depth").alias("depth"))
+    every = inner.unionByName(outer.select(F.col("node").alias("artifact_id"), F.coalesce(F.col("depth") + 1, F.lit(0).cast("bigint")).alias("depth")))
+    return every.select("artifact_id", F.when(F.col("depth") < ENDLESS, F.col("depth")).alias("level"))
 
 
 def exit_names(names: DataFrame, key: str = "file_id") -> DataFrame:

@@ -159,7 +159,7 @@ SELECT start, place, path[place + 1] AS component FROM best, range(4) r(place) W
 def longest_walks(spark, d):
     """The longest way from each entry that leads anywhere through the same graph, one row a step."""
     e = _regions_calling(spark, d)
-    return components.longest_walks(nodes(spark, d), e, e.select(F.col("src").alias("start")).join(e.select(F.col("dst").alias("start")), "start", "left_anti"))
+    return components.longest_walks(nodes(spark, d), e, e.select(F.col("src").alias("start")).join(e.select(F.col("dst").alias("start")).distinct(), "start", "left_anti"))
 
 
 @registry.add(f"""WITH {EDGES}, near AS (SELECT 'nation::3' AS id UNION SELECT src FROM edges WHERE dst = 'nation::3' UNION SELECT dst FROM edges WHERE src = 'nation::3')
