@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrolith.operators.components import longest_walks
+from ferrolith.operators.components import entered, walk_parts
 from ferrolith.sources.shared import settled, written
 
 
@@ -66,7 +66,7 @@ def dead_nodes(nodes: DataFrame, edges: DataFrame, entry_types: list[str]) -> Da
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(edges.select(F.col("dst").alias("artifact_id")), "artifact_id", "left_anti")
+    return nodes.join(edges.select(F.col("dst").alias("artifact_id")).distinct(), "artifact_id", "left_anti")
 
 
 def leaf_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,19 +126,33 @@ def simple_paths(edges: DataFrame, starts: DataFrame, longest: int) -> DataFrame
 
 
 def call_chains(edges: DataFrame, nodes: DataFrame, deepest: int = 10) -> DataFrame:
-    """Paths from entry points to leaves of at most deepest nodes."""
-    starts = entry_points(nodes, edges).select(F.col("artifact_id").alias("start"))
-    ends = leaf_nodes(nodes, edges).select(F.col("artifact_id").alias("end"))
-    paths = simple_paths(edges, starts, deepest - 1)
-    return paths.join(ends, F.element_at("path", -1) == F.col("end"), "left_semi").distinct()
+    """(path): the paths from entry points to leaves of at most deepest nodes.
+
+    No edge leads back to an entry point: chains grow from the nodes behind those, over the edges between nodes that are
+    entered, and the edges of entry points, most of all, are joined once with the chains that their ends begin."""
+    marks, by_src = entered(nodes, edges)
+    if deepest < 2:
+        return by_src.limit(0).select(F.array("src").alias("path"))
+    first = by_src.where("not entered").select("src", "dst")
+    step = by_src.where("entered").select("src", "dst")
+    second = written(first.select(F.col("dst").alias("start")).distinct(), "second-nodes")
+    leads = by_src.where("entered").select(F.col("src").alias("node")).distinct()
+    ends = marks.where("known and entered").join(leads, "node", "left_anti").select(F.col("node").alias("end"))
+    paths = second.select(F.array("start").alias("path"))
+    if deepest > 2:
+        paths = paths.unionByName(simple_paths(step, second, deepest - 2))
+    paths = paths.join(ends, F.element_at("path", -1) == F.col("end"), "left_semi")
+    tails = written(paths.select(F.col("path")[0].alias("dst"), "path"), "tails")
+    return first.join(tails.hint("merge"), "dst").select(F.concat(F.array("src"), "path").alias("path"))
 
 
 def longest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(start, path): the longest path from each entry point that leads anywhere, of equal ones the smallest, whatever
-    its length. A cycle is one step of it, named by its smallest node."""
-    walks = longest_walks(nodes, edges, entry_points(nodes, edges).select(F.col("artifact_id").alias("start")))
-    paths = walks.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "component"))).alias("steps"))
-    return paths.where(F.size("steps") > 1).select("start", F.col("steps.component").alias("path"))
+    its length. A cycle is one step of it, named by its smallest node. No edge enters an entry point: its path is
+    itself and the path from where it goes on to, which is gathered once for all that go there."""
+    first, _, walks = walk_parts(nodes, edges, entry_points(nodes, edges).select(F.col("artifact_id").alias("start")))
+    paths = walks.groupBy(F.col("start").alias("next")).agg(F.array_sort(F.collect_list(F.struct("place", "component"))).alias("steps"))
+    return first.join(paths, "next").select("start", F.concat(F.array("start"), F.col("steps.component")).alias("path"))
 
 
 def neighbourhood(edges: DataFrame, centre: DataFrame, hops: int) -> DataFrame:

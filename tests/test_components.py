@@ -87,3 +87,16 @@ def test_nothing(spark):
     nodes, edges = make(spark, ["a"], [])
     assert [tuple(r) for r in co.component_levels(nodes, edges).collect()] == [("a", "a", 1, 0)]
     assert co.component_levels(nodes.limit(0), edges).count() == 0 and graph.longest_paths(edges, nodes).count() == 0
+
+
+def test_nodes_that_no_edge_enters_are_set_apart(spark):
+    """Rounds see no edge of such nodes; loops, repeated edges and unknown ends change nothing."""
+    many = [(f"o{i}", f"c{i % 3}") for i in range(30)] * 2
+    nodes, edges = make(spark, [f"o{i}" for i in range(31)] + ["c0", "c1", "c2", "n", "l"], many + [("c0", "n"), ("c1", "n"), ("l", "l"), ("l", "n"), ("?", "n"), ("o1", "??")])
+    inner_nodes, inner_edges = co._inner(*co.entered(nodes, edges))
+    assert sorted(tuple(r) for r in inner_edges.collect()) == [("c0", "n"), ("c1", "n"), ("l", "l"), ("l", "n")] and inner_nodes.count() == 5
+    got = {r.artifact_id: r.level for r in co.component_levels(nodes, edges).collect()}
+    assert got == {**{f"o{i}": 1 if i % 3 == 2 else 2 for i in range(30)}, "o30": 0, "c0": 1, "c1": 1, "c2": 0, "n": 0, "l": 1}
+    chains = [r.path for r in graph.call_chains(edges, nodes, 3).collect()]
+    assert sorted(chains) == sorted([[f"o{i}", f"c{i % 3}"] + ["n"] * (i % 3 < 2) for i in range(30)])
+    assert sorted(r.path for r in graph.call_chains(edges, nodes, 2).collect()) == sorted([f"o{i}", "c2"] for i in range(2, 30, 3))
