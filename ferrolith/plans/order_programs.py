@@ -29,27 +29,32 @@ FIXED = [
 
 
 def _source(spark, d) -> DataFrame:
-    """(file_id, line_no, text) of every order's program."""
-    within = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    """(file_id, line_no, text) of every order's program. A line's place follows from numbers and sums over the order lines, so
+    that no window holds the lines written."""
+    of = Window.partitionBy("l_orderkey")
+    within = of.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    numbered = lines.dealt(rows, "l_orderkey", 20000).select(
-        F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.floor(F.col("l_quantity") / 3).cast("int").alias("q"), F.col("l_returnflag").alias("f"), F.row_number().over(within).alias("n")
-    )
-    line = lambda part, j, text: F.struct(F.lit(part).alias("part"), F.lit(j).cast("int").alias("j"), text.alias("text"))
-    n, once = F.col("n").cast("string"), [line(part, 0, F.lit(text)) for part, text, _, _ in FIXED]
-    once.append(line(2, 0, F.concat(F.lit("       PROGRAM-ID. O"), F.col("o").cast("string"), F.lit("."))))
-    own = [
-        line(5, 0, F.concat(F.lit("       01  ITEM-"), n, F.lit("."))),
-        line(5, 1, F.concat(F.lit("           05  F-"), n, F.lit(" PIC X("), (F.col("p") % 90 + 1).cast("string"), F.lit(")."))),
-        line(7, 1, F.concat(F.lit("       P-"), n, F.lit("."))),
-    ]
-    section = F.when(F.col("f") == "R", F.array(line(7, 0, F.concat(F.lit("       S-"), n, F.lit(" SECTION."))))).otherwise(F.array())
-    steps = F.transform(F.sequence(F.lit(1), F.greatest("q", F.lit(1))), lambda j: F.struct(F.lit(7).alias("part"), (j + 1).alias("j"), F.concat(F.lit("           ADD "), F.col("p").cast("string"), F.lit(" TO F-"), n, F.lit(".")).alias("text")))
-    steps = F.when(F.col("q") > 0, steps).otherwise(F.array())
-    first = F.when(F.col("n") == 1, F.array(*once)).otherwise(F.array())
-    rows = numbered.select(F.col("o").alias("file_id"), "n", F.explode(F.concat(first, F.array(*own), section, steps)).alias("r")).select("file_id", "n", "r.*")
-    order = F.row_number().over(Window.partitionBy("file_id").orderBy("part", "n", "j"))
-    return rows.select("file_id", order.cast("bigint").alias("line_no"), "text")
+    steps = F.greatest(F.coalesce(F.floor(F.col("l_quantity") / 3).cast("int"), F.lit(0)), F.lit(0))
+    headed = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    dealt = lines.dealt(rows, "l_orderkey", 20000).withColumns({"r": headed, "size": headed + 1 + steps})
+    numbered = dealt.select(
+        F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("string").alias("p"), (F.col("l_partkey") % 90 + 1).cast("string").alias("width"), F.row_number().over(within).alias("n"), "r", "size",
+        F.count(F.lit(1)).over(of).alias("k"), F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
+    once = F.when(F.col("n") == 1, 5).otherwise(0)
+    i, x, y, n = F.col("i"), F.col("i") - once, F.col("i") - once - 3 - F.col("r"), F.col("n").cast("string")
+    fixed = [F.lit(FIXED[0][1]), F.concat(F.lit("       PROGRAM-ID. O"), F.col("o").cast("string"), F.lit(".")), *[F.lit(text) for _, text, _, _ in FIXED[1:]]]
+    head = F.lit(None).cast("string")
+    for k, text in enumerate(fixed, 1):
+        head = F.when(i == k, text).otherwise(head)
+    text = (
+        F.when(x < 1, head).when(x == 1, F.concat(F.lit("       01  ITEM-"), n, F.lit("."))).when(x == 2, F.concat(F.lit("           05  F-"), n, F.lit(" PIC X("), "width", F.lit(").")))
+        .when(y < 0, F.concat(F.lit("       S-"), n, F.lit(" SECTION."))).when(y == 0, F.concat(F.lit("       P-"), n, F.lit("."))).otherwise(F.concat(F.lit("           ADD "), "p", F.lit(" TO F-"), n, F.lit(".")))
+    )
+    procedures = 5 + 2 * F.col("k")
+    at = F.when(x < 1, F.when(i == 5, procedures).otherwise(i)).when(x < 3, 2 + 2 * F.col("n") + x).otherwise(procedures + F.col("before") + x - 2)
+    each = numbered.select("*", F.explode(F.sequence(F.lit(1), once + 2 + F.col("size"))).alias("i"))
+    return each.select(F.col("o").alias("file_id"), at.cast("bigint").alias("line_no"), text.alias("text"))
 
 
 PROGRAMS = f"""li AS ({NUMBERED}), os AS (SELECT o, count(*) AS k FROM li GROUP BY o),

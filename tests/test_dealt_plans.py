@@ -55,6 +55,12 @@ def test_order_programs_are_shuffled_once(spark, name):
     assert "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
 
 
+def test_chunks_are_found_in_one_sorted_pass(spark):
+    plan = _plan(catalog.QUERIES["cobol_chunks"](spark, SF))
+    # order lines are numbered, then their programs' lines are sorted once; nothing is gathered and taken apart again
+    assert "collect_list" not in plan and "Join" not in plan and plan.count("Generate explode") == 1 and plan.count("MapInArrow") == 1 and plan.count("Sort [") <= 2
+
+
 def test_lost_edges_are_found_without_broadcast(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("x", "a"), ("file::1", "a"), ("a", "y"), ("file::1", "y"), (None, "a"), ("a", None)], "src string, dst string")
     nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "artifact_id string")

@@ -117,3 +117,34 @@ def test_empty_tables_nulls_and_extra_columns(spark):
     rows = spark.createDataFrame([("a", 1, None, "k"), ("a", 2, "y" * 500, None), ("a", 3, "z", "k")], "file_id string, line_no int, text string, level string")
     found = sc.structure_chunks(rows, [("unit", F.lit(None).cast("boolean"))], 10).orderBy("seq").collect()
     assert [(r.level, r.first_line, r.last_line, r.tokens) for r in found] == [("line", 1, 1, 0), ("line", 2, 2, 125), ("line", 3, 3, 0)]
+
+
+def test_cobol_is_read_alike_in_batches_and_in_columns(spark, monkeypatch):
+    """Chunks read in batches of a few files are those by the columns of cobol_heads() and cobol_summaries()."""
+    monkeypatch.setattr(sc, "BATCH_LINES", 40)
+    draw = random.Random(5)
+    odd = [
+        *PROGRAM.split("\n"), None, "", "       DATA DIVISION X", "       DATA DIVISIONS.", "       data division.", "      -DATA DIVISION.", "      / X SECTION.", "       X\tSECTION.", "       PROCEDURE DIVISION\u00e9.", "       PROCEDURE DIVISION_.", "       -A.", "       A",
+        "       A .", "       A-1.B.", "       FD F-1", "       SD  9", "       0177 A.", "         01 \u00e9.", "         77  Z9 PIC X.", "       program-id . 'ab$1'.", "         PROGRAM-ID.", "       Environment  Division.", "       \u00e9 SECTION.", "\u00e9\u00e9\u00e9\u00e9\u00e9\u00e9 PX.", "*      P9.",
+        "       P-1. 123456789 123456789 123456789 123456789 123456789 123456789 tail beyond column 72", " " * 71 + "X.", "       SECTION.", "       A SECTION SECTION.", "       01 01 A.", "       \x0bDATA DIVISION.", "      D01  DEBUG.", "       DIVISION DIVISION.",
+    ]
+    rows = [(f"f{f}" if f else None, k * 3, draw.choice(odd)) for f in range(50) for k in range(draw.choice([1, 4, 15, 60]))] + [("f1", None, "       P0.")]
+    draw.shuffle(rows)
+    source = spark.createDataFrame(rows, "file_id string, line_no int, text string").repartition(3)
+    code = ln.fixed_format(source.where("line_no is not null").withColumn("text", F.coalesce("text", F.lit(""))))
+    heads = [(level, F.col("head") == level) for level in LEVELS]
+    for budget in (30, 60):
+        wanted = sc.structure_chunks(sc.cobol_heads(code), heads, budget, sc.cobol_summaries(code), chars_a_token=sc.COBOL_CHARS, name=F.col("name")).where("file_id is not null")
+        found = sc.cobol_chunks(source, budget)
+        assert sorted(map(str, found.where("file_id is not null").collect())) == sorted(map(str, wanted.collect()))
+        assert found.where("file_id is null and seq = 0").count() == 1
+
+
+def test_chunks_of_lines_that_come_in_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(f, k, "y" * (k % 5)) for f, n in enumerate((1, 100, 3, 7, 14, 40)) for k in range(n)]
+        found = sc.structure_chunks(spark.createDataFrame(rows, "file_id int, line_no int, text string"), [("unit", F.col("line_no") % 9 == 0)], 6).collect()
+        assert sum(r.last_line - r.first_line + 1 for r in found) == len(rows) and all(r.tokens <= 6 for r in found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
