@@ -9,12 +9,17 @@ begins with + is tried on a statement together with the next one of its sentence
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrolith.functions.json_schema import elements, member
+from ferrolith.operators import lines as ln
 from ferrolith.operators import regex_index, statements
 from ferrolith.operators.patterns import Rule
 from ferrolith.sources import documents
@@ -149,14 +154,103 @@ def may_hold(low: Column, regex: str) -> Column | None:
     return None if need is None else tree(need)
 
 
+def same_in_python(regex: str) -> bool:
+    """Whether Python surely reads an expression as Spark does, as it does those of compiled() with ASCII classes."""
+    escapes = re.findall(r"(?s)\\(.)", regex)
+    if not regex.startswith("(?is)") or regex_index.OTHERWISE.search(regex) or "$" in regex or any(c.isalnum() and c not in "sSdDwW" for c in escapes):
+        return False
+    try:
+        re.compile(regex, re.A)
+    except re.error:
+        return False
+    return True
+
+
+def _counter(rules: list[Rule]) -> Callable[[str, str], list[int]]:
+    """How often each rule matches, from a statement and what it is with the next one."""
+    parts = [(r.regex.startswith("+"), r.regex.removeprefix("+")) for r in rules]
+    asked = [(two, re.compile(regex, re.A), regex_index.needed(regex)) for two, regex in parts]
+    fold = str.maketrans(regex_index.UPPER, regex_index.UPPER.lower())
+
+    def holds(low: str, part: tuple | str) -> bool:
+        if isinstance(part, str):
+            return part in low
+        return (all if part[0] == "and" else any)(holds(low, p) for p in part[1])
+
+    def counts(text: str, both: str) -> list[int]:
+        low, low_both = text.translate(fold), both.translate(fold)
+        return [sum(1 for _ in regex.finditer(both if two else text)) if need is None or holds(low_both if two else low, need) else 0 for two, regex, need in asked]
+
+    return counts
+
+
+_LITERAL = re.compile("'[^']*'|\"[^\"]*\"")
+
+
+def _bare(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, str, str]]:
+    """Statements in whole files without the insides of literals: number of the file in the batch, paragraph, line_start, text,
+    and the text with that of the next one of its sentence."""
+    known: dict[str, str] = {}
+    last = None
+    for file, paragraph, begin, line_no, _, text, ended in statements.statements_in(batch):
+        bare = known.get(text)
+        if bare is None:
+            bare = known[text] = _LITERAL.sub("''", text)
+        if last is not None:
+            yield *last[1], last[1][3] if last[2] or last[0] != (file, begin) else f"{last[1][3]} {bare}"
+        last = (file, begin), (file, paragraph, line_no, bare), ended
+    if last is not None:
+        yield *last[1], last[1][3]
+
+
+def _in_files(source: DataFrame, schema: T.StructType, rows: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """What rows makes of the lines of whole files: number of the file in the batch first, which becomes file_id."""
+
+    def run(batches):
+        for batch in ln.whole_files(batches):
+            files = batch.column("file_id").take(pa.array(np.flatnonzero(batch.column("_n").to_numpy() == 1)))
+            owner, *columns = rows(batch)
+            yield pa.RecordBatch.from_arrays([files.take(owner), *columns], names=schema.names)
+
+    kept = source.where("line_no is not null").select("file_id", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
+    return ln.filed(kept).mapInArrow(run, schema)
+
+
+def _schema(source: DataFrame, columns: str) -> T.StructType:
+    return T.StructType([source.schema["file_id"], *T._parse_datatype_string(columns)])
+
+
 def phrase_matches(source: DataFrame, rules: list[Rule]) -> DataFrame:
     """(file_id, paragraph, line_no, category, name, found): a row for each match of a rule in a statement of the procedure
-    division; line_no is where the statement begins, found its text without the insides of literals."""
-    bare = F.regexp_replace("text", "'[^']*'|\"[^\"]*\"", "''")
-    stated = statements.assemble(source).withColumn("text", bare)
-    after = F.lead("text").over(Window.partitionBy("file_id", "paragraph", "para_start").orderBy("ord"))
-    stated = stated.withColumn("_two", F.when(~F.col("ended"), F.concat_ws(" ", "text", after)).otherwise(F.col("text")))
-    stated = stated.withColumns({"_low": regex_index.folded(F.col("text")), "_low_two": regex_index.folded(F.col("_two"))})
+    division; line_no is where the statement begins, found its text without the insides of literals.
+
+    Files go whole to Python, where equal statements are searched once a batch. Rules that Python may read otherwise are
+    searched by Spark instead."""
+    regular = all(same_in_python(r.regex.removeprefix("+")) for r in rules)
+    columns = "paragraph string, line_no bigint, " + ("category string, name string, found string" if regular else "text string, _two string")
+    numbers, labels = (pa.int64(), pa.string())
+
+    def matches(batch: pa.RecordBatch) -> list[pa.Array]:
+        counts, known, rows = _counter(rules), {}, []
+        for file, paragraph, line_no, text, both in _bare(batch):
+            hits = known.get((text, both))
+            if hits is None:
+                hits = known[text, both] = [k for k, n in enumerate(counts(text, both)) for _ in range(n)]
+            rows += [(file, paragraph, line_no, k, text) for k in hits]
+        file, paragraph, line_no, rule, text = zip(*rows) if rows else [()] * 5
+        rule = pa.array(rule, numbers)
+        named = [pa.array([getattr(r, c) for r in rules], labels).take(rule) for c in ("category", "name")]
+        return [pa.array(file, numbers), pa.array(paragraph, labels), pa.array(line_no, numbers), *named, pa.array(text, labels)]
+
+    def stated(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = list(zip(*_bare(batch))) or [()] * 5
+        return [pa.array(x, kind) for x, kind in zip(found, (numbers, labels, numbers, labels, labels))]
+
+    kind = source.schema["line_no"].dataType
+    rows = _in_files(source, _schema(source, columns), matches if regular else stated).withColumn("line_no", F.col("line_no").cast(kind))
+    if regular:
+        return rows
+    rows = rows.withColumns({"_low": regex_index.folded(F.col("text")), "_low_two": regex_index.folded(F.col("_two"))})
     found = []
     for r in rules:
         text, low, regex = ("_two", "_low_two", r.regex[1:]) if r.regex.startswith("+") else ("text", "_low", r.regex)
@@ -164,7 +258,30 @@ def phrase_matches(source: DataFrame, rules: list[Rule]) -> DataFrame:
         n = F.regexp_count(text, F.lit(regex))
         count = n if may is None else F.when(may, n).otherwise(0)
         found.append(F.array_repeat(F.struct(F.lit(r.category).alias("category"), F.lit(r.name).alias("name")), count))
-    if not found:
-        return stated.select("file_id", "paragraph", F.col("line_start").alias("line_no"), F.lit("").alias("category"), F.lit("").alias("name"), F.col("text").alias("found")).limit(0)
-    rows = stated.select("file_id", "paragraph", F.col("line_start").alias("line_no"), F.explode(F.concat(*found)).alias("m"), F.col("text").alias("found"))
-    return rows.select("file_id", "paragraph", "line_no", "m.category", "m.name", "found")
+    each = rows.select("file_id", "paragraph", "line_no", F.explode(F.concat(*found)).alias("m"), F.col("text").alias("found"))
+    return each.select("file_id", "paragraph", "line_no", "m.category", "m.name", "found")
+
+
+def phrase_counts(source: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(file_id, counts) of every file: how often each rule, in order, matches in its statements, as rows for
+    patterns.coverage_of() and required_without_count()."""
+    if not all(same_in_python(r.regex.removeprefix("+")) for r in rules):
+        hit = lambda r: F.when((F.col("category") == r.category) & (F.col("name") == r.name), 1).otherwise(0).cast("bigint")
+        found = phrase_matches(source, rules).select("file_id", *[hit(r).alias(f"r{i}") for i, r in enumerate(rules)])
+        every = found.unionByName(source.where("line_no is not null").select("file_id", *[F.lit(0).cast("bigint").alias(f"r{i}") for i in range(len(rules))]))
+        return every.groupBy("file_id").agg(F.array(*[F.sum(f"r{i}") for i in range(len(rules))]).alias("counts"))
+
+    def counted(batch: pa.RecordBatch) -> list[pa.Array]:
+        counts, known = _counter(rules), {}
+        n = int((batch.column("_n").to_numpy() == 1).sum())
+        sums = np.zeros((n, len(rules)), np.int64)
+        for file, _, _, text, both in _bare(batch):
+            hits = known.get((text, both))
+            if hits is None:
+                hits = known[text, both] = [(k, c) for k, c in enumerate(counts(text, both)) if c]
+            for k, c in hits:
+                sums[file, k] += c
+        offsets = pa.array(np.arange(n + 1) * len(rules), pa.int32())
+        return [pa.array(np.arange(n)), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))]
+
+    return _in_files(source, _schema(source, "counts array<bigint>"), counted)

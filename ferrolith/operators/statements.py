@@ -7,13 +7,18 @@ each statement's parent needs a paragraph's statements in order.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrolith.operators import cobol
+from ferrolith.operators import lines as ln
 
 NAME = cobol.NAME
 
@@ -95,6 +100,77 @@ def assemble(source: DataFrame) -> DataFrame:
     return whole.select(*of, "ord", F.rtrim(F.rtrim("_text", F.lit("."))).alias("text"), "line_start", "line_end", F.col("_text").endswith(".").alias("ended")).where("text <> '' or ended")
 
 
+_TOKEN = re.compile(r"""(?:'[^']*'|"[^"]*"|[^\s'"])+""", re.A)
+_BEGIN = re.compile(r"\s*PROCEDURE\s+DIVISION", re.A)
+#: Spark's $ also stands before one of these last signs.
+_PARAGRAPH = re.compile(rf"(?!(?:DECLARATIVES|END)(?![A-Z0-9-]))({NAME})(?:\s+SECTION)?\s*\.\s*[\x85\u2028\u2029]?\Z", re.I | re.A)
+_END = re.compile(r"END-(?!EXEC\Z)[A-Z]+", re.A)
+_QUOTE = re.compile("['\"]")
+_VERBS = frozenset(VERBS)
+
+
+def _marked(text: str) -> list[tuple[str, str, bool, bool]]:
+    """The tokens of a line: each one, its word, whether that begins a statement, and whether a period ends it."""
+    words = [(t, t.rstrip(".").upper()) for t in _TOKEN.findall(text)]
+    return [(t, w, w in _VERBS or _END.fullmatch(w) is not None, t.endswith(".")) for t, w in words]
+
+
+def statements_in(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, int, int, str, bool]]:
+    """The rows of assemble() in whole files (file_id, line_no, text, _n) that are in order: number of the file in the batch,
+    paragraph, para_start, line_start, line_end, text, ended. One pass over the lines; equal lines are cut once."""
+    new = batch.column("_n").to_numpy() == 1
+    mark, code = ln.fixed_code(batch.column("text"))
+    kept = pc.and_not(pc.not_equal(pc.utf8_ltrim(code, " "), ""), pc.is_in(mark, pa.array(["*", "/"], mark.type)))
+    at = pa.array(np.flatnonzero(kept.to_numpy(zero_copy_only=False)))
+    lines = zip((np.cumsum(new) - 1)[at.to_numpy()].tolist(), batch.column("line_no").take(at).to_pylist(), pc.equal(mark, "-").take(at).to_pylist(), code.take(at).to_pylist())
+    known: dict[str, list] = {}
+    file, begun, head = -1, False, None
+    held = None  # the logical line so far: its file, head, first and last line and text
+    parts: list[str] = []  # the statement so far, of the paragraph para in file own
+    own, para, start, end, blocks, before, after_end = -1, None, 0, 0, 0, "", True
+
+    def stated():
+        whole = " ".join(parts)
+        text, ended = whole.rstrip(".").rstrip(" "), whole.endswith(".")
+        return [(own, *para, start, end, text, ended)] if parts and (text or ended) else []
+
+    for line in [*lines, None]:
+        if line is not None and line[2] and line[0] == file:
+            _, line_no, _, text = line
+            piece, (of, its, first, _, so_far) = text.lstrip(" "), held
+            if so_far.count("'") % 2:
+                held = of, its, first, line_no, so_far + (piece[1:] if _QUOTE.match(piece) else piece)
+            else:
+                held = of, its, first, line_no, f"{so_far} {piece}"
+            begun = begun or _BEGIN.match(text.upper()) is not None
+            continue
+        if held is not None and held[1] is not None and held[2] > held[1][1]:
+            of, its, first, last, text = held
+            if of != own or its is not para:
+                yield from stated()
+                own, para, parts, blocks, before, after_end = of, its, [], 0, "", True
+            tokens = known.get(text)
+            if tokens is None:
+                tokens = known[text] = _marked(text)
+            for token, word, starts, ends in tokens:
+                if blocks <= 0 and (after_end or starts and not (word == "PERFORM" and before == "EXIT")):
+                    yield from stated()
+                    parts, start = [], first
+                parts.append(token)
+                end, before, after_end = last, word, ends
+                blocks += (word == "EXEC") - (word == "END-EXEC")
+        if line is None:
+            yield from stated()
+            return
+        of, line_no, more, text = line
+        if of != file:
+            file, begun, head = of, False, None
+        begun = begun or _BEGIN.match(text.upper()) is not None
+        if begun and not more and text[0] != " " and (named := _PARAGRAPH.match(text)):
+            head = named[1].upper(), line_no
+        held = of, head, line_no, line_no, text
+
+
 def statement_type(text: Column) -> Column:
     """The first of TYPES that the text is of, the END- word itself, or UNKNOWN."""
     out = F.lit("UNKNOWN")

@@ -3,14 +3,14 @@ runs of lines where nothing smaller is headed.
 
 Lines are shuffled once, by file, and go sorted to Python in Arrow batches of whole files. There the pieces between head lines,
 the sizes of all levels and the chunks are computed for all files of a batch at once, on the texts' buffers. What a task
-holds is BATCH_LINES lines, or a file that has more of them.
+holds is some lines (lines.whole_files), or a file that has more of them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrolith.operators import lines as ln
+
 LINES_A_RUN = 50
 COBOL_CHARS = 3.5
 
-#: Files are taken together until they have so many lines or bytes.
-BATCH_LINES, BATCH_BYTES = 1 << 16, 1 << 24
-
 CHUNK_COLUMNS = {"seq": "bigint", "level": "string", "first_line": "bigint", "last_line": "bigint", "names": "array<string>", "tokens": "bigint", "chunk": "string"}
 
 AREA_A_NAME = r"^([A-Za-z0-9][A-Za-z0-9-]*)"
@@ -43,23 +42,6 @@ def most_characters(budget_tokens: int, chars_a_token: float = 4) -> int:
     return math.ceil((budget_tokens + 1) * chars_a_token) - 1
 
 
-def whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of batches, sorted by file, in batches of whole files; a file begins where the column _n is 1."""
-    held, lines, size = [], 0, 0
-    for batch in batches:
-        starts = np.flatnonzero(batch.column("_n").to_numpy() == 1)
-        if held and len(starts) and (lines >= BATCH_LINES or size >= BATCH_BYTES):
-            if starts[0]:
-                held.append(batch.slice(0, starts[0]))
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, lines, size, batch = [], 0, 0, batch.slice(starts[0])
-        if batch.num_rows:
-            held.append(batch)
-            lines, size = lines + batch.num_rows, size + batch.get_total_buffer_size()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def chunked(
     new: np.ndarray, text: pa.Array, depth: np.ndarray, levels: int, most: int, summary: pa.Array, alone: list[int],
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -117,7 +99,7 @@ def _chunks_of(rows: DataFrame, key: str, order: list[str], levels: list[str], m
     named = pa.array(["file", *levels, "line"])
 
     def run(batches):
-        for batch in whole_files(batches):
+        for batch in ln.whole_files(batches):
             new = batch.column("_n").to_numpy() == 1
             lines, depth, names, summary = read(batch, new)
             if lines is not None:  # rows that aren't lines come first in their file
@@ -136,8 +118,7 @@ def _chunks_of(rows: DataFrame, key: str, order: list[str], levels: list[str], m
                        pa.ListArray.from_arrays(pa.array(known[held], pa.int32()), names.drop_null()), pa.array(tokens), text]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return numbered.mapInArrow(run, schema)
+    return ln.filed(rows, key, order).mapInArrow(run, schema)
 
 
 def structure_chunks(
@@ -220,8 +201,8 @@ def cobol_read(batch: pa.RecordBatch, new: np.ndarray) -> tuple[None, np.ndarray
     """What cobol_heads() and cobol_summaries() say of whole files, for chunks: depths, the heads' names, and a summary for each
     file. Equal lines are read once a batch."""
     text, line_no = batch.column("text"), batch.column("line_no").to_numpy()
-    code = pc.utf8_rtrim(pc.utf8_slice_codeunits(text, 7, 72), " ")
-    other = pc.is_in(pc.utf8_slice_codeunits(text, 6, 7), pa.array(["*", "/", "-"], text.type))
+    mark, code = ln.fixed_code(text)
+    other = pc.is_in(mark, pa.array(["*", "/", "-"], text.type))
     may = pc.and_not(pc.match_substring_regex(code, MAY_HEAD), other)
     at = np.flatnonzero(may.to_numpy(zero_copy_only=False))
     words = code.take(pa.array(at)).dictionary_encode()

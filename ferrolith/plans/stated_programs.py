@@ -54,9 +54,8 @@ def _specifications(spark) -> tuple[DataFrame, DataFrame]:
     return phrases.scan_specifications(spark, roots, "*.txt")
 
 
-def _matches(spark, d) -> tuple[DataFrame, list[patterns.Rule]]:
-    rules = phrases.rules_of(_specifications(spark)[0], "cobol")
-    return phrases.phrase_matches(_source(spark, d), rules), rules
+def _rules(spark) -> list[patterns.Rule]:
+    return phrases.rules_of(_specifications(spark)[0], "cobol")
 
 
 FACTS = f"""facts(k, category, name) AS (VALUES {", ".join(f"({k}, '{CATEGORY[name]}', '{name}')" for k, (_, names) in enumerate(SENTENCES) for name in names.split())}),
@@ -65,19 +64,19 @@ m AS (SELECT l_orderkey AS file_id, n, category, name FROM (SELECT l_orderkey, l
 
 @registry.add(f"WITH {FACTS} SELECT file_id, 'P-' || n AS paragraph, 2 * n + 1 AS line_no, category, name FROM m")
 def cobol_phrase_matches(spark, d):
-    return _matches(spark, d)[0].drop("found")
+    return phrases.phrase_matches(_source(spark, d), _rules(spark)).drop("found")
 
 
 @registry.add(f"""WITH {FACTS}, sizes(category, total) AS (VALUES {", ".join(f"('{c}', {len(named)})" for c, named in phrases.COBOL_PHRASES.items())})
 SELECT file_id, m.category, count(*) AS n_matches, count(DISTINCT name) AS n_rules, round(100.0 * count(DISTINCT name) / any_value(total), 2) AS coverage FROM m JOIN sizes USING (category) GROUP BY file_id, m.category""")
 def cobol_phrase_coverage(spark, d):
-    found, rules = _matches(spark, d)
-    return patterns.coverage(found, rules, "file_id")
+    rules = _rules(spark)
+    return patterns.coverage(phrases.phrase_matches(_source(spark, d), rules), rules, "file_id")
 
 
 @registry.add(f"""WITH {FACTS}, wanted(category, name) AS (VALUES {", ".join(f"('{CATEGORY[n]}', '{n}')" for n in REQUIRED)})
 SELECT o.file_id, w.category, w.name FROM (SELECT DISTINCT l_orderkey AS file_id FROM lineitem) o, wanted w WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = o.file_id AND m.name = w.name)""")
 def cobol_required_phrases(spark, d):
-    found, rules = _matches(spark, d)
+    rules = _rules(spark)
     keys = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id")).distinct()
-    return patterns.missing_required(keys, found, rules, "file_id")
+    return patterns.missing_required(keys, phrases.phrase_matches(_source(spark, d), rules), rules, "file_id")

@@ -61,6 +61,12 @@ def test_chunks_are_found_in_one_sorted_pass(spark):
     assert "collect_list" not in plan and "Join" not in plan and plan.count("Generate explode") == 1 and plan.count("MapInArrow") == 1 and plan.count("Sort [") <= 2
 
 
+@pytest.mark.parametrize("name", ["cobol_phrase_matches"])
+def test_phrases_are_found_in_one_sorted_pass(spark, name):
+    plan = _plan(catalog.QUERIES[name](spark, SF))
+    assert "collect_list" not in plan and "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_lost_edges_are_found_without_broadcast(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("x", "a"), ("file::1", "a"), ("a", "y"), ("file::1", "y"), (None, "a"), ("a", None)], "src string, dst string")
     nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "artifact_id string")

@@ -1,8 +1,11 @@
 import json
+import random
 import re
 
+import pyarrow as pa
+
 from ferrolith.operators import lines as ln
-from ferrolith.operators import patterns, phrases
+from ferrolith.operators import patterns, phrases, statements
 
 ASKED = [
     ("MOVE @ TO @", ["MOVE A TO B", "move  a-1(2)\n to b"], ["MOVE A B TO C", "XMOVE A TO B", "MOVE-IT A TO B", "MOVE A TO-B C"]),
@@ -70,3 +73,53 @@ def test_matches_and_coverage(spark):
     covered = {r.category: (r.n_matches, r.n_rules) for r in patterns.coverage(matches, rules, "file_id").collect()}
     assert covered == {"data_flow": (1, 1), "control_flow": (3, 2), "error_handling": (3, 2)}
     assert phrases.phrase_matches(source, []).count() == 0 and phrases.phrase_matches(source.where("false"), rules).count() == 0
+
+
+ODD = [
+    "       PROCEDURE DIVISION.", "       procedure  division using x", "       P1.", "       P-2 SECTION .", "       DECLARATIVES.", "       END DECLARATIVES.", "       END-X.", "       EXIT.", "       p3.\u0085", "      -P4.", "       P5. MOVE A TO B.", " " * 70 + "MOVE",
+    "           MOVE A TO B.", "           MOVE 'A. B' TO C", "           MOVE 'it''s", "      -    'more' TO D.", "      -    TAIL", "      -", "      *    GO TO X.", "      /", "", None, "           .", "           ..", "           IF A = B", "              PERFORM P1", "           ELSE", "           END-IF.",
+    "           EXIT PERFORM.", "           EXEC SQL SELECT IF FROM GO", "           END-EXEC.", "           END-EXEC", "           EXEC.", "           GO TO P1. GO TO P2 PERFORM P3 UNTIL X", "           DISPLAY \"NOT AT END\" 'x' Y.", "           CALL 'X'. ON EXCEPTION 'a.'", "           '", "           é ifé ıf x.",
+    "           READ F AT END GOBACK NOT AT END STOP RUN.", "           END-", "           END-EXECUTE.", "      D    MOVE D TO E.", "           IF WS-STAT = 1 NEXT SENTENCE", "           move corr a to b", "       MOVE A TO B.", "       P6.\t", "           TEXT.  .",
+]
+
+
+def odd_programs(spark):
+    draw = random.Random(3)
+    rows = [(f"f{f}", k * 2, draw.choice(ODD[:3] if k < 2 else ODD)) for f in range(120) for k in range(draw.choice([1, 5, 30, 80]))]
+    draw.shuffle(rows)
+    return spark.createDataFrame(rows, "file_id string, line_no int, text string").repartition(3)
+
+
+def test_statements_in_whole_files_are_those_assembled(spark, monkeypatch):
+    source = odd_programs(spark)
+    wanted = [(r.file_id, r.paragraph, r.para_start, r.line_start, r.line_end, r.text, r.ended) for r in statements.assemble(source).collect()]
+    lines = sorted(((r.file_id, r.line_no, r.text or "") for r in source.collect()))
+    numbers = [k - next(i for i, x in enumerate(lines) if x[0] == f) + 1 for k, (f, _, _) in enumerate(lines)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x)) for x in (*zip(*lines), numbers)], names=["file_id", "line_no", "text", "_n"])
+    files = sorted({f for f, _, _ in lines})
+    assert len(wanted) > 500
+    assert sorted((files[f], *rest) for f, *rest in statements.statements_in(batch)) == sorted(wanted)
+    monkeypatch.setattr(ln, "BATCH_LINES", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 60)
+    try:
+        parts = [sorted(statements.statements_in(b)) for b in ln.whole_files([batch.slice(k, 60) for k in range(0, len(lines), 60)])]
+        assert len(parts) > 5 and sum(map(len, parts)) == len(wanted)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rules_in_python_and_in_spark_agree(spark):
+    """A rule with syntax that only Spark reads has all rules searched there; matches and counts are the same."""
+    source = odd_programs(spark)
+    rules = [patterns.Rule(c, n, ("+" if p[0] == "+" else "") + phrases.compiled(p), required=n in ("go_to", "compute")) for c, named in phrases.COBOL_PHRASES.items() for n, p in named.items()]
+    only_spark = patterns.Rule("odd", "posix", r"(?is)\p{Alpha}+-STAT")
+    assert all(phrases.same_in_python(r.regex.removeprefix("+")) for r in rules) and not phrases.same_in_python(only_spark.regex)
+    found, spark_found = phrases.phrase_matches(source, rules), phrases.phrase_matches(source, [*rules, only_spark])
+    assert found.schema["line_no"].dataType == source.schema["line_no"].dataType and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    one = sorted(map(str, found.collect()))
+    assert len(one) > 300 and one == sorted(map(str, spark_found.where("category <> 'odd'").collect())) and spark_found.where("category = 'odd'").count() > 0
+    keys = source.select("file_id").distinct()
+    for each in (rules, [*rules, only_spark]):
+        counts = phrases.phrase_counts(source, each)
+        assert sorted(map(str, patterns.coverage_of(counts, each, "file_id").collect())) == sorted(map(str, patterns.coverage(phrases.phrase_matches(source, each), each, "file_id").collect()))
+        assert sorted(map(str, patterns.required_without_count(counts, each, "file_id").collect())) == sorted(map(str, patterns.missing_required(keys, found, each, "file_id").collect()))

@@ -121,7 +121,7 @@ def test_empty_tables_nulls_and_extra_columns(spark):
 
 def test_cobol_is_read_alike_in_batches_and_in_columns(spark, monkeypatch):
     """Chunks read in batches of a few files are those by the columns of cobol_heads() and cobol_summaries()."""
-    monkeypatch.setattr(sc, "BATCH_LINES", 40)
+    monkeypatch.setattr(ln, "BATCH_LINES", 40)
     draw = random.Random(5)
     odd = [
         *PROGRAM.split("\n"), None, "", "       DATA DIVISION X", "       DATA DIVISIONS.", "       data division.", "      -DATA DIVISION.", "      / X SECTION.", "       X\tSECTION.", "       PROCEDURE DIVISION\u00e9.", "       PROCEDURE DIVISION_.", "       -A.", "       A",
