@@ -71,12 +71,11 @@ def cobol_phrase_matches(spark, d):
 SELECT file_id, m.category, count(*) AS n_matches, count(DISTINCT name) AS n_rules, round(100.0 * count(DISTINCT name) / any_value(total), 2) AS coverage FROM m JOIN sizes USING (category) GROUP BY file_id, m.category""")
 def cobol_phrase_coverage(spark, d):
     rules = _rules(spark)
-    return patterns.coverage(phrases.phrase_matches(_source(spark, d), rules), rules, "file_id")
+    return patterns.coverage_of(phrases.phrase_counts(_source(spark, d), rules), rules, "file_id")
 
 
 @registry.add(f"""WITH {FACTS}, wanted(category, name) AS (VALUES {", ".join(f"('{CATEGORY[n]}', '{n}')" for n in REQUIRED)})
 SELECT o.file_id, w.category, w.name FROM (SELECT DISTINCT l_orderkey AS file_id FROM lineitem) o, wanted w WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = o.file_id AND m.name = w.name)""")
 def cobol_required_phrases(spark, d):
-    rules = _rules(spark)
-    keys = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id")).distinct()
-    return patterns.missing_required(keys, phrases.phrase_matches(_source(spark, d), rules), rules, "file_id")
+    rules = [r for r in _rules(spark) if r.required]
+    return patterns.required_without_count(phrases.phrase_counts(_source(spark, d), rules), rules, "file_id")

@@ -61,7 +61,7 @@ def test_chunks_are_found_in_one_sorted_pass(spark):
     assert "collect_list" not in plan and "Join" not in plan and plan.count("Generate explode") == 1 and plan.count("MapInArrow") == 1 and plan.count("Sort [") <= 2
 
 
-@pytest.mark.parametrize("name", ["cobol_phrase_matches"])
+@pytest.mark.parametrize("name", ["cobol_phrase_matches", "cobol_phrase_coverage", "cobol_required_phrases"])
 def test_phrases_are_found_in_one_sorted_pass(spark, name):
     plan = _plan(catalog.QUERIES[name](spark, SF))
     assert "collect_list" not in plan and "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan and plan.count("MapInArrow") == 1
