@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline as cp
 
 from ferrolith.llm import quality_rules as q
+from tests.llm.cases import documents
 from tests.llm.test_line_dedup import brute as lines_brute
 from tests.llm.test_near_duplicates import brute as near_brute
 from tests.llm.test_quality_rules import brute as counts_brute
@@ -51,3 +52,9 @@ def test_run_gives_the_last_stage(spark):
     out = cp.run(spark, SF)
     assert {"doc_id", "ids", "log_inclusion"} <= set(out.columns) and out.count() > 0 and cp.ORACLE_SQL is None
     assert len(cp.STAGES) == 5 and q.SAMPLE_ROWS > 0
+
+
+def test_words_that_only_begin_like_a_piece_pass_the_last_stage(spark):
+    docs = documents(spark, ["a differeauyp of words", "an informaabnc", "plain"])
+    rows = cp.pieces_stage(spark, docs, "").collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2} and all(r.round_trip for r in rows)
